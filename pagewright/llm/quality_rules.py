@@ -32,36 +32,6 @@ CHUNK = 4096
 #: (size in bytes from which the class begins, least ratio, greatest ratio) of a whole text.
 BANDS = ((256, 0.35, 0.90), (1024, 0.30, 0.75), (4096, 0.25, 0.65), (16384, 0.20, 0.60), (65536, 0.15, 0.60))
 CHUNK_BAND = (0.25, 0.75)
-BAD_CHUNKS`` of its full chunks leave the
-chunk band. Short texts carry the frame's overhead and compress less, so each length
-class has limits of its own; texts under the first class's size have none.
-
-Null counts as an empty text: no words, every count 0, base_failed true. Very long
-texts are processed whole. Windows are compared by 64-bit hashes mixed from word
-numbers that are exact within the text. Repeated rows get equal results.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pagewright.llm import common
-
-WINDOW = 8
-MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-SPACES = b" \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-LEVEL = 3
-CHUNK = 4096
-#: (size in bytes from which the class begins, least ratio, greatest ratio) of a whole text.
-BANDS = ((256, 0.12, 0.95), (1024, 0.10, 0.85), (4096, 0.08, 0.80), (16384, 0.06, 0.75), (65536, 0.04, 0.72))
-CHUNK_BAND = (0.10, 0.85)
 BAD_CHUNKS = 0.25
 FIELDS = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("ratio", pa.float64()), ("bad_chunks", pa.int64()), ("n_chunks", pa.int64()), ("kept", pa.bool_())])
 MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)

@@ -1,4 +1,229 @@
-"""Registered queries of the document operators, and the same in SQL."""
+"""Registered queries of the document operators, and the same in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import geometry as G
+from pagewright.functions import layoutmath as M
+from pagewright.functions import text as T
+from pagewright.operators import relations as R
+from pagewright.operators import search as S
+from pagewright.operators import textlayer as L
+from pagewright.plans import layout
+from pagewright.sources import blocks_json
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+PAGES_SQL = """WITH t AS (SELECT doc_id, translate(text, chr(10), ' ') AS t FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, t, unnest(range(0, (length(t) - 1) // 2000 + 1)) AS p FROM t),
+w AS (SELECT doc_id, CAST(p + 1 AS INTEGER) AS page_no, list_filter(string_split(substring(t, p * 2000 + 1, 2000), ' '), lambda x: x <> '') AS words FROM p),
+i AS (SELECT doc_id, page_no, words, array_to_string([translate(x, chr(8288), chr(160)) FOR x IN words], chr(8288)) AS text FROM w)
+"""
+
+
+@query(PAGES_SQL + "SELECT doc_id, page_no, text FROM i")
+def text_index(spark, sf_dir):
+    return S.text_index(layout.page_words(table(spark, sf_dir, "documents")))
+
+
+SEARCH_SQL = PAGES_SQL + """, s AS (SELECT doc_id, page_no, text, words, string_split_regex(text, '(?i)tion') AS parts FROM i WHERE regexp_matches(text, '(?i)tion')),
+h AS (SELECT *, unnest(range(1, len(parts))) AS k FROM s),
+a AS (SELECT doc_id, page_no, text, words, length(array_to_string(parts[1:k], '')) + (k - 1) * 4 AS pos FROM h),
+x AS (SELECT *, length(substring(text, 1, pos)) - length(replace(substring(text, 1, pos), chr(8288), '')) AS word_idx FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, word_idx ORDER BY pos) AS r FROM x)
+"""
+
+
+@query(SEARCH_SQL + "SELECT doc_id, page_no, CAST(word_idx AS INTEGER) AS word_idx, 1 AS word_count, 1 AS span_word_count, '...' || translate(substring(text, greatest(pos - 10, 0) + 1, 40), chr(8288), ' ') || '...' AS snippet FROM f WHERE r = 1")
+def text_search(spark, sf_dir):
+    return S.search(S.text_index(layout.page_words(table(spark, sf_dir, "documents"))), "tion")
+
+
+@query(SEARCH_SQL + "SELECT doc_id, page_no, CAST(word_idx AS INTEGER) AS word_idx, words[word_idx + 1] AS value FROM f WHERE r = 1")
+def search_hit_words(spark, sf_dir):
+    pages = layout.page_words(table(spark, sf_dir, "documents"))
+    return S.hit_words(S.search(S.text_index(pages), "tion"), pages)
+
+
+@query(PAGES_SQL + ", g AS (SELECT doc_id, page_no, unnest(regexp_extract_all(text, '(?i)of(?:' || chr(160) || '|' || chr(8288) || ')the')) AS x FROM i) SELECT doc_id, page_no, count(*) AS n FROM g GROUP BY doc_id, page_no")
+def text_search_phrase(spark, sf_dir):
+    hits = S.search(S.text_index(layout.page_words(table(spark, sf_dir, "documents"))), "of the")
+    return hits.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
+
+
+LETTERS_SQL = """WITH c AS (SELECT doc_id, translate(text, chr(10), ' ') AS t FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, unnest(range(0, length(t))) AS i, unnest(string_split(t, '')) AS value FROM c),
+g AS (SELECT doc_id, i // 2000 + 1 AS page_no, i % 2000 AS k, (i % 2000) // 80 AS r, value, regexp_matches(value, '^[\\p{P}\\p{Z}\\s]$') AS alone FROM l)
+"""
+
+
+@query(LETTERS_SQL + "SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(count(*) AS BIGINT) AS n_letters, min(72.0 + 6 * (k % 80))::DOUBLE AS x0, max(72.0 + 14 * r)::DOUBLE AS y1 FROM g GROUP BY doc_id, page_no")
+def page_extents(spark, sf_dir):
+    return layout.letters(table(spark, sf_dir, "documents")).groupBy("doc_id", "page_no").agg(F.count("*").alias("n_letters"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
+
+
+@query(LETTERS_SQL + """, b AS (SELECT *, CASE WHEN alone OR lag(alone, 1, true) OVER w OR k % 80 = 0 THEN 1 ELSE 0 END AS fresh FROM g WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY k)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_no ORDER BY k) AS word FROM b)
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, string_agg(value, '' ORDER BY k) AS value, CAST(count(*) AS INTEGER) AS n_letters, (72.0 + 6 * min(k % 80))::DOUBLE AS x0, (62.0 + 14 * min(r))::DOUBLE AS y0, (78.0 + 6 * max(k % 80))::DOUBLE AS x1, (72.0 + 14 * min(r))::DOUBLE AS y1 FROM n GROUP BY doc_id, page_no, word""")
+def word_extract(spark, sf_dir):
+    return L.extract_words(layout.letters(table(spark, sf_dir, "documents")))
+
+
+@query()
+def text_layer(spark, sf_dir):
+    return L.text_layer(layout.letters(table(spark, sf_dir, "documents")))
+
+
+@query(LETTERS_SQL + "SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, count(*) AS n FROM g GROUP BY doc_id, page_no")
+def letter_dedup_last(spark, sf_dir):
+    letters = layout.letters(table(spark, sf_dir, "documents"))
+    shifted = letters.where(F.col("letter_idx") % 7 == 0).withColumns({"letter_idx": F.col("letter_idx") + 10_000, "x0": F.col("x0") + 0.5, "x1": F.col("x1") + 0.5})
+    return L.dedup(letters.unionByName(shifted)).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
+
+
+KNN_SQL = """WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_sum([(CAST(q.embedding[k] AS DOUBLE) - CAST(i.embedding[k] AS DOUBLE)) * (CAST(q.embedding[k] AS DOUBLE) - CAST(i.embedding[k] AS DOUBLE)) FOR k IN range(1, len(q.embedding) + 1)]), 4) AS distance
+FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY distance) AS rank FROM p) WHERE rank <= 2"""
+
+
+@query(KNN_SQL)
+def knn2_ties(spark, sf_dir):
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return R.nearest(items.where("id % 100 = 0"), items, R.squared_distance, 2).select("query_id", "item_id", "rank")
+
+
+LINK_SQL = T.URL.replace("'", "''")
+
+
+@query(f"SELECT page_id, regexp_extract(url, '{LINK_SQL}', 0) AS url_link, regexp_extract(coalesce(html, ''), '{LINK_SQL}', 0) AS html_link FROM pages")
+def link_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.link(F.col("url")).alias("url_link"), T.link(F.coalesce("html", F.lit(""))).alias("html_link"))
+
+
+@query("SELECT page_id, CASE WHEN lower(split_part(url, ':', 1)) IN ('ftp','http','https','mailto','tel','imap','file') THEN url END AS uri FROM pages")
+def uri_allowed(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.allowed_uri(F.col("url")).alias("uri"))
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN p = '' THEN text WHEN regexp_matches(p, '[\\p{Ps}\\p{Pi}\\p{Pd}\\p{Pc}]$') OR regexp_matches(text, '^[\\p{Pe}\\p{Pf}\\p{Po}\\p{Pd}\\p{Sm}\\p{Sc}]') THEN text ELSE ' ' || text END, '' ORDER BY turn, text) AS text FROM (SELECT conv_id, turn, text, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, text) AS p FROM conversations WHERE text <> '') GROUP BY conv_id")
+def selection_text(spark, sf_dir):
+    parts = table(spark, sf_dir, "conversations").where(F.col("text") != "")
+    before = F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    glued = (F.col("p") == "") | T.no_space_after(F.col("p")) | T.no_space_before(F.col("text"))
+    spaced = parts.withColumn("p", before).withColumn("piece", F.when(glued, F.col("text")).otherwise(F.concat(F.lit(" "), "text")))
+    return spaced.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "piece"))), lambda s: s["piece"]), "").alias("text"))
+
+
+# DuckDB counts edits of bytes, Spark those of characters.
+@query()
+def edit_distance(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    a, b = items.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
+    pairs = a.join(b, F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", F.levenshtein("ta", "tb").alias("distance"), F.round(T.normalised_distance(F.col("ta"), F.col("tb")), 6).alias("normalised"))
+
+
+def _pages_json(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.when(i == 0, "paragraph_title").otherwise("paragraph").alias("source_label"), s.alias("content"), F.array(F.lit(10.0), 20.0 * i, F.lit(110.0), 20.0 * i + 15).alias("bbox")))
+    pages = F.map_from_arrays(F.array(F.lit("1"), F.lit("x")), F.array(lines, lines))
+    return docs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("m").alias("model"), pages.alias("pages"))).alias("json"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS page, CAST(i - 1 AS INTEGER) AS place, CASE WHEN i = 1 THEN 'title' ELSE 'text' END AS type, s[i] AS content, 100.0::DOUBLE AS w, 20.0::DOUBLE * (i - 1) AS y FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))")
+def blocks_json_pages(spark, sf_dir):
+    return blocks_json.pages_json(_pages_json(spark, sf_dir)).select("doc_id", "page", "place", "type", "content", "bbox.w", "bbox.y")
+
+
+@query("SELECT r_name, n_name, CAST(sum(c_acctbal * 100)::BIGINT AS BIGINT) AS cents, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name UNION ALL SELECT r_name, NULL, CAST(sum(c_acctbal * 100)::BIGINT AS BIGINT), count(*) FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
+def tree_rollup(spark, sf_dir):
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    own = customer.groupBy("c_nationkey").agg(F.round(F.sum(F.col("c_acctbal") * 100)).cast("long").alias("cents"), F.count("*").alias("n"))
+    leaves = own.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    nodes = leaves.select(F.array("r_name", "n_name").alias("path"), "cents", "n")
+    totals = R.subtree_sums(nodes, "cents").withColumnRenamed("total", "cents").join(R.subtree_sums(nodes, "n").withColumnRenamed("total", "n"), "path")
+    return totals.select(F.get("path", F.lit(0)).alias("r_name"), F.get("path", F.lit(1)).alias("n_name"), "cents", "n")
+
+
+@query("SELECT string_agg(x, '' ORDER BY r, n) AS markdown FROM (SELECT r_regionkey AS r, -1 AS n, '# ' || r_name || chr(10) || chr(10) AS x FROM region UNION ALL SELECT n_regionkey, n_nationkey, '## ' || n_name || chr(10) || chr(10) FROM nation)")
+def tree_markdown(spark, sf_dir):
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    nodes = region.select(F.col("r_regionkey").alias("r"), F.lit(-1).alias("n"), F.lit(0).alias("level"), F.col("r_name").alias("title")).unionByName(nation.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("n"), F.lit(1).alias("level"), F.col("n_name").alias("title")))
+    lines = nodes.select("r", "n", R.markdown(F.lit("title"), F.col("level"), F.col("title"), F.lit("")).alias("x"))
+    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "n", "x"))), lambda s: s["x"]), "").alias("markdown"))
+
+
+@query("SELECT e.event_id, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def bookmark_asof(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    marks = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_purchase"))
+    return R.as_of(events.select("event_id", "user_id", "ts"), marks, ["user_id"], "ts", "ts", "last_purchase").select("event_id", "last_purchase")
+
+
+@query("WITH b AS (SELECT event_type, floor(value / 10) AS bin, count(*) AS n, avg(value) AS m FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT event_type, round(m, 6) AS peak_mean, n AS peak_count FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, bin) AS r FROM b) WHERE r = 1")
+def hist_peak_mean(spark, sf_dir):
+    return R.peak_average(table(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"], "value", 10.0).withColumn("peak_mean", F.round("peak_mean", 6))
+
+
+@query("WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT p_brand, n, count(*) AS k, min(p_size) AS v FROM c GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC) AS r FROM t) SELECT p_brand, CASE WHEN k = 1 THEN v END AS mode FROM b WHERE r = 1")
+def mode_or_null(spark, sf_dir):
+    return R.mode_or_null(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
+
+
+@query("SELECT event_id FROM (SELECT event_id, sum(event_id % 97 + 1) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS held FROM events) WHERE held <= 256")
+def lru_budget(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("bytes", F.col("event_id") % 97 + 1)
+    return R.within_budget(events, ["user_id"], "bytes", [F.desc("ts"), F.desc("event_id")], 256).select("event_id")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def request_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS BIGINT) AS sheet FROM orders")
+def nup_chunks(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor((place - 1) / 4).alias("sheet"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size <= 0 THEN 0 ELSE greatest(-4, ceil(log2(p_size / 10.0))) END AS INTEGER) AS level, CAST(ceil(p_retailprice * pow(2.0, CASE WHEN p_size <= 0 THEN 0 ELSE greatest(-4, ceil(log2(p_size / 10.0))) END) / 512) AS INTEGER) AS columns FROM part")
+def tile_grid(spark, sf_dir):
+    level = M.tile_level(F.col("p_size") / 10.0)
+    return table(spark, sf_dir, "part").select("p_partkey", level.alias("level"), M.tile_count(F.col("p_retailprice"), level).alias("columns"))
+
+
+@query("SELECT p_partkey, CAST(k AS BIGINT) AS col FROM (SELECT p_partkey, unnest(range(0, 4)) AS k FROM part) EXCEPT SELECT l_partkey, l_linenumber % 8 FROM lineitem")
+def tiles_missing(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("col"))
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") % 8).cast("long").alias("col"))
+    return wanted.join(held, ["p_partkey", "col"], "left_anti").distinct()
+
+
+@query("SELECT p_partkey, x.x, x.y, x.w, x.h FROM (SELECT p_partkey, unnest([{x: 0, y: 0, w: p_size // 2, h: 30 // 2}, {x: p_size // 2, y: 0, w: p_size // 2, h: 15}, {x: 0, y: 15, w: p_size // 2, h: 15}, {x: p_size // 2, y: 15, w: p_size // 2, h: 15}]) AS x FROM part)")
+def nup_cells(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(M.cells(F.col("p_size"), F.lit(30), F.lit(4))))
+
+
+@query("SELECT event_id, x, CASE WHEN y < 0 THEN -y ELSE y END AS y FROM (SELECT event_id, round(((event_id % 13) * 3.0 + (event_id % 7) * 4.0) / 25.0, 6)::DOUBLE AS x, 0::INTEGER AS y FROM events)")
+def project_point(spark, sf_dir):
+    foot = G.project((F.col("event_id") % 13).cast("double"), (F.col("event_id") % 7).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(4.0))
+    return table(spark, sf_dir, "events").select("event_id", F.round(foot["s"], 6).alias("x"), F.lit(0).alias("y"))

@@ -39,6 +39,10 @@ PERCENT = 85
 HASHES, BANDS, ROWS = 256, 36, 7
 #: Standard deviations that the estimate may lie under the threshold.
 SLACK = 4.0
+#: Minima of the second estimate.
+LONG = 1024
+#: Ids that may be broadcast to pick texts; beyond it texts are shuffled by id.
+BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 KNOWN_WORDS = 300_000
 
@@ -60,9 +64,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 PLACES = _mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-_seeds = _mix(np.arange(1000, 1000 + 2 * HASHES, dtype=np.uint64))
-SCALE = ((_seeds[:HASHES] >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[:, None]
-SHIFT = (_seeds[HASHES:] >> np.uint64(32)).astype(np.uint32)[:, None]
+
+
+def _family(first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scales and shifts of ``size`` hash functions."""
+    seeds = _mix(np.arange(first, first + 2 * size, dtype=np.uint64)) >> np.uint64(32)
+    return (seeds[:size] | np.uint64(1)).astype(np.uint32)[:, None], seeds[size:].astype(np.uint32)[:, None]
+
+
+FAMILY, LONG_FAMILY = _family(1000, HASHES), _family(10_000, LONG)
 BAND_SCALE = _mix(np.arange(5000, 5000 + BANDS * ROWS, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
 
 
@@ -81,23 +91,29 @@ def shingles(text: str | None, hashes: _Hashes) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def minima(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    scale, shift = family
+    out = np.full(len(scale), 0xFFFFFFFF, np.uint32)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    for lo in range(0, len(x), 512):
-        np.minimum(out, (x[lo : lo + 512][None, :] * SCALE + SHIFT).min(axis=1), out=out)
-    return out
+    step = 131_072 // len(scale)
+    for lo in range(0, len(x), step):
+        np.minimum(out, (x[lo : lo + step][None, :] * scale + shift).min(axis=1), out=out)
+    return _mix(out.astype(np.uint64) + np.uint64(1))
+
+
+def bit_planes(m: np.ndarray) -> np.ndarray:
+    """The low bits of all minima, then the second lowest, packed into 64-bit words."""
+    return np.packbits(np.stack([m & np.uint64(1), (m >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8), axis=1).ravel().view(np.int64)
 
 
 def signature(s: np.ndarray) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     """Set size, two halves of the set's digest, band keys, bit planes."""
     if not len(s):
         return 0, 0, 0, np.empty(0, np.int64), np.empty(0, np.int64)
-    m = _mix(minima(s).astype(np.uint64) + np.uint64(1))
+    m = minima(s, FAMILY)
     keys = _mix((m[: BANDS * ROWS].reshape(BANDS, ROWS) * BAND_SCALE).sum(axis=1, dtype=np.uint64)).view(np.int64)
-    planes = np.packbits(np.stack([m & np.uint64(1), (m >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8), axis=1).ravel().view(np.int64)
     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-    return len(s), int(digest[0]), int(digest[1]), keys, planes
+    return len(s), int(digest[0]), int(digest[1]), keys, bit_planes(m)
 
 
 def _signed(text: Column) -> Column:
@@ -113,32 +129,44 @@ def _signed(text: Column) -> Column:
     return F.arrow_udf(run, "n long, d1 long, d2 long, bands array<long>, planes array<long>")(text)
 
 
-def _sets(text: Column) -> Column:
+def _of_sets(text: Column, of) -> Column:
+    """array<long> that ``of`` makes of each text's shingle set."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes()
         for batch in batches:
-            yield pa.array([shingles(t.as_py(), hashes).view(np.int64) for t in batch], pa.list_(pa.int64()))
+            yield pa.array([of(shingles(t.as_py(), hashes)) for t in batch], pa.list_(pa.int64()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<long>")(text)
 
 
-def likely(a: str, b: str) -> Column:
-    """Whether sizes and estimate leave a link possible between rows a and b (columns n, p0..p7)."""
-    half = HASHES // 64
+def of_texts(ids: DataFrame, docs: DataFrame, of, name: str) -> DataFrame:
+    """(id, s): what ``of`` makes of the sets of the documents in ``ids`` (id, distinct)."""
+    ids = common.broadcast_if(ids, common.small(ids, BROADCAST_IDS))
+    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+    return common.materialize(texts.select("id", _of_sets(F.col("text"), of).alias("s")).dropDuplicates(["id"]), name)
+
+
+def likely(a: str, b: str, hashes: int) -> Column:
+    """Whether sizes and estimate leave a link possible between rows a and b (columns n, p0, p1, ...)."""
+    half = hashes // 64
     differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")).bitwiseOR(F.col(f"{a}.p{i + half}").bitwiseXOR(F.col(f"{b}.p{i + half}")))) for i in range(half)), F.lit(0))
     t = PERCENT / 100
     equal = 0.25 + 0.75 * t  # two bits agree by chance in one of four cases
-    least = HASHES * equal - SLACK * (HASHES * equal * (1 - equal)) ** 0.5
+    least = hashes * equal - SLACK * (hashes * equal * (1 - equal)) ** 0.5
     sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= PERCENT * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return sizes & (HASHES - differ >= int(least))
+    return sizes & (hashes - differ >= int(least))
+
+
+def _planes(column: str, hashes: int) -> list[Column]:
+    return [F.col(column)[i].alias(f"p{i}") for i in range(2 * hashes // 64)]
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v: doc ids of classes) whose full sets meet the threshold."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = common.materialize(texts.dropDuplicates(["id"]).select("id", _sets(F.col("text")).alias("s")), "sets")
+    wanted = common.materialize(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), "wanted")
+    sets = of_texts(wanted, docs, lambda s: s.view(np.int64), "sets")
     a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv")).cast("long")
     whole = F.size("su") + F.size("sv")
@@ -147,13 +175,12 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
-    planes = [F.col("planes")[i].alias(f"p{i}") for i in range(2 * HASHES // 64)]
-    signs = classes.select("id", "n", *planes)
+    signs = classes.select("id", "n", *_planes("planes", HASHES))
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where(F.col("centre") < F.col("last"))
     members = common.materialize(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     near = members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
-    near = near.join(signs.alias("a"), F.col("u") == F.col("a.id")).join(signs.alias("b"), F.col("v") == F.col("b.id")).where(likely("a", "b")).select("u", "v")
+    near = near.join(signs.alias("a"), F.col("u") == F.col("a.id")).join(signs.alias("b"), F.col("v") == F.col("b.id")).where(likely("a", "b", HASHES)).select("u", "v")
     near = common.materialize(near, "near")
     linked = common.materialize(confirm(near, docs), "linked")
     first = components(linked)
@@ -163,7 +190,9 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where(F.col("low") < F.col("high"))
     rest = own.join(mixed.select("bucket", "size"), "bucket")
     parts = F.ceil(F.col("size") / block)
-    rest = rest.join(classes.select("id", "n", *planes, "bands"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("parts", parts)
+    rest = common.materialize(rest, "mixed")
+    longer = of_texts(common.materialize(rest.select("id").distinct(), "rest-ids"), docs, lambda s: bit_planes(minima(s, LONG_FAMILY)), "long-planes")
+    rest = rest.join(classes.select("id", "n", "bands").join(longer, "id").select("id", "n", *_planes("s", LONG), "bands"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("parts", parts)
     rest = common.materialize(rest, "rest")
     left = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a = left.where(F.col("part") <= F.col("with")).select("*", F.col("part").alias("i"), F.col("with").alias("j")).alias("a")
@@ -173,7 +202,7 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
     other = (F.col("a.component") != F.col("b.component")) & (F.col("a.id") != F.col("b.centre")) & (F.col("b.id") != F.col("a.centre"))
     here = F.element_at(F.array_intersect("a.bands", "b.bands"), 1) == F.col("a.bucket")
-    pairs = a.join(b, same & once & other & likely("a", "b") & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    pairs = a.join(b, same & once & other & likely("a", "b", LONG) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     pairs = common.materialize(pairs, "rest-pairs")
     if not pairs.limit(1).count():
         return first

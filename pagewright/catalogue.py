@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as G
 from pagewright.functions import layoutmath as M
 from pagewright.functions import text as T
+from pagewright.operators import hierarchy as H
 from pagewright.operators import relations as R
 from pagewright.operators import search as S
 from pagewright.operators import textlayer as L
+from pagewright.operators import viewing as V
 from pagewright.plans import layout
 from pagewright.sources import blocks_json
 
@@ -227,3 +229,109 @@ def nup_cells(spark, sf_dir):
 def project_point(spark, sf_dir):
     foot = G.project((F.col("event_id") % 13).cast("double"), (F.col("event_id") % 7).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(4.0))
     return table(spark, sf_dir, "events").select("event_id", F.round(foot["s"], 6).alias("x"), F.lit(0).alias("y"))
+
+
+@query("SELECT p_partkey, (SELECT min(s) FROM (SELECT unnest(z) AS s) WHERE s > p_size * 0.5) AS larger, (SELECT max(s) FROM (SELECT unnest(z) AS s) WHERE s < p_size * 0.5) AS smaller FROM (SELECT p_partkey, p_size, [0.08, 0.125, 0.25, 0.33, 0.5, 0.67, 0.75, 1, 1.25, 1.5, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64]::DOUBLE[] AS z FROM part)")
+def zoom_steps(spark, sf_dir):
+    zoom = F.col("p_size") * 0.5
+    return table(spark, sf_dir, "part").select("p_partkey", V.next_zoom(zoom).alias("larger"), V.previous_zoom(zoom).alias("smaller"))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 + 3 AS height FROM orders), s AS (SELECT *, sum(height) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS bottom FROM p),
+v AS (SELECT *, bottom - height AS top, c_custkey % 11 AS vt, c_custkey % 11 + 12 AS vb FROM s JOIN customer ON c_custkey = o_custkey), x AS (SELECT *, least(bottom, vb) - greatest(top, vt) AS shown FROM v WHERE top <= vb AND bottom >= vt)
+SELECT o_custkey, min(o_orderkey) AS first_page, max(o_orderkey) AS last_page, first(o_orderkey ORDER BY shown DESC, o_orderkey) AS most_visible FROM x GROUP BY o_custkey""")
+def page_visibility(spark, sf_dir):
+    pages = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 5 + 3).alias("height"))
+    top = F.col("c_custkey") % 11
+    views = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), top.alias("view_top"), (top + 12).alias("view_bottom"))
+    return V.most_visible(V.visible(V.stacked(pages, ["o_custkey"], "o_orderkey", "height"), views, ["o_custkey"], "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+BOX_SQL = "b AS (SELECT p_partkey AS id, p_partkey % 5 AS page, (p_partkey * 37 % 600)::DOUBLE AS x0, (p_partkey * 53 % 800)::DOUBLE AS y0, (p_partkey * 37 % 600 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 800 + 14)::DOUBLE AS y1 FROM part)"
+
+
+@query(f"WITH {BOX_SQL}, q AS (SELECT event_id, event_id % 5 AS page, (event_id * 7 % 650)::DOUBLE AS x, (event_id * 11 % 820)::DOUBLE AS y FROM events) SELECT event_id, min(id) AS box FROM q LEFT JOIN b ON b.page = q.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY event_id")
+def hit_test_word(spark, sf_dir):
+    k = F.col("p_partkey")
+    x, y = (k * 37 % 600).cast("double"), (k * 53 % 800).cast("double")
+    boxes = table(spark, sf_dir, "part").select(k.alias("id"), (k % 5).alias("page"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size")).alias("x1"), (y + 14).alias("y1"))
+    e = F.col("event_id")
+    points = table(spark, sf_dir, "events").select("event_id", (e % 5).alias("page"), (e * 7 % 650).cast("double").alias("x"), (e * 11 % 820).cast("double").alias("y"))
+    return V.hit_test(points, boxes, ["page"], 32.0).select("event_id", "box")
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    pages = layout.page_words(table(spark, sf_dir, "documents"))
+    return pages.select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value"))
+
+
+WORDS_SQL = PAGES_SQL + ", e AS (SELECT doc_id, page_no, unnest(range(0, len(words))) AS word_idx, unnest(words) AS value FROM i)"
+
+
+@query(WORDS_SQL + " SELECT doc_id, page_no, CAST(word_idx AS INTEGER) AS word_idx, value, doc_id % 2 = 0 AS backward FROM e WHERE (page_no > 1 OR word_idx >= 5) AND (page_no < 2 OR (page_no = 2 AND word_idx <= 9))")
+def selection_words(spark, sf_dir):
+    back = F.col("doc_id") % 2 == 0
+    pick = lambda a, b: F.when(back, F.lit(b)).otherwise(F.lit(a))
+    ends = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", pick(1, 2).alias("anchor_page"), pick(5, 9).alias("anchor_word"), pick(2, 1).alias("focus_page"), pick(9, 5).alias("focus_word"))
+    return V.selected(_words(spark, sf_dir), ends, ["doc_id"])
+
+
+@query("WITH w AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS word_idx, o_orderstatus AS line FROM orders) SELECT o_custkey, word_idx, first_word, last_word FROM w JOIN (SELECT o_custkey, line, min(word_idx) AS first_word, max(word_idx) AS last_word FROM w GROUP BY ALL) USING (o_custkey, line) WHERE word_idx = 2")
+def click_expand(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
+    words = table(spark, sf_dir, "orders").select("o_custkey", place.alias("word_idx"), F.col("o_orderstatus").alias("line"))
+    return V.expand(words.where("word_idx = 2").select("o_custkey", "word_idx"), words, ["o_custkey"], "line")
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY page ORDER BY d, CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END, p_partkey) AS turn FROM (SELECT *, dx * dx + dy * dy AS d, atan2(dx, -dy) AS a FROM (SELECT p_partkey, p_partkey % 7 AS page, (p_partkey // 7) % 9 + 0.5::DOUBLE - 4.5::DOUBLE AS dx, p_size % 9 + 0.5::DOUBLE - 4.5::DOUBLE AS dy FROM part))")
+def tile_priority(spark, sf_dir):
+    tiles = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("page"), (F.floor(F.col("p_partkey") / 7) % 9).alias("col"), (F.col("p_size") % 9).alias("row"))
+    order = Window.partitionBy("page").orderBy("distance2", "angle", "p_partkey")
+    return V.tile_order(tiles, F.lit(4.5), F.lit(4.5)).select("p_partkey", F.row_number().over(order).cast("long").alias("turn"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_partkey % 3 AS page, CAST(p_size % 6 AS INTEGER) AS level, p_partkey % 13 AS col, p_partkey % 17 AS row FROM part), h AS (SELECT DISTINCT s_suppkey % 3 AS page, CAST(s_suppkey % 8 AS INTEGER) AS level, s_suppkey % 11 AS col, s_suppkey % 7 AS row FROM supplier),
+c AS (SELECT p_partkey, max(h.level) AS l FROM w JOIN h ON h.page = w.page AND w.level - h.level BETWEEN 1 AND 8 AND h.col = w.col >> (w.level - h.level) AND h.row = w.row >> (w.level - h.level) GROUP BY p_partkey),
+f AS (SELECT p_partkey, min(h.level) AS l FROM w JOIN h ON h.page = w.page AND h.level - w.level BETWEEN 1 AND 8 AND w.col = h.col >> (h.level - w.level) AND w.row = h.row >> (h.level - w.level) GROUP BY p_partkey)
+SELECT w.p_partkey, coalesce(c.l, f.l) AS fallback_level FROM w LEFT JOIN c USING (p_partkey) LEFT JOIN f USING (p_partkey)""")
+def tile_fallback(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    wanted = table(spark, sf_dir, "part").select("p_partkey", (k % 3).alias("page"), (F.col("p_size") % 6).cast("int").alias("level"), (k % 13).alias("col"), (k % 17).alias("row"))
+    held = table(spark, sf_dir, "supplier").select((s % 3).alias("page"), (s % 8).cast("int").alias("level"), (s % 11).alias("col"), (s % 7).alias("row"))
+    return V.tile_fallback(wanted, held).select("p_partkey", "fallback_level")
+
+
+@query("SELECT 'r' || r_regionkey AS node_id, CAST(r_regionkey AS VARCHAR) AS path, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey || '/' || n_nationkey, 1 FROM nation UNION ALL SELECT 's' || s_suppkey, n_regionkey || '/' || n_nationkey || '/' || s_suppkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def tree_flatten(spark, sf_dir):
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = region.select(node("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").alias("place"))
+    nodes = nodes.union(nation.select(node("n", "n_nationkey"), node("r", "n_regionkey"), "n_nationkey")).union(supplier.select(node("s", "s_suppkey"), node("n", "s_nationkey"), "s_suppkey"))
+    return H.paths(nodes).select("node_id", F.array_join("path", "/").alias("path"), "depth")
+
+
+@query("SELECT l_orderkey AS node_id, l_linenumber - 1 AS place, p_partkey AS id, p_name FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS l_linenumber FROM lineitem) JOIN part ON p_partkey = l_partkey")
+def tree_block_lookup(spark, sf_dir):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"])
+    nodes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(ids.alias("block_ids")).withColumn("set", F.lit(1))
+    blocks = table(spark, sf_dir, "part").select(F.lit(1).alias("set"), F.col("p_partkey").alias("id"), F.lit(0).alias("place"), "p_name")
+    return H.block_lookup(nodes, blocks, ["set"]).select("node_id", F.col("place").cast("long").alias("place"), "id", "p_name")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END, first_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS size FROM orders")
+def default_page_size(spark, sf_dir):
+    first = F.first("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")), first).alias("size"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE contains(lower(s), 'the') GROUP BY doc_id")
+def block_filter(spark, sf_dir):
+    blocks = blocks_json.pages_json(_pages_json(spark, sf_dir))
+    return blocks.where(F.col("type").isin("title", "text") & F.contains(F.lower("content"), F.lit("the"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(range(greatest(o_custkey % 9, 1), least(o_custkey % 9 + 3, 10) + 1), CASE WHEN o_orderkey % 15 BETWEEN 1 AND 10 THEN [o_orderkey % 15] ELSE [] END))), ',') AS pages FROM orders")
+def page_ranges(spark, sf_dir):
+    low = F.col("o_custkey") % 9
+    typed = F.concat(low.cast("string"), F.lit(" - "), (low + 3).cast("string"), F.lit(", x,"), (F.col("o_orderkey") % 15).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.page_ranges(typed, F.lit(10)), ",").alias("pages"))

@@ -26,5 +26,20 @@ def pages_json(raw: DataFrame, column: str = "json") -> DataFrame:
 
 def flat_json(raw: DataFrame, column: str = "json") -> DataFrame:
     """Blocks of a flat array; anything but an array gives none. The page defaults to 1, the id is the place."""
-    each = raw.select(F.posexplode(F.from_json(column, f"array<{BLOCK}>")).alias("id", "b"))
+    # from_json takes an object for an array of one.
+    array = F.when(F.col(column).rlike(r"^\s*\["), F.from_json(column, f"array<{BLOCK}>"))
+    each = raw.select(F.posexplode(array).alias("id", "b"))
     return each.select("id", F.coalesce("b.page", F.lit(1)).alias("page"), *_block(F.col("b")))
+
+
+def combined(pages: DataFrame, inference: DataFrame, trees: DataFrame) -> DataFrame:
+    """One row a document from its three stages: pages and inference (doc_id, blocks), trees (doc_id, tree).
+
+    Inference stands in for missing pages; has_* tell which stages there are. Each has one row a document; a
+    document in none has none.
+    """
+    p = pages.select("doc_id", F.col("blocks").alias("pages"))
+    i = inference.select("doc_id", F.col("blocks").alias("inference"))
+    both = p.join(i, "doc_id", "full").join(trees.select("doc_id", "tree"), "doc_id", "full")
+    held = [F.col(c).isNotNull().alias(f"has_{c}") for c in ("pages", "inference", "tree")]
+    return both.select("doc_id", F.coalesce("pages", "inference").alias("pages"), "inference", "tree", *held)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import hierarchy as H
 from pagewright.operators import viewing as V
 from pagewright.sinks import markdown
-from pagewright.sources import archives
+from pagewright.sources import archives, blocks_json
 
 
 def rows(df):
@@ -92,3 +92,23 @@ def test_archive_members_by_priority(spark):
 
     files = spark.createDataFrame([("1", packed("x.json", "a_content_list.json", "d/a_middle.json")), ("2", packed("z.txt", "x.json")), ("3", packed("t.txt")), ("4", b"broken"), ("5", None)], "path string, content binary")
     assert {tuple(r) for r in archives.archived_json(files).collect()} == {("1", "d/a_middle.json", '"d/a_middle.json"'), ("2", "x.json", '"x.json"'), ("3", None, None), ("4", None, None), ("5", None, None)}
+
+
+def test_inference_stands_in_for_missing_pages(spark):
+    form = "doc_id int, blocks array<int>"
+    pages, inference = spark.createDataFrame([(1, [1])], form), spark.createDataFrame([(1, [2]), (2, [3])], form)
+    trees = spark.createDataFrame([(2, "t"), (3, "u")], "doc_id int, tree string")
+    got = blocks_json.combined(pages, inference, trees).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, [1], [2], None, True, True, False), (2, [3], [3], "t", False, True, True), (3, None, None, "u", False, False, True)]
+
+
+def test_flat_json_is_an_array_or_nothing(spark):
+    raw = spark.createDataFrame([('[{"text": "a", "category": "title", "box": [1, 2, 3, 5]}, {"content": "b", "text": "c", "page": 4}]',), ('{"a": 1}',), (None,)], "json string")
+    got = blocks_json.flat_json(raw).orderBy("id").select("id", "page", "content").collect()
+    assert [tuple(r) for r in got] == [(0, 1, "a"), (1, 4, "b")]
+
+
+def test_markdown_goes_to_a_folder_for_each_document(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, [0, 1], "title", 1, "B", ""), (1, [0], "title", 0, "A", ""), (2, [0], "caption", 0, "", "c")], "d int, path array<int>, kind string, level int, title string, content string")
+    markdown.write(nodes, "d", str(tmp_path / "out"))
+    assert [p.read_text() for d in (1, 2) for p in (tmp_path / "out" / f"d={d}").glob("part-*")] == ["# A\n\n## B\n\n\n", "*c*\n\n\n"]

@@ -260,6 +260,20 @@ def hit_test_word(spark, sf_dir):
     return V.hit_test(points, boxes, ["page"], 32.0).select("event_id", "box")
 
 
+@query("""WITH l AS (SELECT p_partkey AS line, p_partkey % 500 AS page, (p_partkey * 37 % 600)::DOUBLE AS x0, (p_partkey * 37 % 600 + 20 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 800)::DOUBLE AS y1 FROM part),
+q AS (SELECT event_id, event_id % 500 AS page, (event_id * 7 % 650)::DOUBLE AS x, (event_id * 11 % 820)::DOUBLE AS y FROM events),
+c AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (x - least(x, x1)) * (x - least(x, x1)) + 4 * (y - y1) * (y - y1), line) AS r FROM q JOIN l USING (page) WHERE x >= x0)
+SELECT q.event_id, c.line, CASE WHEN c.x >= c.x1 OR least(abs(c.x - c.x0), abs(c.x - c.x0 - 10)) > least(abs(c.x - c.x0 - 12), abs(c.x - c.x1)) THEN 2 * c.line + 1 ELSE 2 * c.line END AS word_idx FROM q LEFT JOIN c ON c.event_id = q.event_id AND c.r = 1""")
+def nearest_selecting(spark, sf_dir):
+    k, e = F.col("p_partkey"), F.col("event_id")
+    x0 = (k * 37 % 600).cast("double")
+    lines = table(spark, sf_dir, "part").select((k % 500).alias("page"), k.alias("line"), x0.alias("x0"), (x0 + 20 + F.col("p_size")).alias("x1"), (k * 53 % 800).cast("double").alias("y1"))
+    halves = F.array(F.struct((F.col("line") * 2).alias("word_idx"), F.col("x0").alias("x0"), (F.col("x0") + 10).alias("x1")), F.struct((F.col("line") * 2 + 1).alias("word_idx"), (F.col("x0") + 12).alias("x0"), F.col("x1").alias("x1")))
+    words = lines.select("page", "line", "y1", F.explode(halves).alias("w")).select("page", "line", "y1", "w.*")
+    points = table(spark, sf_dir, "events").select("event_id", (e % 500).alias("page"), (e * 7 % 650).cast("double").alias("x"), (e * 11 % 820).cast("double").alias("y"))
+    return V.nearest_while_selecting(points, lines, words, ["page"], "event_id").select("event_id", "line", "word_idx")
+
+
 def _words(spark, sf_dir) -> DataFrame:
     pages = layout.page_words(table(spark, sf_dir, "documents"))
     return pages.select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value"))

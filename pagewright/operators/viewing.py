@@ -52,6 +52,29 @@ def hit_test(points: DataFrame, boxes: DataFrame, by: list[str], cell: float) ->
     return held.groupBy("_row").agg(*[F.first(c).alias(c) for c in points.columns], F.min(F.when(inside, F.col("id"))).alias("box")).drop("_row")
 
 
+def nearest_while_selecting(points: DataFrame, lines: DataFrame, words: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``points`` (key, by, x, y) plus line and word_idx: the word that a selection dragged to the point ends at, or null.
+
+    ``lines`` (by, line, x0, x1, y1) and ``words`` (by, line, word_idx, x0, x1, y1) are horizontal; y1 is the lower edge.
+    Lines that begin right of the point don't count. The nearest to the point's foot, or to the line's end when the
+    point is beyond it, wins; heights weigh fourfold, the smaller line on ties. Beyond the end its last word is taken,
+    else the word with the nearest lower corner (the first of equals). ``key`` names a point; a null key stays null.
+
+    All joins are on ``by``, whose lines are those of one page, and only the least row of a point passes a shuffle.
+    """
+    held = lines.select(*by, "line", *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y1")])
+    foot = F.least("x", "_x1")
+    far = (F.col("x") - foot) ** 2 + 4 * (F.col("y") - F.col("_y1")) ** 2
+    reached = points.select(key, *by, "x", "y").join(held, by).where((F.col("x") >= F.col("_x0")) & (F.col("_x1") > F.col("_x0")))
+    best = F.min(F.struct(far.alias("far"), "line", (F.col("x") >= F.col("_x1")).alias("beyond"), "x", "y")).alias("best")
+    chosen = reached.groupBy(key, *by).agg(best).select(key, *by, "best.line", "best.beyond", "best.x", "best.y")
+    parts = words.select(*by, "line", "word_idx", *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y1")])
+    corner = F.least((F.col("x") - F.col("_x0")) ** 2, (F.col("x") - F.col("_x1")) ** 2) + (F.col("y") - F.col("_y1")) ** 2
+    rank = F.when(F.col("beyond"), -F.col("word_idx").cast("double")).otherwise(corner)
+    ends = chosen.join(parts, [*by, "line"]).groupBy(key, *by, "line").agg(F.min(F.struct(rank.alias("rank"), "word_idx")).alias("w"))
+    return points.join(ends.select(key, *by, "line", "w.word_idx"), [key, *by], "left")
+
+
 def selected(words: DataFrame, selections: DataFrame, by: list[str]) -> DataFrame:
     """Words (by, page_no, word_idx, ...) of each document's selection, in either direction.
 

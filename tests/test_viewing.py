@@ -65,6 +65,17 @@ def test_paths_sort_in_pre_order_and_leave_out_what_no_root_reaches(spark):
     assert [(r.node_id, r.path, r.depth) for r in got] == [("a", [0], 0), ("c", [0, 0], 1), ("d", [0, 0, 0], 2), ("b", [0, 1], 1)]
 
 
+def test_nearest_word_while_selecting(spark):
+    box = "page int, line int, x0 double, x1 double, y1 double"
+    lines = spark.createDataFrame([(1, 0, 0.0, 100.0, 10.0), (1, 1, 0.0, 40.0, 30.0), (1, 2, 80.0, 90.0, 30.0), (1, 3, 5.0, 5.0, 12.0)], box)
+    words = spark.createDataFrame([(1, 0, 0, 0.0, 30.0, 10.0), (1, 0, 1, 35.0, 100.0, 10.0), (1, 1, 2, 0.0, 15.0, 30.0), (1, 1, 3, 20.0, 40.0, 30.0), (1, 2, 4, 80.0, 90.0, 30.0)], "page int, line int, word_idx int, x0 double, x1 double, y1 double")
+    # In line 0; beside the second line, where height counts more than width; left of all; tie of corners; other page; no key.
+    points = spark.createDataFrame([(1, 1, 34.0, 11.0), (2, 1, 60.0, 29.0), (3, 1, -1.0, 10.0), (4, 1, 17.5, 30.0), (5, 2, 1.0, 1.0), (6, 1, 101.0, 30.0), (None, 1, 1.0, 1.0)], "id int, page int, x double, y double")
+    got = V.nearest_while_selecting(points, lines, words, ["page"], "id").where("id IS NOT NULL").select("id", "line", "word_idx")
+    assert rows(got) == [(1, 0, 1), (2, 1, 3), (3, None, None), (4, 1, 2), (5, None, None), (6, 2, 4)]
+    assert V.nearest_while_selecting(points, lines, words, ["page"], "id").where("id IS NULL").first().line is None
+
+
 def test_block_lookup_takes_the_first_block_and_drops_missing_ones(spark):
     nodes = spark.createDataFrame([(1, 10, 0, [5, 9, 6]), (1, 11, 1, [5]), (1, 12, 2, [])], "d int, node_id int, preorder int, block_ids array<int>")
     blocks = spark.createDataFrame([(1, 5, 1, "late"), (1, 5, 0, "first"), (1, 6, 2, "six")], "d int, id int, place int, content string")

@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
-A document's set holds its distinct ``WIDTH``-word shingles. ``HASHES`` minima are
-taken; bands of ``ROWS`` minima give candidate buckets; the low two bits of every
-minimum are packed into two bit planes, and counts of equal bits give a similarity
-corrected for chance collisions. Pairs clearly under the threshold by that estimate
+A document's set holds its distinct ``WIDTH``-word shingles. Minima are taken as the
+threshold's ``SCHEMES`` entry says; bands of them give candidate buckets; the low two
+bits of the first ``HASHES`` are packed into two bit planes, and counts of equal bits
+give a similarity corrected for chance collisions. Pairs clearly under the threshold by that estimate
 or by set size are dropped; the rest are confirmed by counting shared shingles.
 
 Documents of equal sets are one class, with the smallest doc_id to stand for it. In a
@@ -13,7 +13,8 @@ still hold several components are then joined with themselves, in blocks of boun
 size, for pairs between different components. That leaves no link out: each pair that
 shares a bucket is confirmed, refuted, or inside a component already.
 
-Two sets of similarity 0.85 miss all buckets with probability below 1e-6.
+The threshold is a parameter, in percent: ``PERCENT`` in op6, ``STAGE_PERCENT`` in the
+pipeline's stage. Two sets at the threshold miss all buckets with probability below 1e-6.
 
 Null and empty texts have no shingles and are linked with nothing; texts under
 ``WIDTH`` words are one shingle. Repeated rows are one class. Rows with a null doc_id
@@ -24,6 +25,7 @@ read whole, in runs of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,10 @@ from pagewright.llm import common
 from pagewright.llm.components import components
 
 WIDTH = 5
-PERCENT = 85
-HASHES, BANDS, ROWS = 256, 36, 7
+#: Thresholds of op6 and of the pipeline's stage.
+PERCENT, STAGE_PERCENT = 85, 80
+#: Minima of the first estimate.
+HASHES = 256
 #: Standard deviations that the estimate may lie under the threshold.
 SLACK = 4.0
 #: Minima of the second estimate.
@@ -72,8 +76,22 @@ def _family(first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (seeds[:size] | np.uint64(1)).astype(np.uint32)[:, None], seeds[size:].astype(np.uint32)[:, None]
 
 
-FAMILY, LONG_FAMILY = _family(1000, HASHES), _family(10_000, LONG)
-BAND_SCALE = _mix(np.arange(5000, 5000 + BANDS * ROWS, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
+class Scheme(NamedTuple):
+    """The bands of a threshold: as many as miss a pair at it with probability below 1e-6."""
+
+    bands: int
+    rows: int
+    family: tuple[np.ndarray, np.ndarray]
+    scale: np.ndarray
+
+
+def _scheme(bands: int, rows: int) -> Scheme:
+    scale = _mix(np.arange(5000, 5000 + bands * rows, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
+    return Scheme(bands, rows, _family(1000, max(HASHES, bands * rows)), scale)
+
+
+LONG_FAMILY = _family(10_000, LONG)
+SCHEMES = {85: _scheme(36, 7), 80: _scheme(46, 6)}
 
 
 def shingles(text: str | None, hashes: _Hashes) -> np.ndarray:
@@ -106,23 +124,24 @@ def bit_planes(m: np.ndarray) -> np.ndarray:
     return np.packbits(np.stack([m & np.uint64(1), (m >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8), axis=1).ravel().view(np.int64)
 
 
-def signature(s: np.ndarray) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+def signature(s: np.ndarray, scheme: Scheme) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     """Set size, two halves of the set's digest, band keys, bit planes."""
     if not len(s):
         return 0, 0, 0, np.empty(0, np.int64), np.empty(0, np.int64)
-    m = minima(s, FAMILY)
-    keys = _mix((m[: BANDS * ROWS].reshape(BANDS, ROWS) * BAND_SCALE).sum(axis=1, dtype=np.uint64)).view(np.int64)
+    m = minima(s, scheme.family)
+    keys = _mix((m[: scheme.bands * scheme.rows].reshape(scheme.bands, scheme.rows) * scheme.scale).sum(axis=1, dtype=np.uint64)).view(np.int64)
     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-    return len(s), int(digest[0]), int(digest[1]), keys, bit_planes(m)
+    return len(s), int(digest[0]), int(digest[1]), keys, bit_planes(m[:HASHES])
 
 
-def _signed(text: Column) -> Column:
+def _signed(text: Column, percent: int) -> Column:
+    scheme = SCHEMES[percent]
     fields = pa.struct([("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes()
         for batch in batches:
-            columns = list(zip(*[signature(shingles(t.as_py(), hashes)) for t in batch], strict=True)) or [[]] * 5
+            columns = list(zip(*[signature(shingles(t.as_py(), hashes), scheme) for t in batch], strict=True)) or [[]] * 5
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=list(fields))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -148,14 +167,14 @@ def of_texts(ids: DataFrame, docs: DataFrame, of, name: str) -> DataFrame:
     return common.materialize(texts.select("id", _of_sets(F.col("text"), of).alias("s")).dropDuplicates(["id"]), name)
 
 
-def likely(a: str, b: str, hashes: int) -> Column:
+def likely(a: str, b: str, hashes: int, percent: int) -> Column:
     """Whether sizes and estimate leave a link possible between rows a and b (columns n, p0, p1, ...)."""
     half = hashes // 64
     differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")).bitwiseOR(F.col(f"{a}.p{i + half}").bitwiseXOR(F.col(f"{b}.p{i + half}")))) for i in range(half)), F.lit(0))
-    t = PERCENT / 100
+    t = percent / 100
     equal = 0.25 + 0.75 * t  # two bits agree by chance in one of four cases
     least = hashes * equal - SLACK * (hashes * equal * (1 - equal)) ** 0.5
-    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= PERCENT * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
     return sizes & (hashes - differ >= int(least))
 
 
@@ -163,26 +182,26 @@ def _planes(column: str, hashes: int) -> list[Column]:
     return [F.col(column)[i].alias(f"p{i}") for i in range(2 * hashes // 64)]
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v: doc ids of classes) whose full sets meet the threshold."""
     wanted = common.materialize(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), "wanted")
     sets = of_texts(wanted, docs, lambda s: s.view(np.int64), "sets")
     a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv")).cast("long")
     whole = F.size("su") + F.size("sv")
-    return pairs.join(a, "u").join(b, "v").where(100 * shared >= PERCENT * (whole - shared)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(100 * shared >= percent * (whole - shared)).select("u", "v")
 
 
-def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
     signs = classes.select("id", "n", *_planes("planes", HASHES))
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where(F.col("centre") < F.col("last"))
     members = common.materialize(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     near = members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
-    near = near.join(signs.alias("a"), F.col("u") == F.col("a.id")).join(signs.alias("b"), F.col("v") == F.col("b.id")).where(likely("a", "b", HASHES)).select("u", "v")
+    near = near.join(signs.alias("a"), F.col("u") == F.col("a.id")).join(signs.alias("b"), F.col("v") == F.col("b.id")).where(likely("a", "b", HASHES, percent)).select("u", "v")
     near = common.materialize(near, "near")
-    linked = common.materialize(confirm(near, docs), "linked")
+    linked = common.materialize(confirm(near, docs, percent), "linked")
     first = components(linked)
 
     # Buckets that still hold several components.
@@ -202,22 +221,22 @@ def links(docs: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
     once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
     other = (F.col("a.component") != F.col("b.component")) & (F.col("a.id") != F.col("b.centre")) & (F.col("b.id") != F.col("a.centre"))
     here = F.element_at(F.array_intersect("a.bands", "b.bands"), 1) == F.col("a.bucket")
-    pairs = a.join(b, same & once & other & likely("a", "b", LONG) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    pairs = a.join(b, same & once & other & likely("a", "b", LONG, percent) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     pairs = common.materialize(pairs, "rest-pairs")
     if not pairs.limit(1).count():
         return first
-    return components(linked.union(confirm(pairs, docs)))
+    return components(linked.union(confirm(pairs, docs, percent)))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text) at a threshold in ``SCHEMES``."""
     common.bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = common.materialize(docs.select("doc_id", _signed(F.col("text")).alias("x")).select("doc_id", "x.*"), "signatures")
+    signed = common.materialize(docs.select("doc_id", _signed(F.col("text"), percent).alias("x")).select("doc_id", "x.*"), "signatures")
     of_class = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = of_class.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     first = of_class.withColumnRenamed("doc_id", "id").join(classes, ["d1", "d2", "id"], "left_semi").dropDuplicates(["d1", "d2"])
-    found = links(docs, common.materialize(first.select("id", "n", "bands", "planes"), "classes"))
+    found = links(docs, common.materialize(first.select("id", "n", "bands", "planes"), "classes"), percent)
     classes = classes.join(found, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(classes, ["d1", "d2"], "left")
     component = F.coalesce("component", "doc_id")
@@ -229,6 +248,6 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays."""
-    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """Pipeline stage: one document of each group at ``STAGE_PERCENT`` stays."""
+    gone = near_dedup(docs, STAGE_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -30,16 +30,48 @@ from pagewright.llm import common
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
-UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head|nav)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|title|blockquote|pre)\b[^>]*>", re.I)
+#: A comment, or the start of an element that isn't seen; of its name nothing may follow.
+UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)(?![\w-])[^>]*>", re.S | re.I)
+#: What may stand in a head; anything else ends it.
+IN_HEAD = re.compile(r"(?:\s++|<!--.*?(?:-->|\Z)|<(?:meta|link|base)(?![\w-])[^>]*>|</(?!(?:head|body|html|br)\b)[a-z][^>]*>|<[!?][^>]*>)++|<(script|style|template|noscript|title)(?![\w-])[^>]*>", re.S | re.I)
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "noscript", "title")}
+BREAK = re.compile(r"</?(?:p|div|nav|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|title|blockquote|pre)\b[^>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
 BLANKS = re.compile(r"[ \t\r\f\v ]+")
 LINES = re.compile(r" ?\n[ \n]*")
 
 
+def seen(page: str) -> str:
+    """The page without comments, heads and elements that aren't seen.
+
+    A head ends where HTML ends it: at its end tag or at the first thing that can't
+    stand in it. Script, style and comments that aren't closed reach to the page's end; of
+    other elements that aren't closed only the tag goes.
+    """
+    out, at, unclosed = [], 0, set()
+
+    def past(tag: re.Match) -> int:
+        name = tag[1].lower()
+        end = None if name in unclosed else ENDS[name].search(page, tag.end())
+        if end:
+            return end.end()
+        unclosed.add(name)
+        return len(page) if name in ("script", "style") else tag.end()
+
+    while m := UNSEEN.search(page, at):
+        out += page[at : m.start()], " "
+        if not m[1] or m[1].lower() != "head":
+            at = past(m) if m[1] else m.end()
+            continue
+        at = m.end()
+        while m := IN_HEAD.match(page, at):
+            at = past(m) if m[1] else m.end()
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Visible text: one line per block element, blanks collapsed."""
-    text = TAG.sub("", BREAK.sub("\n", UNSEEN.sub(" ", page)))
+    text = TAG.sub("", BREAK.sub("\n", seen(page)))
     return LINES.sub("\n", BLANKS.sub(" ", html.unescape(text))).strip()
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from pagewright.llm import near_dedup
+from pagewright.llm import near_dedup, warc
 
 
 def test_near_dedup_stage_links_copies_from_its_own_threshold(spark):
@@ -16,3 +16,16 @@ def test_near_dedup_stage_links_copies_from_its_own_threshold(spark):
     assert all(r.kept for r in near_dedup.near_dedup(docs).collect())  # op6 keeps its own threshold
     for percent, scheme in near_dedup.SCHEMES.items():
         assert (1 - (percent / 100) ** scheme.rows) ** scheme.bands < 1e-6
+
+
+def test_warc_text_of_pages_without_end_tags():
+    assert warc.plain_text("<html><head><title>t</title><body><p>hello world</p></body></html>") == "hello world"
+    assert warc.plain_text("<head><meta charset=x><!-- c --><style>p{}</style><script>'<p>'</script></link><p>a") == "a"
+    assert warc.plain_text("<HEAD>\n<title>t</title>\n</HEAD >\nbare text") == "bare text"
+    for tag in ("nav", "noscript", "template"):
+        assert warc.plain_text(f"<p>a</p><{tag}><p>b</p>") == "a\nb"
+    assert warc.plain_text("<nav><a>Home</a></nav><p>a</p>") == "Home\na"
+    assert warc.plain_text("a<template>b</template><noscript>c</noscript><style>d</style><header>e</header>") == "a\ne"
+    for tag in ("<style>", "<script>", "<!--"):
+        assert warc.plain_text(f"<p>a</p>{tag}b") == "a"
+    assert warc.plain_text("<noscript><head><title>" * 100_000 + "x") == "x"

@@ -1,9 +1,10 @@
 """Line dedup by distinct-site spread.
 
 Each line of at least ``MIN_CHARS`` characters is hashed. HyperLogLog sketches of the
-sites merge by aggregation per line hash. A line whose estimate is under half of
-``min_sites`` is local; one over twice of it is boilerplate; lines between get exact
-distinct counts of sites. Of a boilerplate line, the occurrence in the row with the
+sites merge by aggregation per line hash. A line whose estimate is over twice
+``min_sites`` is boilerplate; all others that occur often enough get exact distinct
+counts of sites, as sites that share a register can make an estimate any bit too
+small, but hardly too large. Of a boilerplate line, the occurrence in the row with the
 smallest id (then its first line) stays in the corpus, every other is cut.
 
 Sketches and counts combine before the shuffle, so a line that a third of all rows
@@ -40,7 +41,7 @@ def boilerplate(each: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     place = F.struct("k1", "k2", "line")
     spread = each.groupBy(*LINE).agg(F.approx_count_distinct("site", ERROR).alias("about"), F.min(place).alias("first"), F.count("*").alias("n"))
     # As many sites need as many occurrences.
-    spread = common.materialize(spread.where((F.col("about") >= min_sites / 2) & (F.col("n") >= min_sites)), "line-spread")
+    spread = common.materialize(spread.where(F.col("n") >= min_sites), "line-spread")
     clear = spread.where(F.col("about") > 2 * min_sites)
     near = spread.where(F.col("about") <= 2 * min_sites)
     pairs = each.select(*LINE, "site").join(near.select(*LINE), LINE, "left_semi").distinct()

@@ -2,7 +2,9 @@
 
 import random
 
-from pagewright.llm import near_dedup, warc
+from pyspark.sql import functions as F
+
+from pagewright.llm import line_dedup, near_dedup, warc
 
 
 def test_near_dedup_stage_links_copies_from_its_own_threshold(spark):
@@ -29,3 +31,15 @@ def test_warc_text_of_pages_without_end_tags():
     for tag in ("<style>", "<script>", "<!--"):
         assert warc.plain_text(f"<p>a</p>{tag}b") == "a"
     assert warc.plain_text("<noscript><head><title>" * 100_000 + "x") == "x"
+
+
+def test_line_dedup_counts_sites_that_share_a_register(spark):
+    named = spark.range(2000).select(F.concat(F.lit("site"), "id").alias("s"))
+    register = F.shiftrightunsigned(F.xxhash64("s"), 57)  # the first 7 bits
+    same = named.groupBy(register.alias("r")).agg(F.array_sort(F.collect_set("s")).alias("s")).orderBy("r").first().s[:3]
+    assert named.where(F.col("s").isin(same)).agg(F.approx_count_distinct("s", line_dedup.ERROR)).first()[0] == 1
+    line = "The same line on three sites."
+    docs = spark.createDataFrame([(i, line, s) for i, s in enumerate([*same, same[0]])], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.cleaned(docs).collect()) == [(0, line), (1, ""), (2, ""), (3, "")]
+    local = docs.where(F.col("source") != same[2])
+    assert all(r.text == line for r in line_dedup.cleaned(local).collect())

@@ -14,7 +14,9 @@ size, for pairs between different components. That leaves no link out: each pair
 shares a bucket is confirmed, refuted, or inside a component already.
 
 The threshold is a parameter, in percent: ``PERCENT`` in op6, ``STAGE_PERCENT`` in the
-pipeline's stage. Two sets at the threshold miss all buckets with probability below 1e-6.
+pipeline's stage. Two sets at the threshold miss all buckets with probability below 1e-6,
+and the one estimate that their pair goes through, that of the centres' pass or that of
+the later one, drops it with at most ``LOSS``: below 2e-6 in all.
 
 Null and empty texts have no shingles and are linked with nothing; texts under
 ``WIDTH`` words are one shingle. Repeated rows are one class. Rows with a null doc_id
@@ -25,6 +27,8 @@ read whole, in runs of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import exp, lgamma, log
 from typing import NamedTuple
 
 import numpy as np
@@ -41,8 +45,8 @@ WIDTH = 5
 PERCENT, STAGE_PERCENT = 85, 80
 #: Minima of the first estimate.
 HASHES = 256
-#: Standard deviations that the estimate may lie under the threshold.
-SLACK = 4.0
+#: Probability that an estimate drops a pair at the threshold.
+LOSS = 1e-6
 #: Minima of the second estimate.
 LONG = 1024
 #: Ids that may be broadcast to pick texts; beyond it texts are shuffled by id.
@@ -167,15 +171,23 @@ def of_texts(ids: DataFrame, docs: DataFrame, of, name: str) -> DataFrame:
     return common.materialize(texts.select("id", _of_sets(F.col("text"), of).alias("s")).dropDuplicates(["id"]), name)
 
 
+@cache
+def least_equal(hashes: int, percent: int) -> int:
+    """The most equal bit pairs to ask of ``hashes`` so that a pair at the threshold has fewer with ``LOSS`` at most (binomial tail)."""
+    p = 0.25 + 0.75 * percent / 100  # two bits agree by chance in one of four cases
+    least, tail = -1, 0.0
+    while tail <= LOSS:
+        least += 1
+        tail += exp(lgamma(hashes + 1) - lgamma(least + 1) - lgamma(hashes - least + 1) + least * log(p) + (hashes - least) * log(1 - p))
+    return least
+
+
 def likely(a: str, b: str, hashes: int, percent: int) -> Column:
     """Whether sizes and estimate leave a link possible between rows a and b (columns n, p0, p1, ...)."""
     half = hashes // 64
     differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")).bitwiseOR(F.col(f"{a}.p{i + half}").bitwiseXOR(F.col(f"{b}.p{i + half}")))) for i in range(half)), F.lit(0))
-    t = percent / 100
-    equal = 0.25 + 0.75 * t  # two bits agree by chance in one of four cases
-    least = hashes * equal - SLACK * (hashes * equal * (1 - equal)) ** 0.5
     sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return sizes & (hashes - differ >= int(least))
+    return sizes & (hashes - differ >= least_equal(hashes, percent))
 
 
 def _planes(column: str, hashes: int) -> list[Column]:

@@ -1,5 +1,6 @@
 """Cases of the first review round that earlier code decided wrongly or left out."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -43,3 +44,18 @@ def test_line_dedup_counts_sites_that_share_a_register(spark):
     assert sorted((r.doc_id, r.text) for r in line_dedup.cleaned(docs).collect()) == [(0, line), (1, ""), (2, ""), (3, "")]
     local = docs.where(F.col("source") != same[2])
     assert all(r.text == line for r in line_dedup.cleaned(local).collect())
+
+
+def test_near_dedup_estimates_lose_no_more_than_the_bands(spark):
+    for percent in near_dedup.SCHEMES:
+        p = 0.25 + 0.0075 * percent
+        for hashes in (near_dedup.HASHES, near_dedup.LONG):
+            # The smallest count of equal bit pairs that passes the filter itself.
+            half = hashes // 64
+            row = lambda bits: [1000, *[(bits >> 64 * i) % 2**64 - (bits >> 64 * i & 2**63) * 2 for i in range(half)], *[0] * half]
+            names = ["n", *[f"p{i}" for i in range(2 * half)]]
+            rows = [(*row(0), *row((1 << d) - 1), d) for d in range(hashes // 2)]
+            pairs = spark.createDataFrame(rows, ", ".join(f"{x}{n} long" for x in "ab" for n in names) + ", d long")
+            pairs = pairs.select("d", *[F.struct(*[F.col(f"{x}{n}").alias(n) for n in names]).alias(x) for x in "ab"])
+            least = hashes - pairs.where(near_dedup.likely("a", "b", hashes, percent)).agg(F.max("d")).first()[0]
+            assert sum(math.comb(hashes, k) * p**k * (1 - p) ** (hashes - k) for k in range(least)) <= 1e-6

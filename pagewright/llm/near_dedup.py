@@ -260,6 +260,19 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group at ``STAGE_PERCENT`` stays."""
-    gone = near_dedup(docs, STAGE_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: one row of each group at ``STAGE_PERCENT`` stays.
+
+    A row with a null doc_id takes a large id made of its text, so that it is linked as
+    others are. Of rows that repeat doc_id and text one stays, of null and empty texts too.
+    """
+    made = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2))
+    own = docs.withColumns({"_id": F.coalesce("doc_id", made), "_text": F.xxhash64("text")})
+    gone = near_dedup(own.select(F.col("_id").alias("doc_id"), "text"), STAGE_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    key = ["_id", "_text"]
+    repeated = common.materialize(own.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*key), "repeated")
+    if not repeated.limit(1).count():
+        return own.join(gone, "_id", "left_anti").select(docs.columns)
+    left = common.materialize(own.join(gone, "_id", "left_anti"), "left")
+    several = common.broadcast_if(repeated, common.small(repeated, BROADCAST_IDS))
+    one = left.join(several, key, "left_semi").dropDuplicates(key)
+    return left.join(several, key, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))

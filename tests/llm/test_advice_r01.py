@@ -59,3 +59,15 @@ def test_near_dedup_estimates_lose_no_more_than_the_bands(spark):
             pairs = pairs.select("d", *[F.struct(*[F.col(f"{x}{n}").alias(n) for n in names]).alias(x) for x in "ab"])
             least = hashes - pairs.where(near_dedup.likely("a", "b", hashes, percent)).agg(F.max("d")).first()[0]
             assert sum(math.comb(hashes, k) * p**k * (1 - p) ** (hashes - k) for k in range(least)) <= 1e-6
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, b + " end"), (3, c), (4, d), (5, ""), (5, ""), (6, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, k1 string, n string")
+    out = near_dedup.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    one = [x for x in left if x in ((None, b), (None, b + " end"))]
+    assert len(one) == 1 and left == sorted([(1, a), *one, (3, c), (4, d), (5, ""), (6, ""), (None, None)], key=repr)

@@ -12,7 +12,7 @@ shuffled on the word; adaptive execution splits a common word's partition.
 
 Null and empty texts have no words, no hits, and windows from no item. Repeated
 document rows get equal results; repeated items and items of equal text each count by
-item_id. Null item ids aren't counted. An empty benchmark hits nothing. Only the
+item_id. Windows of null item ids hit, but no item is counted for them. An empty benchmark hits nothing. Only the
 columns named are read.
 """
 
@@ -28,8 +28,8 @@ BROADCAST_ROWS = 100_000
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(words, length, item_ids): each different window once, with the items that have it."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", common.alnum_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """(words, item_ids): each different window once, with the items that have it; none for null ids."""
+    items = benchmark.select("item_id", common.alnum_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))))
     each = items.select("item_id", "w", at.alias("at")).select("item_id", F.slice("w", F.col("at") + 1, size).alias("words"))
     return each.groupBy("words").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))

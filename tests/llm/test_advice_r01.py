@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagewright.llm import line_dedup, near_dedup, warc
+from pagewright.llm import decontaminate, line_dedup, near_dedup, warc
 
 
 def test_near_dedup_stage_links_copies_from_its_own_threshold(spark):
@@ -71,3 +71,12 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
     left = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     one = [x for x in left if x in ((None, b), (None, b + " end"))]
     assert len(one) == 1 and left == sorted([(1, a), *one, (3, c), (4, d), (5, ""), (6, ""), (None, None)], key=repr)
+
+
+def test_decontaminate_hits_windows_of_items_without_an_id(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a b {passage} c"), (2, "w1 w2 w3"), (3, "named item of few words here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, "named item of few words"), (7, "named item of few words")], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in decontaminate.decontaminate(docs, items, broadcast_rows=limit).collect()}
+        assert got == {1: (12, 0, []), 2: (0, 0, []), 3: (5, 1, ["7"])}

@@ -1,9 +1,11 @@
 """Quality rules: repetition counts and bands of zstandard ratios.
 
 A text's ratio is compressed size over size. The whole text and each chunk of
-``CHUNK`` bytes are compressed. The text is rejected if its whole ratio leaves the
-band of its length class, or if more than ``BAD_CHUNKS`` of its full chunks leave the
-chunk band. Short texts carry the frame's overhead and compress less, so each length
+``CHUNK`` bytes are compressed; what is left after the last full chunk is tested as the
+text's last ``CHUNK`` bytes, so that every byte is in a chunk. The text is rejected if its
+whole ratio leaves the band of its length class, or if more than ``BAD_CHUNKS`` of its
+chunks leave the chunk band. A text under ``CHUNK`` bytes is one chunk, and its class's
+band takes the place of the chunk band. Short texts carry the frame's overhead and compress less, so each length
 class has limits of its own; texts under the first class's size have none.
 
 Null counts as an empty text: no words, every count 0, base_failed true. Very long
@@ -62,12 +64,15 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def bands(raw: bytes, compress) -> tuple[float, int, int, bool]:
-    """Whole ratio (null size: 0), full chunks outside the chunk band, full chunks, and the verdict."""
+    """Whole ratio (null size: 0), chunks outside the chunk band, chunks, and the verdict."""
     if not raw:
         return 0.0, 0, 0, True
     ratio = len(compress(raw)) / len(raw)
     limits = [(low, high) for size, low, high in BANDS if len(raw) >= size]
-    chunks = [len(compress(raw[i : i + CHUNK])) / CHUNK for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
+    starts = [*range(0, len(raw) - CHUNK + 1, CHUNK)]
+    if starts and len(raw) % CHUNK:
+        starts.append(len(raw) - CHUNK)
+    chunks = [len(compress(raw[i : i + CHUNK])) / CHUNK for i in starts]
     bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
     inside = not limits or limits[-1][0] <= ratio <= limits[-1][1]
     return ratio, bad, len(chunks), inside and bad <= BAD_CHUNKS * len(chunks)

@@ -3,9 +3,10 @@
 import math
 import random
 
+import zstandard
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontaminate, line_dedup, near_dedup, warc
+from pagewright.llm import decontaminate, line_dedup, near_dedup, quality_rules, warc
 
 
 def test_near_dedup_stage_links_copies_from_its_own_threshold(spark):
@@ -80,3 +81,18 @@ def test_decontaminate_hits_windows_of_items_without_an_id(spark):
     for limit in (decontaminate.BROADCAST_ROWS, 0):
         got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in decontaminate.decontaminate(docs, items, broadcast_rows=limit).collect()}
         assert got == {1: (12, 0, []), 2: (0, 0, []), 3: (5, 1, ["7"])}
+
+
+def test_quality_rules_test_the_end_of_a_text():
+    compress = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(rng.choice(vocabulary) for _ in range(2000)).encode()
+    chunk = quality_rules.CHUNK
+    noise = bytes(rng.randrange(256) for _ in range(chunk - 100))
+    assert quality_rules.bands(prose[:8000], compress)[1:] == (0, 2, True)
+    assert quality_rules.bands(prose[: 2 * chunk], compress)[1:] == (0, 2, True)
+    assert quality_rules.bands(prose[: chunk - 1], compress)[1:] == (0, 0, True)
+    for end in (noise, b"over and over " * 280):
+        text = prose[:chunk] + end
+        assert len(text) < 2 * chunk and quality_rules.bands(text, compress)[1:] == (1, 2, False)

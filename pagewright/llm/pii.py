@@ -1,7 +1,8 @@
 """Personal data by patterns, and by contexts that are bootstrapped from what they find.
 
 Base spans come from four expressions with checks: email, ip, card, phone. They seed a
-graph: a mention (base span, or other run of identifier characters with a digit) is
+graph: a mention (base span, other run of identifier characters with a digit or an @, or
+groups of digits with single blanks, hyphens or brackets between them) is
 linked with the lexical patterns of its left context, one to three words. A pattern's
 confidence in a kind is the mean score of its different instances; an instance's score
 is 1 for seeds, else that one of its accepted patterns is right (noisy or). Scores are
@@ -41,9 +42,12 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 RUN = "A-Za-z0-9._%+@-"
-MENTION = rf"(?<![{RUN}])[A-Za-z._%+@-]*+[0-9][{RUN}]*+"
+MENTION = rf"(?<![{RUN}])(?:[A-Za-z._%+@-]*+[0-9][{RUN}]*+|[A-Za-z._%+-]*+@[{RUN}]*+)"
+GROUP = r"[0-9]++(?![A-Za-z_%+@]|[.-][A-Za-z]|\.[0-9])"
+#: Groups of digits, all that follow each other; those without a blank or bracket are runs anyway.
+SPACED = rf"(?<![{RUN}])\+?\(?{GROUP}(?:(?:\)[\x20-]?|\x20\(|[\x20-]){GROUP})++"
 #: What an instance of a kind must look like to be discovered.
-SHAPES = {"email": r"[A-Za-z0-9]@[A-Za-z0-9]", "ip": r"^[0-9]+(\.[0-9]+){3}$", "card": r"^([0-9]-?){12,19}$", "phone": r"^\+?[0-9][0-9.-]{6,16}$"}
+SHAPES = {"email": r"[A-Za-z0-9]@[A-Za-z0-9]", "ip": r"^[0-9]+(\.[0-9]+){3}$", "card": r"^([0-9][\x20-]?){12,19}$", "phone": r"^\+?\(?[0-9][\x20()0-9.-]{6,18}$"}
 MIN_MENTION = 6
 CONTEXT = 48
 ORDERS = 3
@@ -101,13 +105,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, one column of spans per kind, other): other: mentions that overlap no base span."""
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", *common.row_key(F.col("doc_id"), F.col("text")), text.alias("text"))
-    own = own.select("doc_id", "k1", "k2", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9]"), matches(F.col("text"), MENTION)).otherwise(F.array().cast(SPAN)).alias("other"))
+    own = own.select("doc_id", "k1", "k2", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.col("text").rlike("[0-9@]"), matches(F.col("text"), MENTION)).otherwise(F.array().cast(SPAN)).alias("other"), F.when(F.col("text").rlike(r"[0-9)][\x20()]+[0-9]"), F.filter(matches(F.col("text"), SPACED), lambda m: m["surface"].rlike(r"[\x20()]"))).otherwise(F.array().cast(SPAN)).alias("spaced"))
 
     def free(m: Column) -> Column:
         clash = [F.exists(k, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])) for k in KINDS]
         return ~reduce(Column.__or__, clash) & (F.char_length(m["surface"]) >= MIN_MENTION)
 
-    return own.withColumn("other", F.filter("other", free))
+    return own.withColumn("other", F.filter(F.concat("other", "spaced"), free)).drop("spaced")
 
 
 def contexts(left: Column) -> Column:
@@ -163,6 +167,12 @@ def find(docs: DataFrame) -> DataFrame:
     each = common.materialize(mentions(found), "mentions")
     patterns, scores = bootstrap(each)
     more = discover(each, patterns, scores).groupBy(*common.KEY).agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
+
+    def whole(m: Column) -> Column:
+        """Not part of a longer span of its kind."""
+        return ~F.exists("more", lambda o: (o["kind"] == m["kind"]) & (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (o["end"] - o["start"] > m["end"] - m["start"]))
+
+    more = more.withColumn("more", F.filter("more", whole))
     return found.drop("other").join(more, common.KEY, "left")
 
 

@@ -6,7 +6,7 @@ import random
 import zstandard
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontaminate, line_dedup, near_dedup, quality_rules, warc
+from pagewright.llm import decontaminate, line_dedup, near_dedup, pii, quality_rules, warc
 
 
 def test_near_dedup_stage_links_copies_from_its_own_threshold(spark):
@@ -96,3 +96,15 @@ def test_quality_rules_test_the_end_of_a_text():
     for end in (noise, b"over and over " * 280):
         text = prose[:chunk] + end
         assert len(text) < 2 * chunk and quality_rules.bands(text, compress)[1:] == (1, 2, False)
+
+
+def test_pii_discovers_usual_spellings(spark):
+    def card(i):
+        first = f"4111 1111 11{i:02d} 111"
+        return first + next(str(c) for c in range(10) if sum(int(d) if k % 2 else int(d) * 2 - 9 * (int(d) > 4) for k, d in enumerate(first.replace(" ", "") + str(c))) % 10 == 0)
+
+    seeds = [t for i in range(10, 30) for t in (f"paid with card number {card(i)} today", f"please call us at +44 20 5550 00{i} now", f"write a mail to bob{i}@example.org now")]
+    targets = ["paid with card number 4111 1111 1111 1112 today", "please call us at 0171 555 7713 now", "please call us at (212) 555-0147 now", "write a mail to alice@localhost now"]
+    docs = spark.createDataFrame(list(enumerate([*targets, *seeds, "plain 1234 5678 9012 3456 words"])), "doc_id long, text string")
+    found = {r.doc_id: sorted((m.kind, targets[r.doc_id][m.start : m.end]) for m in r.more) for r in pii.find(docs).where("more IS NOT NULL").collect()}
+    assert found == {0: [("card", "4111 1111 1111 1112")], 1: [("phone", "0171 555 7713")], 2: [("phone", "(212) 555-0147")], 3: [("email", "alice@localhost")]}

@@ -19,9 +19,11 @@ and the one estimate that their pair goes through, that of the centres' pass or
 the later one, drops it with at most ``LOSS``: below 2e-6 in all.
 
 Null and empty texts have no shingles and are linked with nothing; texts under
-``WIDTH`` words are one shingle. Repeated rows are one class. Rows with a null doc_id
-are linked with nothing, have a null component and are kept. Texts of any length are
-read whole, in runs of bounded size.
+``WIDTH`` words are one shingle. Repeated rows are one class. Rows that repeat a doc_id
+with different texts are decided by their texts: each is linked as its own text is, and a
+component's id is the smallest doc_id of its rows. Rows with a null doc_id are linked with
+nothing, have a null component and are kept. Columns beyond doc_id and text are ignored, whatever
+their names. Texts of any length are read whole, in runs of bounded size.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ LONG = 1024
 #: Ids that may be broadcast to pick texts; beyond it texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
+#: An id in more pairs than this, and in more than one of ``HOTS``, is dealt over several tasks.
+HOT, HOTS = 256, 10_000
 KNOWN_WORDS = 300_000
 
 
@@ -164,10 +168,11 @@ def _of_sets(text: Column, of) -> Column:
     return F.arrow_udf(run, "array<long>")(text)
 
 
-def of_texts(ids: DataFrame, docs: DataFrame, of, name: str) -> DataFrame:
-    """(id, s): what ``of`` makes of the sets of the documents in ``ids`` (id, distinct)."""
-    ids = common.broadcast_if(ids, common.small(ids, BROADCAST_IDS))
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+def of_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame, of, name: str) -> DataFrame:
+    """(id, s): what ``of`` makes of the sets of the classes in ``ids`` (id, distinct), each from the one row that stands for it."""
+    rows = ids.join(classes.select("id", "doc_id", "t"), "id")
+    rows = common.broadcast_if(rows, common.small(rows, BROADCAST_IDS))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(rows, ["doc_id", "t"])
     return common.materialize(texts.select("id", _of_sets(F.col("text"), of).alias("s")).dropDuplicates(["id"]), name)
 
 
@@ -194,18 +199,35 @@ def _planes(column: str, hashes: int) -> list[Column]:
     return [F.col(column)[i].alias(f"p{i}") for i in range(2 * hashes // 64)]
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v: doc ids of classes) whose full sets meet the threshold."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, n: int, hot: int) -> DataFrame:
+    """``pairs`` joined with the sets (id, s) of their ``side`` as s<side>.
+
+    An id in more than ``hot`` pairs, and in more than one of ``HOTS``, gets its set copied to as many parts as it
+    needs, and its pairs are dealt over them by ``other``. There are fewer than ``HOTS`` such ids, so they are broadcast.
+    """
+    many = max(hot, n // HOTS)
+    if n <= many:
+        return pairs.join(sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")), side)
+    parts = F.broadcast(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > many).select(side, F.ceil(F.col("n") / many).alias("parts")))
+    dealt = pairs.join(parts, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")).join(parts, side, "left")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [side, "part"]).drop("part")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
+    """Those of ``pairs`` (u, v: ids of classes; a written table) whose full sets meet the threshold."""
     wanted = common.materialize(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), "wanted")
-    sets = of_texts(wanted, docs, lambda s: s.view(np.int64), "sets")
-    a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
+    sets = of_texts(wanted, classes, docs, lambda s: s.view(np.int64), "sets")
+    n = pairs.count()
+    both = _with_sets(_with_sets(pairs, sets, "u", "v", n, hot), sets, "v", "u", n, hot)
     shared = F.size(F.array_intersect("su", "sv")).cast("long")
     whole = F.size("su") + F.size("sv")
-    return pairs.join(a, "u").join(b, "v").where(100 * shared >= percent * (whole - shared)).select("u", "v")
+    return both.where(100 * shared >= percent * (whole - shared)).select("u", "v")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(id, component) of the classes that are linked with another."""
+def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(id, component) of the classes that are linked with another; component: the smallest id of it."""
     signs = classes.select("id", "n", *_planes("planes", HASHES))
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where(F.col("centre") < F.col("last"))
@@ -213,7 +235,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
     near = members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
     near = near.join(signs.alias("a"), F.col("u") == F.col("a.id")).join(signs.alias("b"), F.col("v") == F.col("b.id")).where(likely("a", "b", HASHES, percent)).select("u", "v")
     near = common.materialize(near, "near")
-    linked = common.materialize(confirm(near, docs, percent), "linked")
+    linked = common.materialize(confirm(near, classes, docs, percent, hot), "linked")
     first = components(linked)
 
     # Buckets that still hold several components.
@@ -222,37 +244,58 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
     rest = own.join(mixed.select("bucket", "size"), "bucket")
     parts = F.ceil(F.col("size") / block)
     rest = common.materialize(rest, "mixed")
-    longer = of_texts(common.materialize(rest.select("id").distinct(), "rest-ids"), docs, lambda s: bit_planes(minima(s, LONG_FAMILY)), "long-planes")
-    rest = rest.join(classes.select("id", "n", "bands").join(longer, "id").select("id", "n", *_planes("s", LONG), "bands"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("parts", parts)
+    longer = of_texts(common.materialize(rest.select("id").distinct(), "rest-ids"), classes, docs, lambda s: bit_planes(minima(s, LONG_FAMILY)), "long-planes")
+    # Sizes of a link's sets are within the threshold of each other: they are in the same step of sizes or in the next.
+    step = F.floor(F.log(F.col("n")) / (log(100 / percent) * (1 + 1e-9)))
+    rest = rest.join(classes.select("id", "n", "bands").join(longer, "id").select("id", "n", *_planes("s", LONG), "bands"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("parts", parts).withColumn("step", step)
     rest = common.materialize(rest, "rest")
     left = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    a = left.where(F.col("part") <= F.col("with")).select("*", F.col("part").alias("i"), F.col("with").alias("j")).alias("a")
-    b = left.where(F.col("part") >= F.col("with")).select("*", F.col("with").alias("i"), F.col("part").alias("j")).alias("b")
-    # A pair counts once within a block, and in the first of its common buckets.
-    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
+    first_block, second_block = left.select("*", F.col("part").alias("i"), F.col("with").alias("j")), left.select("*", F.col("with").alias("i"), F.col("part").alias("j"))
+    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     other = (F.col("a.component") != F.col("b.component")) & (F.col("a.id") != F.col("b.centre")) & (F.col("b.id") != F.col("a.centre"))
+    # A pair counts in the first of its common buckets, and once within a block.
     here = F.element_at(F.array_intersect("a.bands", "b.bands"), 1) == F.col("a.bucket")
-    pairs = a.join(b, same & once & other & likely("a", "b", LONG, percent) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    pairs = common.materialize(pairs, "rest-pairs")
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
+    found = [
+        (first_block.where("i <= j"), second_block.where("i <= j"), same & once),
+        (first_block, second_block.withColumn("step", F.col("step") - 1), same),
+    ]
+    pairs = [a.alias("a").join(b.alias("b"), on & other & likely("a", "b", LONG, percent) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")) for a, b, on in found]
+    pairs = common.materialize(pairs[0].union(pairs[1]), "rest-pairs")
     if not pairs.limit(1).count():
         return first
-    return components(linked.union(confirm(pairs, docs, percent)))
+    return components(linked.union(confirm(pairs, classes, docs, percent, hot)))
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with an id of their own: the doc_id that stands for them, or where it stands for several classes (rows
+    repeat it with different texts) a large number made of the set's digest."""
+    several = common.materialize(classes.groupBy("doc_id").agg(F.count("*").alias("classes")).where(F.col("classes") > 1).select("doc_id"), "repeated-ids")
+    if not several.limit(1).count():
+        return classes.withColumn("id", F.col("doc_id"))
+    several = common.broadcast_if(several, common.small(several, BROADCAST_IDS)).withColumn("again", F.lit(True))
+    made = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2))
+    return common.materialize(classes.join(several, "doc_id", "left").withColumn("id", F.when(F.col("again"), made).otherwise(F.col("doc_id"))).drop("again"), "numbered")
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text) at a threshold in ``SCHEMES``."""
-    common.bound_batches(docs.sparkSession)
+def near_dedup(docs: DataFrame, percent: int = PERCENT, hashed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text) at a threshold in ``SCHEMES``; text_hash too if asked."""
     docs = docs.select("doc_id", "text")
-    signed = common.materialize(docs.select("doc_id", _signed(F.col("text"), percent).alias("x")).select("doc_id", "x.*"), "signatures")
-    of_class = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = of_class.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    first = of_class.withColumnRenamed("doc_id", "id").join(classes, ["d1", "d2", "id"], "left_semi").dropDuplicates(["d1", "d2"])
-    found = links(docs, common.materialize(first.select("id", "n", "bands", "planes"), "classes"), percent)
-    classes = classes.join(found, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(classes, ["d1", "d2"], "left")
+    with common.scratch(docs.sparkSession) as keep, common.bounded(docs.sparkSession):
+        signed = docs.select("doc_id", F.xxhash64("text").alias("t"), _signed(F.col("text"), percent).alias("x")).select("doc_id", "t", "x.*")
+        signed = keep(common.materialize(signed, "signatures"))
+        of_class = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        # Rows of equal digests have equal sets, so any row's signature is the class's.
+        classes = of_class.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("r"), *[F.any_value(c).alias(c) for c in ("n", "bands", "planes")])
+        classes = keep(common.materialize(classes.select("d1", "d2", "r.doc_id", "r.t", "n", "bands", "planes"), "classes"))
+        classes = keep(numbered(classes))
+        found = links(docs, classes, percent).join(classes.select("id", "doc_id"), "id")
+        found = found.join(found.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", "least")
+        found = keep(common.materialize(found, "found"))
+    component = classes.join(found, "id", "left").select("d1", "d2", F.coalesce("least", "doc_id").alias("component"))
+    out = signed.select("doc_id", "t", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(component, ["d1", "d2"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *([F.col("t").alias("text_hash")] if hashed else []))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,15 +307,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row with a null doc_id takes a large id made of its text, so that it is linked as
     others are. Of rows that repeat doc_id and text one stays, of null and empty texts too.
+    Of rows that repeat doc_id with different texts, those whose doc_id isn't the smallest of
+    their group go; the others stay.
     """
     made = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2))
-    own = docs.withColumns({"_id": F.coalesce("doc_id", made), "_text": F.xxhash64("text")})
-    gone = near_dedup(own.select(F.col("_id").alias("doc_id"), "text"), STAGE_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    key = ["_id", "_text"]
-    repeated = common.materialize(own.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*key), "repeated")
+    row, text, times = (common.unused(docs, c) for c in ("_id", "_text", "_times"))
+    own = docs.withColumns({row: F.coalesce("doc_id", made), text: F.xxhash64("text")})
+    # The id alone doesn't name a row, so the text's hash goes with it.
+    key = [row, text]
+    decided = near_dedup(own.select(F.col(row).alias("doc_id"), "text"), STAGE_PERCENT, hashed=True)
+    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias(row), F.col("text_hash").alias(text)).distinct()
+    repeated = common.materialize(own.groupBy(*key).agg(F.count("*").alias(times)).where(F.col(times) > 1).select(*key), "repeated")
     if not repeated.limit(1).count():
-        return own.join(gone, "_id", "left_anti").select(docs.columns)
-    left = common.materialize(own.join(gone, "_id", "left_anti"), "left")
+        return own.join(gone, key, "left_anti").select(docs.columns)
+    left = common.materialize(own.join(gone, key, "left_anti"), "left")
     several = common.broadcast_if(repeated, common.small(repeated, BROADCAST_IDS))
     one = left.join(several, key, "left_semi").dropDuplicates(key)
     return left.join(several, key, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))

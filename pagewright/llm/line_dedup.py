@@ -13,7 +13,8 @@ other lines keep their order; a document may end up empty.
 
 Null texts have no lines and stay null; null sites count for nothing. Repeated rows
 with equal id and text keep or lose lines together. Lines are whole strings between
-line feeds, compared by 96 bits of hash.
+line feeds, compared by 96 bits of hash. Columns beyond doc_id, text and source pass through,
+whatever their names; ``mark`` must be a new name. Texts of any length are split whole.
 """
 
 from __future__ import annotations
@@ -51,9 +52,10 @@ def boilerplate(each: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def cuts(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, cut): the numbers of the lines to cut from each document that has any."""
-    each = common.materialize(lines(docs, min_chars), "lines")
-    found = each.join(boilerplate(each, min_sites), LINE).where(F.struct("k1", "k2", "line") != F.col("first"))
-    return found.groupBy(*common.KEY).agg(F.collect_set("line").alias("cut"))
+    with common.scratch(docs.sparkSession) as keep:
+        each = common.materialize(lines(docs, min_chars), "lines")
+        found = each.join(boilerplate(each, min_sites), LINE).where(F.struct("k1", "k2", "line") != F.col("first"))
+        return keep(common.materialize(found.groupBy(*common.KEY).agg(F.collect_set("line").alias("cut")), "cuts"))
 
 
 def without(text: Column, cut: Column) -> Column:
@@ -62,12 +64,12 @@ def without(text: Column, cut: Column) -> Column:
     return F.when(cut.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` plus ``cut`` (null: none) with ``text`` cleaned."""
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, mark: str = "_cut") -> DataFrame:
+    """``docs`` plus ``mark`` (the numbers of the lines cut; null: none) with ``text`` cleaned."""
     k1, k2 = common.row_key(docs["doc_id"], docs["text"])
     found = cuts(docs, min_sites, min_chars)
     out = docs.join(found, (k1 == found["k1"]) & (k2 == found["k2"]), "left")
-    return out.select(*[without(docs["text"], found["cut"]).alias("text") if c == "text" else docs[c] for c in docs.columns], found["cut"].alias("_cut"))
+    return out.select(*[without(docs["text"], found["cut"]).alias("text") if c == "text" else docs[c] for c in docs.columns], found["cut"].alias(mark))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +85,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document goes only if lines were cut from it: its lines stay where they come first.
     """
-    out = cleaned(docs)
-    gone = F.col("_cut").isNotNull() & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
-    return out.where(~gone).withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_cut")
+    mark = common.unused(docs, "_cut")
+    out = cleaned(docs, mark=mark)
+    gone = F.col(mark).isNotNull() & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
+    return out.where(~gone).withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop(mark)
 
 
 OP7_SQL = """

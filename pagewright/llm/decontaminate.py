@@ -6,25 +6,30 @@ necessary prefix: the window's rarest by counts over all documents. Document wor
 join the windows on that word. Length and position bounds drop candidates whose
 window would not fit at that place, and the window is compared word by word.
 
-The index is broadcast while it has at most ``broadcast_rows`` windows. Beyond it, the
-document side keeps only the ``WINDOW`` words about each place and both sides are
-shuffled on the word; adaptive execution splits a common word's partition.
+The index is broadcast while it has at most ``broadcast_rows`` windows of bounded size. Beyond it,
+document words first pass a sieve: a bit for each hash of an indexed word, ``SIEVE`` bits in all,
+so that it can be broadcast however large the index is. Those that pass keep only the ``WINDOW``
+words about their place and both sides are shuffled on the word; adaptive execution splits a
+common word's partition.
 
 Null and empty texts have no words, no hits, and windows from no item. Repeated
 document rows get equal results; repeated items and items of equal text each count by
 item_id. Windows of null item ids hit, but no item is counted for them. An empty benchmark hits nothing. Only the
-columns named are read.
+columns named are read; n_words, n_hit, n_items and items take the place of columns of those names.
+Texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import common
 
 WINDOW = 10
 BROADCAST_ROWS = 100_000
+#: Bits of the sieve; 64 make a row.
+SIEVE = 1 << 24
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -48,17 +53,34 @@ def index(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     return common.materialize(first.select("o.token", "o.offset", "words", "item_ids"), "window-index")
 
 
+def sieve(tokens: DataFrame) -> DataFrame:
+    """(slot, bits): a bit for the hash of every token; at most ``SIEVE`` / 64 rows."""
+    at = F.pmod(F.xxhash64("token"), F.lit(SIEVE))
+    return tokens.select(F.shiftright(at, 6).alias("slot"), _bit(at).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+
+def sieved(near: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows of ``near`` whose token may be one of ``tokens``: all that are, and few others."""
+    at = F.pmod(F.xxhash64("token"), F.lit(SIEVE))
+    held = near.withColumn("slot", F.shiftright(at, 6)).join(F.broadcast(sieve(tokens)), "slot")
+    return held.where(F.col("bits").bitwiseAND(_bit(at)) != 0).drop("slot", "bits")
+
+
 def matches(docs: DataFrame, windows: DataFrame, size: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(k1, k2, start, end, item_ids) of each window found in a document; words from 0, end exclusive."""
     keyed = docs.select(*common.row_key(F.col("doc_id"), F.col("text")), common.alnum_words(F.col("text")).alias("w"))
     start, length = F.col("pos") - F.col("offset"), F.size("words")
+    near = keyed.select("k1", "k2", "w", F.posexplode("w").alias("pos", "token"))
     if common.small(windows, broadcast_rows):
-        near = keyed.select("k1", "k2", "w", F.posexplode("w").alias("pos", "token")).withColumn("from", F.lit(0))
+        near = near.withColumn("from", F.lit(0))
         windows = F.broadcast(windows)
     else:
         low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-        near = keyed.select("k1", "k2", "w", F.posexplode("w").alias("pos", "token"))
-        near = near.select("k1", "k2", "token", "pos", low.alias("from"), F.slice("w", low + 1, F.col("pos") - low + size).alias("w"))
+        near = sieved(near, windows.select("token")).select("k1", "k2", "token", "pos", low.alias("from"), F.slice("w", low + 1, F.col("pos") - low + size).alias("w"))
     fits = (start >= F.col("from")) & (start - F.col("from") + length <= F.size("w"))
     found = near.join(windows, "token").where(fits & (F.slice("w", start - F.col("from") + 1, length) == F.col("words")))
     return found.select("k1", "k2", start.alias("start"), (start + length).alias("end"), "item_ids")

@@ -12,8 +12,11 @@ are at most ``broadcast_rows``; beyond that captures are salted by their URL and
 interval is copied to every salt, so that a host with a third of all captures is dealt
 over ``SALTS`` tasks. Captures are never grouped by host.
 
-Null or unparsable URLs have no host and match nothing; captures without a day match
-nothing; null list, key or day drops an entry. Repeated captures get equal results.
+Null or unparsable URLs have no host and match nothing, and so do those whose host is longer
+than the 253 characters that a host name can have; captures without a day match
+nothing; null list, key or day drops an entry. Repeated captures get equal results. Columns of
+captures pass through whatever their names, but for the four that are added: they take the
+place of columns of those names. URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pagewright.llm import common
 
 BROADCAST_ROWS = 50_000
 SALTS = 32
+HOST_CHARS = 253
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 START = "2024-01-01"
@@ -32,7 +36,8 @@ START = "2024-01-01"
 
 def host(url: Column) -> Column:
     """Lower-case host; empty without one."""
-    return common.ascii_lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    found = F.coalesce(F.regexp_extract(url, HOST, 1), F.lit(""))
+    return common.ascii_lower(F.when(F.length(found) <= HOST_CHARS, found).otherwise(""))
 
 
 def keys(url: Column) -> Column:
@@ -75,13 +80,13 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``captures`` (page_id, url, day, ...) with host, n_active, blocked, blocked_by."""
-    k1, k2 = common.row_key(captures["page_id"], captures["url"])
-    named = captures.select(*captures.columns, k1, k2)
+    # The row goes along as one struct, so that no name in it can clash.
+    named = captures.select(*common.row_key(captures["page_id"], captures["url"]), captures["url"].alias("url"), captures["day"].alias("day"), F.struct(*[captures[c] for c in captures.columns]).alias("row"))
     spans = common.materialize(intervals(entries), "intervals")
     found = verdicts(active(named.select("k1", "k2", "url", "day"), spans, broadcast_rows))
     out = named.join(found, [*common.KEY, "day"], "left")
     added = ("host", "n_active", "blocked", "blocked_by")
-    return out.select(*[c for c in captures.columns if c not in added], host(F.col("url")).alias("host"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), (F.coalesce("blocked", F.lit(0)) == 1).alias("blocked"), F.coalesce("blocked_by", F.lit("")).alias("blocked_by"))
+    return out.select(*[F.col("row")[c].alias(c) for c in captures.columns if c not in added], host(F.col("url")).alias("host"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), (F.coalesce("blocked", F.lit(0)) == 1).alias("blocked"), F.coalesce("blocked_by", F.lit("")).alias("blocked_by"))
 
 
 def capture_day(page_id: Column) -> Column:
@@ -106,7 +111,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
-    lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+    lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]{1,253})(?:[/?#:]|$)', 1), '')) AS host,
     coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS seg FROM pages),
 l AS (SELECT *, string_split(host, '.') AS labels FROM p WHERE host <> ''),
 k AS (SELECT rid, day, array_to_string(labels[len(labels) - n + 1:], '.') AS key, n AS rank FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS n FROM l)

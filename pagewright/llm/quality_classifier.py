@@ -14,7 +14,9 @@ rows outside the held-out third. Scoring covers every row and every byte.
 Null and empty texts, and texts of blanks, have difference 0 and get the curve's value
 there. Repeated rows get equal scores. Without labels of both classes there is nothing
 to learn: every score is the share of label 1 (0.5 without labels). Columns beyond
-those named are ignored; labels that are null or neither 0 nor 1 aren't used.
+those named are ignored; labels that are null or neither 0 nor 1 aren't used, nor are those of
+a doc_id that is labelled both. A label repeated for a doc_id counts once. Of rows that repeat
+a chosen doc_id the smallest text is fitted on, so that the driver gets a text per chosen id.
 """
 
 from __future__ import annotations
@@ -125,6 +127,7 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on a sample: the ``per_class`` labelled ids of either class with the smallest hash."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where(F.col("quality") == F.col("most")).drop("most")
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     total = sum(counts.values())
     if not total:
@@ -134,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         rows = known.where(F.col("quality") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
         chosen |= {r[0]: label for r in rows}
     short = F.octet_length("text") <= MAX_FIT_BYTES
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen)) & short).orderBy(F.xxhash64("doc_id"), "text").collect()
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen)) & short).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     by = {label: [t for i, t in texts if chosen[i] == label] for label in (0, 1)}
     return fit(by[1], by[0], counts.get(1, 0) / total)
 

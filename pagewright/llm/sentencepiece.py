@@ -29,7 +29,8 @@ from pagewright.llm import common
 MARK = "▁"
 #: Space runs belong to the word after them; no piece has a mark after another character.
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_WORDS = 200_000
+#: Words that a generation of the cache holds, and their characters in all.
+CACHE_WORDS, CACHE_CHARS = 200_000, 4_000_000
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 
 
@@ -213,18 +214,18 @@ class BPE:
 class Words:
     """Encoded words: (number of ids, ids as text, decoded bytes, ids as int32 bytes).
 
-    Two generations bound the cache: when the younger is full it becomes the older,
-    and words that are met again move back.
+    Two generations bound the cache: when the younger is full, by words or by their
+    characters, it becomes the older, and words that are met again move back.
     """
 
     def __init__(self, bpe: BPE, limit: int = CACHE_WORDS) -> None:
-        self.bpe, self.limit = bpe, limit
+        self.bpe, self.limit, self.chars = bpe, limit, 0
         self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def add(self, words: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
+        if len(self.known) > self.limit or self.chars > CACHE_CHARS:
+            self.known, self.older, self.chars = {}, self.known, 0
         known, older = self.known, self.older
         new = []
         for w in words.difference(known):
@@ -232,6 +233,7 @@ class Words:
                 new.append(w)
             else:
                 known[w] = held
+                self.chars += len(w)
         for lo in range(0, len(new), 50_000):
             self._encode(new[lo : lo + 50_000])
 
@@ -245,6 +247,7 @@ class Words:
         raw, length = b"".join(map(bpe.raw.__getitem__, ids.tolist())), before(bpe.raw_size[ids])
         packed = ids.astype(np.int32).tobytes()
         for w, a, b, c, d, e, f in zip(words, starts.tolist(), ends.tolist(), width[starts].tolist(), (width[ends] - 1).tolist(), length[starts].tolist(), length[ends].tolist(), strict=True):
+            self.chars += len(w)
             self.known[w] = (b - a, listed[c:d], raw[e:f], packed[4 * a : 4 * b])
 
 

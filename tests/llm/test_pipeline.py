@@ -31,7 +31,7 @@ def test_stages(spark):
 
     before, after = after, common.materialize(stages["near_dedup"](spark, after, SF), "test")
     assert after.columns == columns
-    assert ids(after) == ids(near_dedup.near_dedup(before).where("kept"))
+    assert ids(after) == ids(near_dedup.near_dedup(before, near_dedup.STAGE_PERCENT).where("kept"))
 
     before, after = after, common.materialize(stages["decontaminate"](spark, after, SF), "test")
     assert after.columns == columns

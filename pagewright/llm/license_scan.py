@@ -93,12 +93,19 @@ def _inside(about: Column, low: Column, high: Column) -> Column:
 def matched(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """(k1, k2, label, base, start, share) of each base place and of each block that meets its threshold, from ``hits``."""
     listed = index(found, patterns)
-    near = found.where(F.size("hits") > 0).select("k1", "k2", "n_words", "hits", F.posexplode("hits").alias("at", "h")).select("k1", "k2", "n_words", "hits", "at", "h.pos", "h.token")
+    # Templates are few, so their prefix words and the longest span are parameters here.
+    prefix = [r.token for r in listed.select("token").distinct().collect()]
+    reach = listed.agg(F.max("span")).first()[0] or 0
+
+    def candidates(hits: Column) -> Column:
+        # As hits ascend, none beyond ``reach`` hits from this one is within ``reach`` words of it: rows stay short however long the text is.
+        about = lambda x: F.slice(hits, F.greatest(x["at"] - reach, F.lit(0)) + 1, F.least(x["at"], F.lit(reach)) + reach)
+        places = F.filter(F.transform(hits, lambda h, at: F.struct(at.alias("at"), h["pos"].alias("pos"), h["token"].alias("token"))), lambda x: x["token"].isin(prefix))
+        return F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"), about(x).alias("about")))
+
+    near = found.where(F.size("hits") > 0).select("k1", "k2", "n_words", F.inline(common.let(F.col("hits"), candidates)))
     near = near.join(common.broadcast_if(listed, common.small(listed, BROADCAST_ROWS)), "token")
     pos, span = F.col("pos"), F.col("span")
-    # As hits ascend, none beyond ``span`` hits from this one is within ``span`` words of it: rows stay short however long the text is.
-    first = F.greatest(F.col("at") - span, F.lit(0))
-    near = near.withColumn("about", F.slice("hits", first + 1, F.col("at") - first + span)).drop("hits")
     # Base: the phrase lies at one place only.
     start = pos - F.col("place")
     run = F.filter("about", lambda h: (h["pos"] >= start) & (h["pos"] < start + span))

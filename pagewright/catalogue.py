@@ -14,6 +14,7 @@ from pagewright.operators import search as S
 from pagewright.operators import textlayer as L
 from pagewright.operators import viewing as V
 from pagewright.plans import layout
+from pagewright.sinks import markdown
 from pagewright.sources import blocks_json
 
 QUERIES: dict = {}
@@ -61,8 +62,7 @@ def text_search(spark, sf_dir):
 
 @query(SEARCH_SQL + "SELECT doc_id, page_no, CAST(word_idx AS INTEGER) AS word_idx, words[word_idx + 1] AS value FROM f WHERE r = 1")
 def search_hit_words(spark, sf_dir):
-    pages = layout.page_words(table(spark, sf_dir, "documents"))
-    return S.hit_words(S.search(S.text_index(pages), "tion"), pages)
+    return S.search_words(layout.page_words(table(spark, sf_dir, "documents")), "tion")
 
 
 @query(PAGES_SQL + ", g AS (SELECT doc_id, page_no, unnest(regexp_extract_all(text, '(?i)of(?:' || chr(160) || '|' || chr(8288) || ')the')) AS x FROM i) SELECT doc_id, page_no, count(*) AS n FROM g GROUP BY doc_id, page_no")
@@ -94,11 +94,11 @@ def text_layer(spark, sf_dir):
     return L.text_layer(layout.letters(table(spark, sf_dir, "documents")))
 
 
-@query(LETTERS_SQL + "SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, count(*) AS n FROM g GROUP BY doc_id, page_no")
+@query(LETTERS_SQL + "SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, count(*) AS n, CAST(sum(CASE WHEN k % 7 = 0 THEN k + 10000 ELSE k END) AS BIGINT) AS ids, CAST(sum(72 + 6 * (k % 80) + CASE WHEN k % 7 = 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS x0 FROM g GROUP BY doc_id, page_no")
 def letter_dedup_last(spark, sf_dir):
     letters = layout.letters(table(spark, sf_dir, "documents"))
     shifted = letters.where(F.col("letter_idx") % 7 == 0).withColumns({"letter_idx": F.col("letter_idx") + 10_000, "x0": F.col("x0") + 0.5, "x1": F.col("x1") + 0.5})
-    return L.dedup(letters.unionByName(shifted)).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
+    return L.dedup(letters.unionByName(shifted)).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.sum("letter_idx").alias("ids"), F.sum("x0").alias("x0"))
 
 
 KNN_SQL = """WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_sum([(CAST(q.embedding[k] AS DOUBLE) - CAST(i.embedding[k] AS DOUBLE)) * (CAST(q.embedding[k] AS DOUBLE) - CAST(i.embedding[k] AS DOUBLE)) FOR k IN range(1, len(q.embedding) + 1)]), 4) AS distance
@@ -165,12 +165,23 @@ def tree_rollup(spark, sf_dir):
     return totals.select(F.get("path", F.lit(0)).alias("r_name"), F.get("path", F.lit(1)).alias("n_name"), "cents", "n")
 
 
-@query("SELECT string_agg(x, '' ORDER BY r, n) AS markdown FROM (SELECT r_regionkey AS r, -1 AS n, '# ' || r_name || chr(10) || chr(10) AS x FROM region UNION ALL SELECT n_regionkey, n_nationkey, '## ' || n_name || chr(10) || chr(10) FROM nation)")
+MARKDOWN_SQL = """SELECT r, string_agg(x, '' ORDER BY n) AS markdown FROM (SELECT r_regionkey AS r, -1 AS n, '# ' || r_name || chr(10) || chr(10) AS x FROM region
+UNION ALL SELECT n_regionkey, n_nationkey, CASE n_nationkey % 6
+  WHEN 0 THEN '## ' || n_name || chr(10) || chr(10)
+  WHEN 1 THEN '## ' || n_name || chr(10) || 'a' || chr(10) || 'b' || chr(10) || chr(10)
+  WHEN 2 THEN '![' || n_name || '](image_placeholder)' || chr(10) || chr(10)
+  WHEN 3 THEN '### ' || n_name || chr(10) || 'a<|txt_split|>b' || chr(10) || chr(10)
+  WHEN 4 THEN '*a<|txt_split|>b*' || chr(10) || chr(10)
+  ELSE '' END FROM nation) GROUP BY r"""
+
+
+@query(MARKDOWN_SQL)
 def tree_markdown(spark, sf_dir):
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    nodes = region.select(F.col("r_regionkey").alias("r"), F.lit(-1).alias("n"), F.lit(0).alias("level"), F.col("r_name").alias("title")).unionByName(nation.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("n"), F.lit(1).alias("level"), F.col("n_name").alias("title")))
-    lines = nodes.select("r", "n", R.markdown(F.lit("title"), F.col("level"), F.col("title"), F.lit("")).alias("x"))
-    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "n", "x"))), lambda s: s["x"]), "").alias("markdown"))
+    kinds = F.array(*[F.lit(k) for k in ("title", "text", "image", "table", "caption", "footer")])
+    top = region.select(F.col("r_regionkey").alias("r"), F.array(F.lit(-1)).alias("path"), F.lit("title").alias("kind"), F.lit(0).alias("level"), F.col("r_name").alias("title"))
+    below = nation.select(F.col("n_regionkey").alias("r"), F.array("n_nationkey").alias("path"), F.get(kinds, F.col("n_nationkey") % 6).alias("kind"), F.lit(1).alias("level"), F.col("n_name").alias("title"))
+    return markdown.documents(top.unionByName(below).withColumn("content", F.lit("a<|txt_split|>b")), ["r"])
 
 
 @query("SELECT e.event_id, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
@@ -217,7 +228,7 @@ def tile_grid(spark, sf_dir):
 def tiles_missing(spark, sf_dir):
     wanted = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("col"))
     held = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") % 8).cast("long").alias("col"))
-    return wanted.join(held, ["p_partkey", "col"], "left_anti").distinct()
+    return wanted.join(held, ["p_partkey", "col"], "left_anti")
 
 
 @query("SELECT p_partkey, x.x, x.y, x.w, x.h FROM (SELECT p_partkey, unnest([{x: 0, y: 0, w: p_size // 2, h: 30 // 2}, {x: p_size // 2, y: 0, w: p_size // 2, h: 15}, {x: 0, y: 15, w: p_size // 2, h: 15}, {x: p_size // 2, y: 15, w: p_size // 2, h: 15}]) AS x FROM part)")
@@ -225,10 +236,11 @@ def nup_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.inline(M.cells(F.col("p_size"), F.lit(30), F.lit(4))))
 
 
-@query("SELECT event_id, x, CASE WHEN y < 0 THEN -y ELSE y END AS y FROM (SELECT event_id, round(((event_id % 13) * 3.0 + (event_id % 7) * 4.0) / 25.0, 6)::DOUBLE AS x, 0::INTEGER AS y FROM events)")
+@query("SELECT event_id, round(CASE WHEN n > 0 THEN s END, 6) + 0.0 AS s, round(CASE WHEN n > 0 THEN ax + s * dx END, 6) + 0.0 AS x, round(CASE WHEN n > 0 THEN ay + s * dy END, 6) + 0.0 AS y FROM (SELECT *, ((px - ax) * dx + (py - ay) * dy) / CASE WHEN n > 0 THEN n ELSE 1 END AS s FROM (SELECT *, dx * dx + dy * dy AS n FROM (SELECT event_id, (event_id % 13)::DOUBLE AS px, (event_id % 7)::DOUBLE AS py, (event_id % 5)::DOUBLE AS ax, (event_id % 3)::DOUBLE AS ay, (event_id % 11)::DOUBLE - event_id % 5 AS dx, (event_id % 4)::DOUBLE - event_id % 3 AS dy FROM events)))")
 def project_point(spark, sf_dir):
-    foot = G.project((F.col("event_id") % 13).cast("double"), (F.col("event_id") % 7).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(4.0))
-    return table(spark, sf_dir, "events").select("event_id", F.round(foot["s"], 6).alias("x"), F.lit(0).alias("y"))
+    at = lambda n: (F.col("event_id") % n).cast("double")
+    foot = G.project(at(13), at(7), at(5), at(3), at(11), at(4))
+    return table(spark, sf_dir, "events").select("event_id", *[(F.round(foot[c], 6) + 0.0).alias(c) for c in ("s", "x", "y")])
 
 
 @query("SELECT p_partkey, (SELECT min(s) FROM (SELECT unnest(z) AS s) WHERE s > p_size * 0.5) AS larger, (SELECT max(s) FROM (SELECT unnest(z) AS s) WHERE s < p_size * 0.5) AS smaller FROM (SELECT p_partkey, p_size, [0.08, 0.125, 0.25, 0.33, 0.5, 0.67, 0.75, 1, 1.25, 1.5, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64]::DOUBLE[] AS z FROM part)")
@@ -274,11 +286,6 @@ def nearest_selecting(spark, sf_dir):
     return V.nearest_while_selecting(points, lines, words, ["page"], "event_id").select("event_id", "line", "word_idx")
 
 
-def _words(spark, sf_dir) -> DataFrame:
-    pages = layout.page_words(table(spark, sf_dir, "documents"))
-    return pages.select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value"))
-
-
 WORDS_SQL = PAGES_SQL + ", e AS (SELECT doc_id, page_no, unnest(range(0, len(words))) AS word_idx, unnest(words) AS value FROM i)"
 
 
@@ -287,7 +294,7 @@ def selection_words(spark, sf_dir):
     back = F.col("doc_id") % 2 == 0
     pick = lambda a, b: F.when(back, F.lit(b)).otherwise(F.lit(a))
     ends = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", pick(1, 2).alias("anchor_page"), pick(5, 9).alias("anchor_word"), pick(2, 1).alias("focus_page"), pick(9, 5).alias("focus_word"))
-    return V.selected(_words(spark, sf_dir), ends, ["doc_id"])
+    return V.selected_of_pages(layout.page_words(table(spark, sf_dir, "documents")), ends, ["doc_id"])
 
 
 @query("WITH w AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS word_idx, o_orderstatus AS line FROM orders) SELECT o_custkey, word_idx, first_word, last_word FROM w JOIN (SELECT o_custkey, line, min(word_idx) AS first_word, max(word_idx) AS last_word FROM w GROUP BY ALL) USING (o_custkey, line) WHERE word_idx = 2")

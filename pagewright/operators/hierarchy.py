@@ -22,26 +22,28 @@ def paths(nodes: DataFrame, key: str = "string") -> DataFrame:
     return nodes.sparkSession.sql(sql, n=plain)
 
 
-def tree_rows(tree: Column, depth: int, children: str = "children") -> Column:
-    """Nodes of a parsed tree of at most ``depth`` levels, in pre-order: array of (path, node's title, number of blocks).
+def tree_rows(tree: Column, depth: int, children: str = "children", root: Column | None = None) -> Column:
+    """Nodes of a parsed tree of at most ``depth`` levels, in pre-order: array of (path, node's title, number of blocks, below).
 
-    ``tree`` is a struct with title, block_ids and children, nested ``depth`` levels deep.
+    ``tree`` is a struct with title, block_ids and children, nested ``depth`` levels deep; below: the JSON of a
+    deepest node's children. ``root``: the path of the top node.
     """
 
     def walk(node: Column, path: Column, left: int) -> Column:
-        own = F.array(F.struct(path.alias("path"), node["title"].alias("title"), F.coalesce(F.size(node["block_ids"]), F.lit(0)).alias("n_blocks")))
+        below = node[children] if left <= 1 else F.lit(None).cast("string")
+        own = F.array(F.struct(path.alias("path"), node["title"].alias("title"), F.coalesce(F.size(node["block_ids"]), F.lit(0)).alias("n_blocks"), below.alias("below")))
         if left <= 1:
             return own
-        below = F.flatten(F.transform(F.coalesce(node[children], F.array()), lambda c, i: walk(c, F.concat(path, F.array(i)), left - 1)))
-        return F.concat(own, below)
+        under = F.flatten(F.transform(F.coalesce(node[children], F.array()), lambda c, i: walk(c, F.concat(path, F.array(i)), left - 1)))
+        return F.concat(own, under)
 
-    return walk(tree, F.array(F.lit(0)), depth)
+    return walk(tree, F.array(F.lit(0)) if root is None else root, depth)
 
 
 def tree_schema(depth: int) -> str:
-    """DDL of a tree of ``depth`` levels; deeper levels are ignored when JSON is read with it."""
+    """DDL of a tree of ``depth`` levels; the children of the deepest are read as text."""
     own = "title:string,type:string,content:string,level:int,block_ids:array<int>"
-    return f"struct<{own}>" if depth <= 1 else f"struct<{own},children:array<{tree_schema(depth - 1)}>>"
+    return f"struct<{own},children:string>" if depth <= 1 else f"struct<{own},children:array<{tree_schema(depth - 1)}>>"
 
 
 def block_lookup(nodes: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:

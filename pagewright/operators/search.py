@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -15,32 +15,66 @@ def text_index(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", T.index_text(F.col("words")).alias("text"))
 
 
-def search(index: DataFrame, query: str) -> DataFrame:
-    """Hits (doc_id, page_no, word_idx, word_count, span_word_count, snippet), ignoring case.
+HIT = "array<struct<word_idx:int,word_count:int,span_word_count:int,snippet:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def page_hits(text: Column, query: str) -> Column:
+    """Hits in one page's index text (word_idx, word_count, span_word_count, snippet), ignoring case, one a word.
 
     A blank in the query matches a blank inside a word or the border of two words.
-    word_count takes such a query as one word; span_word_count counts what it spans.
+    word_count takes such a query as one word; span_word_count counts what it spans. A page is
+    read once: places and word numbers run along with its hits.
     """
     cleaned, count = T.clean_query(query)
     if not cleaned:
-        return index.limit(0).select("doc_id", "page_no", F.lit(0).alias("word_idx"), F.lit(0).alias("word_count"), F.lit(0).alias("span_word_count"), F.lit("").alias("snippet"))
-    literal = re.sub(r"([^\w\s⁠ ])", r"\\\1", cleaned)
+        return F.array().cast(HIT)
+    literal = re.sub(r"([^\w\s⁠ ])", r"\\\1", cleaned)
     either = [literal] + ([literal.replace(T.BLANK, T.SEPARATOR)] if T.BLANK in cleaned else [])
     pattern = "(?i)(?:" + "|".join(either) + ")"
-    parts = index.where(F.col("text").rlike(pattern)).select("doc_id", "page_no", "text", F.split("text", pattern, -1).alias("parts"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"))
-    each = parts.select("doc_id", "page_no", "text", F.posexplode("found").alias("k", "hit"), "parts")
-    # Characters before hit k: the parts up to it and the hits before it, all of the query's length.
-    before = F.aggregate(F.slice("parts", 1, F.col("k") + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.col("k") * len(cleaned)
-    hits = each.withColumn("at", before + int(cleaned.startswith(T.BLANK)))
-    seps = F.length(F.substring(F.col("text"), F.lit(1), F.col("at"))) - F.length(F.translate(F.substring(F.col("text"), F.lit(1), F.col("at")), T.SEPARATOR, ""))
-    spans = F.lit(count) + F.length("hit") - F.length(F.translate("hit", T.SEPARATOR, "")) - cleaned.count(T.SEPARATOR)
-    rows = hits.select("doc_id", "page_no", seps.cast("int").alias("word_idx"), F.lit(count).alias("word_count"), spans.cast("int").alias("span_word_count"), T.shown(T.snippet(F.col("text"), F.col("at"))).alias("snippet"), "at")
-    first = F.row_number().over(Window.partitionBy("doc_id", "page_no", "word_idx", "word_count").orderBy("at"))
-    return rows.withColumn("r", first).where("r = 1").drop("r", "at")
+    lead = int(cleaned.startswith(T.BLANK))
+    seps = lambda s: F.length(s) - F.length(F.translate(s, T.SEPARATOR, ""))
+
+    def found(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        pairs = F.arrays_zip(F.slice(F.split(t, pattern, -1), 1, F.size(hits)).alias("before"), hits.alias("hit"))
+
+        def step(a: Column, x: Column) -> Column:
+            at, word = a["upto"] + F.length(x["before"]) + lead, a["words"] + seps(x["before"])
+            span = F.lit(count) + seps(x["hit"]) - cleaned.count(T.SEPARATOR)
+            # A leading blank that is a border is behind the hit's first word.
+            word = word + (F.when(x["hit"].startswith(T.SEPARATOR), 1).otherwise(0) if lead else 0)
+            row = F.struct(word.cast("int").alias("word_idx"), F.lit(count).alias("word_count"), span.cast("int").alias("span_word_count"), T.shown(T.snippet(t, at)).alias("snippet"))
+            fresh = (F.size(a["out"]) == 0) | (a["last"] != word)
+            return F.struct((a["upto"] + F.length(x["before"]) + len(cleaned)).alias("upto"), (a["words"] + seps(x["before"]) + seps(x["hit"])).alias("words"), word.alias("last"), F.when(fresh, F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
+
+        none = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("words"), F.lit(-1).alias("last"), F.array().cast(HIT).alias("out"))
+        return F.when(t.rlike(pattern), F.aggregate(pairs, none, step, lambda a: a["out"])).otherwise(F.array().cast(HIT))
+
+    return let(text, found)
+
+
+def search(index: DataFrame, query: str) -> DataFrame:
+    """Hits (doc_id, page_no, word_idx, word_count, span_word_count, snippet) of ``page_hits`` in every page; nothing is shuffled."""
+    return index.select("doc_id", "page_no", F.inline(page_hits(F.col("text"), query)))
+
+
+def search_words(pages: DataFrame, query: str) -> DataFrame:
+    """(doc_id, page_no, word_idx, value) of each word that a hit covers, while the page's words are at hand: no join."""
+
+    def covered(words: Column) -> Column:
+        places = F.array_sort(F.array_distinct(F.flatten(F.transform(page_hits(T.index_text(words), query), lambda h: F.sequence(h["word_idx"], h["word_idx"] + h["span_word_count"] - 1)))))
+        return F.transform(F.filter(places, lambda i: i < F.size(words)), lambda i: F.struct(i.alias("word_idx"), F.get(words, i).alias("value")))
+
+    return pages.select("doc_id", "page_no", F.inline(let(F.col("words"), covered)))
 
 
 def hit_words(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """Words that each hit covers: a range join of hits with words, as an equi-join on generated indexes."""
+    """Words that each of stored hits covers: a range join of hits with words, as an equi-join on generated indexes."""
     words = pages.select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value"))
     covered = hits.select("doc_id", "page_no", F.explode(F.sequence("word_idx", F.col("word_idx") + F.col("span_word_count") - 1)).alias("word_idx")).distinct()
     return covered.join(words, ["doc_id", "page_no", "word_idx"])

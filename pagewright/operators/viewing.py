@@ -89,6 +89,18 @@ def selected(words: DataFrame, selections: DataFrame, by: list[str]) -> DataFram
     return words.join(ends, by).where(inside).select(*words.columns, "backward")
 
 
+def selected_of_pages(pages: DataFrame, selections: DataFrame, by: list[str]) -> DataFrame:
+    """As ``selected``, from pages (by, page_no, words): pages out of the selection go before words are made rows."""
+    anchor, focus = (F.struct(F.col(f"{e}_page").alias("page"), F.col(f"{e}_word").alias("word")) for e in ("anchor", "focus"))
+    ends = selections.select(*by, F.least(anchor, focus).alias("_a"), F.greatest(anchor, focus).alias("_b"), (anchor > focus).alias("backward"))
+    held = pages.join(ends, by).where(F.col("page_no").between(F.col("_a.page"), F.col("_b.page")))
+    low = F.when(F.col("page_no") == F.col("_a.page"), F.col("_a.word"))
+    high = F.when(F.col("page_no") == F.col("_b.page"), F.col("_b.word"))
+    words = held.select(*by, "page_no", "backward", low.alias("_low"), high.alias("_high"), F.posexplode("words").alias("word_idx", "value"))
+    inside = (F.col("word_idx") >= F.coalesce("_low", F.lit(0))) & F.coalesce(F.col("word_idx") <= F.col("_high"), F.lit(True))
+    return words.where(inside).select(*by, "page_no", "word_idx", "value", "backward")
+
+
 def expand(clicked: DataFrame, words: DataFrame, by: list[str], level: str) -> DataFrame:
     """``clicked`` (by, word_idx) plus first and last word of its ``level``: a column of ``words`` such as line or block."""
     spans = words.groupBy(*by, level).agg(F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"))

@@ -123,3 +123,14 @@ def test_markdown_goes_to_a_folder_for_each_document(spark, tmp_path):
     nodes = spark.createDataFrame([(1, [0, 1], "title", 1, "B", ""), (1, [0], "title", 0, "A", ""), (2, [0], "caption", 0, "", "c")], "d int, path array<int>, kind string, level int, title string, content string")
     markdown.write(nodes, "d", str(tmp_path / "out"))
     assert [p.read_text() for d in (1, 2) for p in (tmp_path / "out" / f"d={d}").glob("part-*")] == ["# A\n\n## B\n\n\n", "*c*\n\n\n"]
+
+
+def test_trees_of_any_depth_are_read_whole(spark):
+    from pagewright.sources import archives
+
+    tree = {"title": "leaf", "block_ids": [1, 2]}
+    for level in range(30, 0, -1):
+        tree = {"title": f"n{level}", "block_ids": [], "children": [{"title": "side"}, tree]}
+    raw = spark.createDataFrame([(7, json.dumps(tree)), (8, "no tree")], "id int, json string")
+    got = {tuple(r.path): (r.id, r.title, r.n_blocks) for r in archives.tree_json(raw, depth=4).collect()}
+    assert len(got) == 61 and got[(0, *[1] * 30)] == (7, "leaf", 2) and got[(0, *[1] * 29, 0)] == (7, "side", 0) and got[(0,)] == (7, "n1", 0)

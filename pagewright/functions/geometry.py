@@ -136,3 +136,69 @@ def bbox_normalised(b: Column, page_w: Column, page_h: Column) -> Column:
 
     zero = F.lit(0.0)
     return F.struct(at(0).alias("x"), at(1).alias("y"), F.greatest(zero, at(2) - at(0)).alias("w"), F.greatest(zero, at(3) - at(1)).alias("h"))
+
+
+def vertical(y1: Column, y2: Column) -> Column:
+    return F.abs(y2 - y1).cast("float")
+
+
+def horizontal(x1: Column, x2: Column) -> Column:
+    return F.abs(x2 - x1).cast("float")
+
+
+def within_line_angle(a: Column, b: Column) -> Column:
+    """Degrees from a box's lower right corner to the next one's lower left, against the first's rotation, folded to -90..90; 0 if they meet."""
+    turn = bound_180(angle(a["brx"], a["bry"], b["blx"], b["bly"]) - rotation(a))
+    folded = F.when(turn > 90, turn - 180).when(turn < -90, turn + 180).otherwise(turn)
+    return F.when((a["brx"] == b["blx"]) & (a["bry"] == b["bly"]), 0.0).otherwise(folded)
+
+
+def between_line_angle(a: Column, b: Column) -> Column:
+    """Degrees from centre to centre against the first box's rotation, folded to 0..180."""
+    turn = bound_180(angle(*centroid(a), *centroid(b)) - rotation(a))
+    return F.when(turn < 0, turn + 180).otherwise(turn)
+
+
+def perpendicular_gap(a: Column, b: Column) -> Column:
+    """What is left between two boxes across the first one's lines; null where they overlap."""
+    turn = between_line_angle(a, b)
+    folded = F.when(turn > 90, turn - 180).otherwise(turn)
+    gap = F.abs(euclidean(*centroid(a), *centroid(b)) * F.cos(F.radians(90 - folded))) - height(a) / 2 - height(b) / 2
+    return F.when(gap >= 0, gap)
+
+
+def blocking(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column, eps: float = 1e-3) -> Column:
+    """Struct angle, overlap, distance, overlapped: how segment c-d lies to segment a-b.
+
+    The ends of a-b are carried across to the line of c-d. Of these and c, d the middle two bound what is shared:
+    overlap is its length over that of c-d, negative where they don't overlap; distance is that of its middle from a-b, signed.
+    Equal segments share all at distance 0; perpendicular or pointlike ones share nothing and have null values.
+    """
+    ux, uy, vx, vy = bx - ax, by - ay, dx - cx, dy - cy
+    dot = ux * vx + uy * vy
+    flat = almost_zero(dot, eps)
+    safe = F.when(flat, F.lit(None)).otherwise(dot)
+
+    # The foot on c-d of a point, along the normal of a-b, as a share t of c-d: (p - c) . u = t (v . u).
+    def share(px: Column, py: Column) -> Column:
+        return ((px - cx) * ux + (py - cy) * uy) / safe
+
+    s, t = share(ax, ay), share(bx, by)
+    order = F.array_sort(F.array(s, t, F.lit(0.0), F.lit(1.0)))
+    low, high = F.get(order, F.lit(1)), F.get(order, F.lit(2))
+    over = (F.greatest(s, t) >= 0) & (F.least(s, t) <= 1)
+    mid = (low + high) / 2
+    mx, my = cx + mid * vx, cy + mid * vy
+    across = F.when(almost_zero(ux, eps), mx - ax).when(almost_zero(uy, eps), my - ay).otherwise(((mx - ax) - (my - ay) * ux / F.when(~almost_zero(uy, eps), uy)) / F.sqrt(ux * ux / F.when(~almost_zero(uy, eps), uy * uy) + 1))
+    turn = bound_180(F.degrees(F.atan2(vy, vx) - F.atan2(uy, ux)))
+    same = almost_zero(ax - cx, eps) & almost_zero(ay - cy, eps) & almost_zero(bx - dx, eps) & almost_zero(by - dy, eps)
+    part = F.when(over, high - low).otherwise(low - high)
+    row = lambda a, o, d, yes: F.struct(a.cast("double").alias("angle"), o.cast("double").alias("overlap"), d.cast("double").alias("distance"), yes.alias("overlapped"))
+    none = F.lit(None)
+    return F.when(same, row(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(True))).when(flat, row(turn, none, none, F.lit(False))).otherwise(row(turn, part, across, over))
+
+
+def overlapping_distance(found: Column, low: float = -30.0, high: float = 30.0) -> Column:
+    """Distance of ``blocking`` if the segments overlap and are parallel enough, else infinity."""
+    turn = F.when(found["angle"] > 90, found["angle"] - 180).when(found["angle"] < -90, found["angle"] + 180).otherwise(found["angle"])
+    return F.when(found["overlapped"] & turn.between(low, high), F.abs(found["distance"])).otherwise(float("inf"))

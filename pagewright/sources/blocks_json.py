@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
+from pagewright.functions import model as M
 from pagewright.functions import text as T
 
 BLOCK = "struct<id:int,order:int,page:int,type:string,category:string,source_label:string,source_id:string,content:string,text:string,bbox:array<double>,box:array<double>,title_level:int,level:int>"
 
 
-def _block(b: Column) -> list[Column]:
+def _block(b: Column, box: Column | None = None) -> list[Column]:
+    box = G.bbox_from_array(F.coalesce(b["bbox"], b["box"], F.array().cast("array<double>"))) if box is None else box
     label = F.coalesce(b["source_label"], b["type"], b["category"])
-    return [T.block_type(label).alias("type"), F.coalesce(b["content"], b["text"], F.lit("")).alias("content"), G.bbox_from_array(F.coalesce(b["bbox"], b["box"], F.array().cast("array<double>"))).alias("bbox"), F.coalesce(b["title_level"], b["level"]).alias("title_level")]
+    return [T.block_type(label).alias("type"), F.coalesce(b["content"], b["text"], F.lit("")).alias("content"), box.alias("bbox"), F.coalesce(b["title_level"], b["level"]).alias("title_level")]
 
 
 def pages_json(raw: DataFrame, column: str = "json") -> DataFrame:
@@ -24,6 +26,39 @@ def pages_json(raw: DataFrame, column: str = "json") -> DataFrame:
     return each.select("doc_id", "page", "place", *_block(F.col("b")))
 
 
+def numbered(place: Column, orders: Column) -> Column:
+    """The id of a page's block: as far behind the last block before it whose source_id names an order as it stands, on from there.
+
+    ``orders``: the order that each of the page's blocks names, or null. A block's own order tells only on those behind it.
+    """
+    before = F.filter(F.transform(F.slice(orders, 1, place), lambda o, i: F.struct(i.alias("i"), o.alias("o"))), lambda x: x["o"].isNotNull())
+    last = F.try_element_at(before, F.lit(-1))
+    return F.coalesce(last["o"] + place - last["i"], place)
+
+
+def numbered_pages_json(raw: DataFrame, column: str = "json") -> DataFrame:
+    """As ``pages_json``, with id: see ``numbered``."""
+    parsed = raw.select(F.from_json(column, f"struct<doc_id:string,pages:map<string,array<{BLOCK}>>>").alias("j"))
+    pages = parsed.select("j.doc_id", F.explode("j.pages").alias("key", "blocks")).withColumn("page", F.col("key").try_cast("int")).where("page IS NOT NULL")
+    orders = F.transform("blocks", lambda b: M.source_order(b["source_id"]))
+    each = pages.withColumn("orders", orders).select("doc_id", "page", "orders", F.posexplode("blocks").alias("place", "b"))
+    return each.select("doc_id", "page", "place", numbered(F.col("place"), F.col("orders")).alias("id"), *_block(F.col("b")))
+
+
+def middle_json(raw: DataFrame, column: str = "json") -> DataFrame:
+    """Blocks (doc_id, model_name, page, place, id, type, content, bbox) of {doc_id, model_name, page_size, pages}; boxes in pixels are
+    divided by the page's size, if it is known. Text that isn't such an object, or has no page, gives none."""
+    ddl = f"struct<doc_id:string,model_name:string,page_size:map<string,array<double>>,pages:map<string,array<{BLOCK}>>>"
+    parsed = raw.select(F.from_json(column, ddl).alias("j")).where("j.pages IS NOT NULL")
+    sizes = M.page_sizes(F.coalesce("j.page_size", F.create_map().cast("map<string,array<double>>")))
+    pages = parsed.select(F.coalesce("j.doc_id", F.lit("")).alias("doc_id"), F.coalesce("j.model_name", F.lit("mineru")).alias("model_name"), sizes.alias("sizes"), F.explode("j.pages").alias("key", "blocks"))
+    pages = pages.withColumn("page", F.col("key").try_cast("int")).where("page IS NOT NULL").withColumn("size", F.try_element_at("sizes", F.col("page")))
+    each = pages.select("doc_id", "model_name", "page", "size", F.posexplode("blocks").alias("place", "b"))
+    b = F.col("b")
+    box = G.bbox_normalised(F.coalesce(b["bbox"], b["box"], F.array().cast("array<double>")), F.coalesce("size.w", F.lit(0.0)), F.coalesce("size.h", F.lit(0.0)))
+    return each.select("doc_id", "model_name", "page", "place", F.coalesce(b["id"], F.col("place")).alias("id"), *_block(b, box))
+
+
 def flat_json(raw: DataFrame, column: str = "json") -> DataFrame:
     """Blocks of a flat array; anything but an array gives none. The page defaults to 1, the id is the place."""
     # from_json takes an object for an array of one.

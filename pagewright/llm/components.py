@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import common
 
 MAX_ROUNDS = 60
-HUB, HUBS = 512, 10_000
+HUB, HUBS = 100_000, 10_000
 
 
 def _with_least(rows: DataFrame, least: DataFrame, many: int, n: int) -> DataFrame:

@@ -55,7 +55,7 @@ LONG = 1024
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 #: An id in more pairs than this, and in more than one of ``HOTS``, is dealt over several tasks.
-HOT, HOTS = 256, 10_000
+HOT, HOTS = 4096, 10_000
 KNOWN_WORDS = 300_000
 
 
@@ -250,18 +250,16 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK,
     rest = rest.join(classes.select("id", "n", "bands").join(longer, "id").select("id", "n", *_planes("s", LONG), "bands"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("parts", parts).withColumn("step", step)
     rest = common.materialize(rest, "rest")
     left = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    first_block, second_block = left.select("*", F.col("part").alias("i"), F.col("with").alias("j")), left.select("*", F.col("with").alias("i"), F.col("part").alias("j"))
+    # The second row stands in its own step and in the one below, so that one join gives pairs of both kinds.
+    first_row = left.select("*", F.col("part").alias("i"), F.col("with").alias("j")).alias("a")
+    second_row = left.select("*", F.col("with").alias("i"), F.col("part").alias("j"), F.explode(F.array(F.lit(0), F.lit(1))).alias("below")).withColumn("step", F.col("step") - F.col("below")).alias("b")
     same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     other = (F.col("a.component") != F.col("b.component")) & (F.col("a.id") != F.col("b.centre")) & (F.col("b.id") != F.col("a.centre"))
-    # A pair counts in the first of its common buckets, and once within a block.
+    # A pair counts in the first of its common buckets; one of a step counts in one of its two orders.
     here = F.element_at(F.array_intersect("a.bands", "b.bands"), 1) == F.col("a.bucket")
-    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.id") < F.col("b.id"))
-    found = [
-        (first_block.where("i <= j"), second_block.where("i <= j"), same & once),
-        (first_block, second_block.withColumn("step", F.col("step") - 1), same),
-    ]
-    pairs = [a.alias("a").join(b.alias("b"), on & other & likely("a", "b", LONG, percent) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")) for a, b, on in found]
-    pairs = common.materialize(pairs[0].union(pairs[1]), "rest-pairs")
+    once = (F.col("b.below") == 1) | (F.col("a.i") < F.col("a.j")) | ((F.col("a.i") == F.col("a.j")) & (F.col("a.id") < F.col("b.id")))
+    pairs = first_row.join(second_row, same & once & other & likely("a", "b", LONG, percent) & here).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    pairs = common.materialize(pairs, "rest-pairs")
     if not pairs.limit(1).count():
         return first
     return components(linked.union(confirm(pairs, classes, docs, percent, hot)))

@@ -9,6 +9,7 @@ from pagewright.functions import layoutmath as M
 from pagewright.functions import text as T
 from pagewright.operators import relations as R
 from pagewright.operators import search as S
+from pagewright.operators import segmentation
 from pagewright.operators import textlayer as L
 
 
@@ -80,7 +81,7 @@ def test_words_lines_and_blocks_of_a_page():
     for r, line in enumerate(["ab cd.", "ef"]):
         rows += [(1, 1, 100 * r + i, c, 72 + 6.0 * i, 62 + 14.0 * r, 78 + 6.0 * i, 72 + 14.0 * r) for i, c in enumerate(line)]
     page = pd.DataFrame(rows, columns=["doc_id", "page_no", "letter_idx", "value", "x0", "y0", "x1", "y1"])
-    out = L.layer(page)
+    out = segmentation.layer(page)
     assert out.value.tolist() == ["ab", " ", "cd", ".", "ef"]
     assert out.line_idx.tolist() == [0, 0, 0, 0, 1]
     shifted = page.assign(letter_idx=page.letter_idx + 1000, x0=page.x0 + 0.4, x1=page.x1 + 0.4)

@@ -202,3 +202,30 @@ def overlapping_distance(found: Column, low: float = -30.0, high: float = 30.0)
     """Distance of ``blocking`` if the segments overlap and are parallel enough, else infinity."""
     turn = F.when(found["angle"] > 90, found["angle"] - 180).when(found["angle"] < -90, found["angle"] + 180).otherwise(found["angle"])
     return F.when(found["overlapped"] & turn.between(low, high), F.abs(found["distance"])).otherwise(float("inf"))
+
+
+def transformed(b: Column, m: Column) -> Column:
+    """A box under an affine matrix (a, b, c, d, e, f): x' = a x + c y + e, y' = b x + d y + f."""
+    def at(x: str, y: str) -> tuple[Column, Column]:
+        return m["a"] * b[x] + m["c"] * b[y] + m["e"], m["b"] * b[x] + m["d"] * b[y] + m["f"]
+
+    return box(*[v for x, y in zip(CORNERS[::2], CORNERS[1::2], strict=True) for v in at(x, y)])
+
+
+def inverted(b: Column, page_height: Column) -> Column:
+    """A box of a page whose y grows upward, with y growing downward."""
+    return box(*[invert_y(b[c], page_height) if c.endswith("y") else b[c] for c in CORNERS])
+
+
+def glyph_box(width: Column, ascent: Column, m: Column, page_height: Column, unit: float = 1.0) -> Column:
+    """A letter's box: its advance by the ascent of its font (one unit at least), on the page."""
+    zero, top = F.lit(0.0), F.greatest(ascent, F.lit(unit))
+    return inverted(transformed(box(zero, top, width, top, zero, zero, width, zero), m), page_height)
+
+
+def drawn_glyph_box(bounds: Column, m: Column, page_height: Column, unit: float = 1.0) -> Column:
+    """A letter's box where the font draws its glyphs: the upper corners of its bounds, turned upright, over the base line's."""
+    width = bounds["brx"] - bounds["blx"]
+    up = unmirror(inverted(transformed(bounds, m), page_height))
+    base = glyph_box(width, F.lit(unit), m, page_height, unit)
+    return box(up["tlx"], up["tly"], up["trx"], up["try"], base["blx"], base["bly"], base["brx"], base["bry"])

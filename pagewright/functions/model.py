@@ -27,6 +27,10 @@ STROKES = ("Stroke", "StrokeClip", "FillThenStroke", "FillThenStrokeClip")
 FILLS = ("Fill", "FillClip", "FillThenStroke", "FillThenStrokeClip")
 #: Annotation flags.
 NO_ZOOM, NO_ROTATE = 8, 16
+#: Content operators that bear on text: glyph widths, compatibility, state, text, forms, marked content.
+TEXT_OPERATORS = ("d0", "d1", "BX", "EX", "cm", "Q", "q", "gs", "BT", "ET", "Tc", "Tf", "Tz", "TL", "Tr", "Ts", "Tw", "Do", "T*", "'", "TD", "Td", '"', "Tm", "Tj", "TJ", "BMC", "BDC", "MP", "DP", "EMC")
+#: The share of a word's width that its letters' widths may sum up to.
+CONSISTENT = (0.8, 1.2)
 #: Printer orientations and scalings.
 ORIENTATIONS = {"Portrait": 3, "Landscape": 4}
 SCALINGS = {"FitToPage": "fit", "ActualSize": "none", "ShrinkToFit": "auto-fit", "CustomScale": "none"}
@@ -180,3 +184,14 @@ def part_of_word(value: Column, starts: Column, first: Column, last: Column) ->
 
 def without_soft_hyphens(text: Column) -> Column:
     return F.replace(text, F.lit("­"), F.lit(""))
+
+
+def bears_on_text(operator: Column) -> Column:
+    """Whether a content operator can change what text a page shows and where."""
+    return operator.isin(*TEXT_OPERATORS)
+
+
+def consistent_widths(widths: Column, width: Column) -> Column:
+    """Whether letters' widths sum up to about their word's; false without letters or width."""
+    total = F.aggregate(widths, F.lit(0.0), lambda a, w: a + w)
+    return F.coalesce((width > 0) & (F.size(widths) > 0) & (total / F.when(width > 0, width)).between(*CONSISTENT), F.lit(False))

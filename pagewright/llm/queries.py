@@ -1,6 +1,6 @@
 """Queries and SQL of this package."""
 
-from pagewright.llm import decontaminate, license_scan, line_dedup, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, url_filter, warc
+from pagewright.llm import decontaminate, license_scan, line_dedup, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
 
 
 def pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_warc": warc.op9_warc,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_toxicity": toxicity.op11_toxicity,
     "pipeline": pipeline,
 }
 ORACLES = {"op3_decontaminate": decontaminate.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_url_filter": url_filter.OP10_SQL}

@@ -1,6 +1,6 @@
 """Queries and SQL of this package."""
 
-from pagewright.llm import conversation_repair, decontaminate, license_scan, line_dedup, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
+from pagewright.llm import conversation_repair, conversation_trie, decontaminate, license_scan, line_dedup, near_dedup, pii, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_toxicity": toxicity.op11_toxicity,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     "pipeline": pipeline,
 }
 ORACLES = {"op3_decontaminate": decontaminate.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_url_filter": url_filter.OP10_SQL}

@@ -323,3 +323,35 @@ def repair(rows: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bound_batches(spark)
     return repair(damaged(common.table(spark, sf_dir, "conversations")))
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split({0}, '')]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, e: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+#: Every conversation's rows, one a step, with all ways of inserting before a row; the repaired text is carried along.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+m AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS pos, left(role, 1) AS i, rtrim(text, E' \\t\\n\\x0b\\x0c\\r') AS e FROM m),
+f AS (
+  SELECT *, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM o),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ins AS (FROM (VALUES (0, 0, '', []), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, 'II', ['user:', 'assistant:'])) t(a, b, letters, lines)),
+say AS (FROM (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (3, 'u', 2, 'user'), (2, 'a', 3, 'assistant')) t(b, i, c, name)),
+p AS (
+  SELECT conv_id, n, 0 AS pos, 0 AS state, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM n
+  UNION ALL
+  SELECT conv_id, n, pos, state, min(way) FROM (
+    SELECT p.conv_id, p.n, f.pos, s.c AS state, {{'cost': p.best.cost + 2 * length(letters) + CASE WHEN e.e = 'R' THEN 2 ELSE 0 END + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'audit': p.best.audit || letters || e.e, 'lines': p.best.lines || ins.lines || [CASE WHEN e.e = 'R' THEN name ELSE f.role END || ':' || f.text]}} AS way
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1 JOIN ins ON ins.a = p.state JOIN say s ON s.b = ins.b, (VALUES ('K'), ('R')) e(e)
+    WHERE f.fault NOT IN ('blank', 'duplicate') AND CASE WHEN e.e = 'K' THEN s.i = f.i ELSE s.i <> 's' END
+    UNION ALL
+    SELECT p.conv_id, p.n, f.pos, ins.b, {{'cost': p.best.cost + 2 * length(letters) + 3, 'audit': p.best.audit || letters || 'D', 'lines': p.best.lines || ins.lines}}
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1 JOIN ins ON ins.a = p.state) GROUP BY conv_id, n, pos, state),
+z AS (
+  SELECT conv_id, min({{'cost': best.cost + 2 * length(letters), 'audit': best.audit || letters, 'lines': best.lines || ins.lines}}) AS best FROM p JOIN ins ON ins.a = state WHERE pos = n AND ins.b IN (0, 3) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -322,3 +322,19 @@ def trie(spark: SparkSession, paths: DataFrame, tasks: int | None = None, **boun
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bound_batches(spark)
     return trie(spark, rebuilt(common.table(spark, sf_dir, "conversations")))
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split({0}, '')]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, e: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'symbol': sha256(length(role) || ':' || role || text), 'size': strlen(text)}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS own, {_CRC.format("conv_id::VARCHAR")} % 9 AS h FROM t GROUP BY conv_id),
+path AS (SELECT o.conv_id, list_concat(coalesce(b.own[1 : o.h], []), o.own[o.h + 1 :]) AS path FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+step AS (SELECT conv_id, len(path) AS ends, unnest(range(len(path) + 1)) AS depth, path FROM path),
+key AS (SELECT conv_id, ends, depth, CASE WHEN depth = 0 THEN 0 ELSE path[depth].size END AS size, [x.symbol FOR x IN path[1 : depth]] AS key FROM step),
+node AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends = depth), '') AS ends FROM key GROUP BY key, depth),
+kids AS (SELECT key[1 : depth - 1] AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+above AS (SELECT n.key, k.n IS NULL AS leaf, saved, unnest(range(depth + 1)) AS up FROM node n LEFT JOIN kids k USING (key)),
+tree AS (SELECT key[1 : up] AS key, sum(leaf::INT) AS n_leaves, sum(saved) AS saved FROM above GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, t.n_leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n JOIN tree t USING (key) LEFT JOIN kids k USING (key) LEFT JOIN node p ON n.depth > 0 AND p.key = n.key[1 : n.depth - 1]
+"""

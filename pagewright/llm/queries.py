@@ -25,4 +25,4 @@ QUERIES = {
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     "pipeline": pipeline,
 }
-ORACLES = {"op3_decontaminate": decontaminate.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_url_filter": url_filter.OP10_SQL}
+ORACLES = {"op3_decontaminate": decontaminate.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL, "op10_url_filter": url_filter.OP10_SQL, "op12_conversation_repair": conversation_repair.OP12_SQL, "op13_conversation_trie": conversation_trie.OP13_SQL}

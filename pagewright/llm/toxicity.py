@@ -116,10 +116,10 @@ def fit(toxic: list[str], neutral: list[str], share: float, groups: Iterable[tup
     share = min(max(share, 1e-3), 1 - 1e-3)
     texts, y = [*toxic, *neutral], np.r_[np.ones(len(toxic)), np.zeros(len(neutral))]
     places = lru_cache(1 << 16)(marks)
-    found = [rates(counted(t), places) for t in texts]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    col = np.fromiter((p for x in found for p in x), np.int64, len(row))
-    val = np.fromiter((v for x in found for v in x.values()), np.float64, len(row))
+    found = [(np.fromiter(x, np.int32, len(x)), np.fromiter(x.values(), np.float32, len(x))) for x in (rates(counted(t), places) for t in texts)]
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(p) for p, _ in found])
+    col, val = np.concatenate([p for p, _ in found]), np.concatenate([v for _, v in found]).astype(np.float64)
+    del found
     one = y[row] == 1
     sums = [np.bincount(col[m], val[m], SPACE) for m in (one, ~one)]
     spread = np.bincount(col, val**2, SPACE) / len(y)

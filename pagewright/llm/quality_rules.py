@@ -8,7 +8,7 @@ chunks leave the chunk band. A text under ``CHUNK`` bytes has no chunk of its ow
 band takes the place of the chunk band.
 
 Limits follow the corpus. Ratios fall as texts get longer, so each length class (a power of
-two bytes, from 2 ** ``FIRST``) has a line of its own, ratio against the logarithm of
+two bytes; all under 2 ** ``FIRST`` are one class) has a line of its own, ratio against the logarithm of
 the size, through its trusted texts, and the spread of theirs about it; the band reaches
 ``BELOW`` spreads below the line and ``ABOVE`` above. All chunks are of one size and have one
 band, from those of trusted texts. Trusted are texts labelled good, if there are labels,
@@ -43,10 +43,11 @@ SYMBOLS = "#*$%&|<>"
 LEVEL = 3
 CHUNK = 4096
 #: (size in bytes from which the class begins, least ratio, greatest ratio) of a whole text.
-BANDS = ((256, 0.35, 0.90), (1024, 0.30, 0.75), (4096, 0.25, 0.65), (16384, 0.20, 0.60), (65536, 0.15, 0.60))
+BANDS = ((1, 0.35, 1.40), (256, 0.35, 0.90), (1024, 0.30, 0.75), (4096, 0.25, 0.65), (16384, 0.20, 0.60), (65536, 0.15, 0.60))
 CHUNK_BAND = (0.25, 0.75)
 BAD_CHUNKS = 0.25
 FIRST = 8
+SHORT = FIRST - 1
 BELOW, ABOVE, LEAST = 3.0, 6.0, 20
 #: A spread counts as so much at least: texts that repeat have none.
 LEAST_SPREAD = 0.004
@@ -89,11 +90,10 @@ class Limits:
 
     def band(self, size: int) -> tuple[float, float]:
         """Least and greatest ratio of a text of ``size`` bytes."""
-        if (line := self.lines.get(int(log2(size)))) is not None:
+        if (line := self.lines.get(max(int(log2(size)), SHORT))) is not None:
             slope, middle, spread = line
             return middle + slope * log2(size) - BELOW * spread, middle + slope * log2(size) + ABOVE * spread
-        held = [(low, high) for least, low, high in BANDS if size >= least]
-        return held[-1] if held else (0.0, float("inf"))
+        return [(low, high) for least, low, high in BANDS if size >= least][-1]
 
 
 def ratios(raw: bytes, compress) -> tuple[float, list[float]]:
@@ -143,7 +143,7 @@ def measures(text: Column) -> Column:
 
 
 def _class() -> Column:
-    return F.floor(F.log2(F.greatest(F.col("n_bytes"), F.lit(1)))).cast("int")
+    return F.greatest(F.floor(F.log2(F.greatest(F.col("n_bytes"), F.lit(1)))).cast("int"), F.lit(SHORT))
 
 
 def _spread(quartiles: list[float]) -> float:
@@ -152,7 +152,7 @@ def _spread(quartiles: list[float]) -> float:
 
 def learn(trusted: DataFrame) -> Limits:
     """Limits from all trusted texts (n_bytes, ratio, chunks)."""
-    each = trusted.where(F.col("n_bytes") >= 2**FIRST).select(_class().alias("class"), F.log2("n_bytes").alias("log"), "ratio")
+    each = trusted.where("n_bytes > 0").select(_class().alias("class"), F.log2("n_bytes").alias("log"), "ratio")
     slopes = each.groupBy("class").agg(F.coalesce(F.regr_slope("ratio", "log"), F.lit(0.0)).alias("slope"), F.count("*").alias("n"))
     # A class is a power of two bytes, so there are few.
     lines = {r["class"]: r["slope"] for r in slopes.where(F.col("n") >= LEAST).collect()}

@@ -12,9 +12,9 @@ are at most ``broadcast_rows``; beyond that captures are salted by their URL and
 interval is copied to every salt, so that a host with a third of all captures is dealt
 over ``SALTS`` tasks. Captures are never grouped by host.
 
-Null or unparsable URLs have no host and match nothing, and so do those whose host is longer
-than the 253 characters that a host name can have; captures without a day match
-nothing; null list, key or day drops an entry. Repeated captures get equal results. Columns of
+Null or unparsable URLs have no host and match nothing; captures without a day match
+nothing. A host of any length is held against all entries: its parent domains are made up to as
+many labels as the longest listed key has, as none beyond can match. Null list, key or day drops an entry. Repeated captures get equal results. Columns of
 captures pass through whatever their names, but for the four that are added: they take the
 place of columns of those names. URLs of any length are read whole.
 """
@@ -28,7 +28,10 @@ from pagewright.llm import common
 
 BROADCAST_ROWS = 50_000
 SALTS = 32
-HOST_CHARS = 253
+#: Labels, at most, of the keys that the demonstration lists.
+LISTED_LABELS = 127
+#: Rank of a key with a path, above that of any domain.
+PATH = 1 << 30
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 START = "2024-01-01"
@@ -36,16 +39,15 @@ START = "2024-01-01"
 
 def host(url: Column) -> Column:
     """Lower-case host; empty without one."""
-    found = F.coalesce(F.regexp_extract(url, HOST, 1), F.lit(""))
-    return common.ascii_lower(F.when(F.length(found) <= HOST_CHARS, found).otherwise(""))
+    return common.ascii_lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def keys(url: Column) -> Column:
-    """array<struct<key, rank>>: parent domains (rank: number of labels), then host/segment (rank 100)."""
+def keys(url: Column, most: int) -> Column:
+    """array<struct<key, rank>>: parent domains of at most ``most`` labels (rank: their number), then host/segment (rank ``PATH``)."""
     labels = F.split(host(url), r"\.", -1)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("key"), n.alias("rank")))
+    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(most, 1)))), lambda n: F.struct(F.array_join(F.slice(labels, -n, n), ".").alias("key"), n.alias("rank")))
     segment = F.coalesce(F.regexp_extract(url, SEGMENT, 1), F.lit(""))
-    path = F.array(F.struct(F.concat(host(url), F.lit("/"), segment).alias("key"), F.lit(100).alias("rank")))
+    path = F.array(F.struct(F.concat(host(url), F.lit("/"), segment).alias("key"), F.lit(PATH).alias("rank")))
     return F.when(host(url) == "", F.array().cast("array<struct<key:string,rank:int>>")).when(segment == "", domains).otherwise(F.concat(domains, path))
 
 
@@ -59,7 +61,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def active(captures: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(k1, k2, day, list, key, rank, blocks): each capture (k1, k2, url, day) with each entry active on its day."""
-    each = captures.select("k1", "k2", "day", F.inline(keys(F.col("url"))))
+    # The labels of the longest listed domain; one number.
+    most = spans.where(~F.col("key").contains("/")).agg(F.max(F.size(F.split("key", r"\.", -1)))).first()[0] or 0
+    each = captures.select("k1", "k2", "day", F.inline(keys(F.col("url"), most)))
     now = (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     if common.small(spans, broadcast_rows):
         found = each.join(F.broadcast(spans), "key").where(now)
@@ -96,7 +100,7 @@ def capture_day(page_id: Column) -> Column:
 
 def demo_entries(pages: DataFrame) -> DataFrame:
     """Dated entries by a rule over the pages' own hosts and paths: the tables hold no list."""
-    each = pages.select(F.inline(keys(F.col("url")))).select("key").distinct()
+    each = pages.select(F.inline(keys(F.col("url"), LISTED_LABELS))).select("key").distinct()
     digit = lambda n: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("key"), n, 1)) - 1
     day = lambda n: F.date_add(F.lit(START).cast("date"), (digit(n) * 16 + digit(n + 1)).cast("int"))
     entry = lambda of, when, then, action: F.when(when, F.struct(F.lit(of).alias("list"), then.alias("day"), F.lit(action).alias("action")))
@@ -111,11 +115,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
-    lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]{1,253})(?:[/?#:]|$)', 1), '')) AS host,
+    lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
     coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS seg FROM pages),
 l AS (SELECT *, string_split(host, '.') AS labels FROM p WHERE host <> ''),
-k AS (SELECT rid, day, array_to_string(labels[len(labels) - n + 1:], '.') AS key, n AS rank FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS n FROM l)
-    UNION ALL SELECT rid, day, host || '/' || seg, 100 FROM l WHERE seg <> ''),
+k AS (SELECT rid, day, array_to_string(labels[len(labels) - n + 1:], '.') AS key, n AS rank FROM (SELECT *, unnest(range(1, least(len(labels), 127) + 1)) AS n FROM l)
+    UNION ALL SELECT rid, day, host || '/' || seg, 1 << 30 FROM l WHERE seg <> ''),
 h AS (SELECT DISTINCT key, md5(key) AS m FROM k),
 g AS (SELECT key, [instr('0123456789abcdef', m[i:i]) - 1 FOR i IN [1, 2, 3, 4, 5, 6]] AS x FROM h),
 e AS (SELECT 'spam' AS list, key, DATE '2024-01-01' + CAST(x[2] * 16 + x[3] AS INTEGER) AS since, 1 AS blocks FROM g WHERE x[1] < 6

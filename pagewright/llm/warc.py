@@ -207,8 +207,27 @@ def unchunked(body: bytes) -> bytes:
     return b"".join([*out, body[at:]]) if out else body
 
 
+def _inflated(body: bytes, bits: int, most: int) -> tuple[bytes, bool]:
+    """What the streams of ``body`` hold, at most one byte over ``most``, and whether the last one is whole.
+
+    Gzip streams may follow one another; anything else behind a whole stream is padding.
+    """
+    out, size = [], 0
+    while True:
+        held = zlib.decompressobj(bits)
+        out.append(held.decompress(body, most - size + 1))
+        size += len(out[-1])
+        body = held.unused_data
+        if size > most or not held.eof or bits != 31 or body[:2] != b"\x1f\x8b":
+            return b"".join(out), held.eof
+
+
 def unpacked(body: bytes, encoding: str, most: int = MOST_BYTES) -> tuple[bytes, str]:
-    """The payload behind a Content-Encoding, and what is wrong with it, if anything."""
+    """The payload behind a Content-Encoding, and what is wrong with it, if anything.
+
+    A payload that was cut short gives what can be read of it, and says ``disconnect``.
+    """
+    wrong = ""
     for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
         if name == "identity":
             continue
@@ -217,13 +236,13 @@ def unpacked(body: bytes, encoding: str, most: int = MOST_BYTES) -> tuple[bytes,
         try:
             # Deflate comes with and without its own header.
             raw = name == "deflate" and not (body[:1] and body[0] & 15 == 8 and int.from_bytes(body[:2], "big") % 31 == 0)
-            held = zlib.decompressobj(31 if name != "deflate" else -15 if raw else 15)
-            body = held.decompress(body, most + 1)
+            body, whole = _inflated(body, 31 if name != "deflate" else -15 if raw else 15, most)
         except zlib.error:
             return b"", "encoding"
         if len(body) > most:
             return b"", "length"
-    return body, ""
+        wrong = wrong if whole else "disconnect"
+    return body, wrong
 
 
 def decoded(payload: bytes, content_type: str) -> str:

@@ -136,9 +136,17 @@ def link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.link(F.col("url")).alias("url_link"), T.link(F.coalesce("html", F.lit(""))).alias("html_link"))
 
 
-@query("SELECT page_id, CASE WHEN lower(split_part(url, ':', 1)) IN ('ftp','http','https','mailto','tel','imap','file') THEN url END AS uri FROM pages")
+URI_SQL = """WITH u AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN split_part(url, '://', 2) WHEN 1 THEN replace(url, 'http', 'HTTP') WHEN 2 THEN 'httpx' WHEN 3 THEN 'file://' WHEN 4 THEN 'file:///tmp/' || page_id WHEN 5 THEN 'javascript:' || url WHEN 6 THEN 'mailto:a@b.c' WHEN 7 THEN '' ELSE url END AS u FROM pages)
+SELECT page_id, CASE WHEN instr(u, ':') = 0 THEN CASE WHEN u <> '' AND left(u, 4) <> 'http' THEN 'http://' || u END
+WHEN regexp_matches(u, '^(ftp|https?|mailto|tel|imap):') OR regexp_matches(u, '^file:/{0,2}[^/ ]') OR regexp_matches(u, '^file:///') THEN u END AS uri FROM u"""
+
+
+@query(URI_SQL)
 def uri_allowed(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.allowed_uri(F.col("url")).alias("uri"))
+    k, url = F.col("page_id"), F.col("url")
+    cases = [F.regexp_extract(url, "://(.*)$", 1), F.replace(url, F.lit("http"), F.lit("HTTP")), F.lit("httpx"), F.lit("file://"), F.concat(F.lit("file:///tmp/"), k.cast("string")), F.concat(F.lit("javascript:"), url), F.lit("mailto:a@b.c"), F.lit(""), url]
+    uri = F.get(F.array(*cases), (k % 9).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", T.allowed_uri(uri).alias("uri"))
 
 
 @query("SELECT conv_id, string_agg(CASE WHEN p = '' THEN text WHEN regexp_matches(p, '[\\p{Ps}\\p{Pi}\\p{Pd}\\p{Pc}]$') OR regexp_matches(text, '^[\\p{Pe}\\p{Pf}\\p{Po}\\p{Pd}\\p{Sm}\\p{Sc}]') THEN text ELSE ' ' || text END, '' ORDER BY turn, text) AS text FROM (SELECT conv_id, turn, text, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, text) AS p FROM conversations WHERE text <> '') GROUP BY conv_id")
@@ -150,25 +158,31 @@ def selection_text(spark, sf_dir):
     return spaced.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "piece"))), lambda s: s["piece"]), "").alias("text"))
 
 
-# DuckDB counts edits of bytes, Spark those of characters.
-@query()
+# DuckDB counts edits of bytes, Spark those of characters; letters beyond ASCII count as one sign here.
+@query("""WITH i AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.t, b.t) AS distance, round(levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6)::DOUBLE AS normalised FROM i a JOIN i b ON b.item_id = a.item_id + 1""")
 def edit_distance(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    a, b = items.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("t"))
+    a, b = items.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
     pairs = a.join(b, F.col("b") == F.col("a") + 1)
-    return pairs.select("a", "b", F.levenshtein("ta", "tb").alias("distance"), F.round(T.normalised_distance(F.col("ta"), F.col("tb")), 6).alias("normalised"))
+    return pairs.select("a", "b", F.levenshtein("ta", "tb").cast("long").alias("distance"), F.round(T.normalised_distance(F.col("ta"), F.col("tb")), 6).alias("normalised"))
 
 
 def _pages_json(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.when(i == 0, "paragraph_title").otherwise("paragraph").alias("source_label"), s.alias("content"), F.array(F.lit(10.0), 20.0 * i, F.lit(110.0), 20.0 * i + 15).alias("bbox")))
+    kind = lambda i: F.when(i == 0, "title").when(i % 5 == 4, "Footer").otherwise("text")
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(kind(i).alias("type"), F.lit("paragraph_title").alias("source_label"), s.alias("content"), F.array(F.lit(10.0), 20.0 * i, F.lit(5.0), 20.0 * i + 15).alias("bbox"), F.when(i % 2 == 0, i).alias("title_level"), F.lit(7).alias("level")))
     pages = F.map_from_arrays(F.array(F.lit("1"), F.lit("x")), F.array(lines, lines))
     return docs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("m").alias("model"), pages.alias("pages"))).alias("json"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS page, CAST(i - 1 AS INTEGER) AS place, CASE WHEN i = 1 THEN 'title' ELSE 'text' END AS type, s[i] AS content, 100.0::DOUBLE AS w, 20.0::DOUBLE * (i - 1) AS y FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))")
+BLOCKS_SQL = "SELECT doc_id, s[i] AS s, i - 1 AS i, CASE WHEN i = 1 THEN 'title' WHEN i % 5 = 0 THEN 'Footer' ELSE 'text' END AS type FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
+
+
+# The kind stands as the file has it, not mapped from its source label; the level isn't a title's.
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'm' AS model, 1 AS page, CAST(i AS INTEGER) AS place, type, 'paragraph_title' AS source_label, s AS content, -5.0::DOUBLE AS w, 20.0::DOUBLE * i AS y, CASE WHEN i % 2 = 0 THEN CAST(i AS INTEGER) END AS title_level FROM ({BLOCKS_SQL})")
 def blocks_json_pages(spark, sf_dir):
-    return blocks_json.pages_json(_pages_json(spark, sf_dir)).select("doc_id", "page", "place", "type", "content", "bbox.w", "bbox.y")
+    return blocks_json.pages_json(_pages_json(spark, sf_dir)).select("doc_id", "model", "page", "place", "type", "source_label", "content", "bbox.w", "bbox.y", "title_level")
 
 
 @query("SELECT r_name, n_name, CAST(sum(c_acctbal * 100)::BIGINT AS BIGINT) AS cents, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name UNION ALL SELECT r_name, NULL, CAST(sum(c_acctbal * 100)::BIGINT AS BIGINT), count(*) FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
@@ -361,14 +375,21 @@ def default_page_size(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")), first).alias("size"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE contains(lower(s), 'the') GROUP BY doc_id")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM ({BLOCKS_SQL}) WHERE type IN ('title', 'text') AND contains(lower(s), 'the') GROUP BY doc_id")
 def block_filter(spark, sf_dir):
     blocks = blocks_json.pages_json(_pages_json(spark, sf_dir))
     return blocks.where(F.col("type").isin("title", "text") & F.contains(F.lower("content"), F.lit("the"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(range(greatest(o_custkey % 9, 1), least(o_custkey % 9 + 3, 10) + 1), CASE WHEN o_orderkey % 15 BETWEEN 1 AND 10 THEN [o_orderkey % 15] ELSE [] END))), ',') AS pages FROM orders")
+RANGES_SQL = """WITH t AS (SELECT o_orderkey, o_custkey % 15 AS a, o_custkey % 15 + o_orderkey % 5 - 1 AS b, o_orderkey % 15 AS one FROM orders),
+p AS (SELECT o_orderkey, unnest(range(least(greatest(a, 1), 10), least(greatest(b, 1), 10) + 1)) AS p FROM t
+UNION ALL SELECT o_orderkey, one FROM t WHERE one BETWEEN 1 AND 10)
+SELECT o_orderkey, string_agg(p, ',' ORDER BY p) AS pages FROM (SELECT DISTINCT o_orderkey, p FROM p) RIGHT JOIN (SELECT o_orderkey FROM orders) USING (o_orderkey) GROUP BY o_orderkey"""
+
+
+@query(RANGES_SQL)
 def page_ranges(spark, sf_dir):
-    low = F.col("o_custkey") % 9
-    typed = F.concat(low.cast("string"), F.lit(" - "), (low + 3).cast("string"), F.lit(", x,"), (F.col("o_orderkey") % 15).cast("string"))
+    low = F.col("o_custkey") % 15
+    high = (low + F.col("o_orderkey") % 5 - 1).cast("string")
+    typed = F.concat(low.cast("string"), F.lit(" - "), high, F.lit(", x, 3-, -4, 1-2-3, "), (F.col("o_orderkey") % 15).cast("string"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.page_ranges(typed, F.lit(10)), ",").alias("pages"))

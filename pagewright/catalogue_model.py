@@ -85,9 +85,19 @@ def names_and_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", M.is_valid_path(url).alias("valid"), joined.alias("joined"), M.source_order(source).alias("ord"))
 
 
-@query("SELECT event_id, user_id, CASE WHEN n = 0 THEN name ELSE root || '.' || n || '.pdf' END AS unique FROM (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY event_id) - 1 AS n FROM (SELECT event_id, user_id, event_type || '.v1.pdf' AS name, event_type || '.v1' AS root FROM events))")
+NAMES_SQL = """WITH RECURSIVE f AS (SELECT event_id, user_id, event_type || '.v' AS base, CASE event_id % 4 WHEN 1 THEN '.1' WHEN 2 THEN '.2' ELSE '' END AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+w AS (SELECT user_id, base, 0::BIGINT AS i, []::VARCHAR[] AS have, NULL::BIGINT AS event_id FROM (SELECT DISTINCT user_id, base FROM f)
+UNION ALL SELECT user_id, base, i, list_append(have, new), event_id FROM (
+  SELECT w.user_id, w.base, f.i, w.have, f.event_id, CASE WHEN NOT list_contains(w.have, w.base || f.n || '.pdf') THEN w.base || f.n || '.pdf' ELSE w.base || f.n || '.' || list_filter(range(1, len(w.have) + 2), lambda k: NOT list_contains(w.have, w.base || f.n || '.' || k || '.pdf'))[1] || '.pdf' END AS new
+  FROM w JOIN f ON f.user_id = w.user_id AND f.base = w.base AND f.i = w.i + 1))
+SELECT event_id, user_id, have[-1] AS unique FROM w WHERE i > 0"""
+
+
+@query(NAMES_SQL)
 def unique_names(spark, sf_dir):
-    files = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat("event_type", F.lit(".v1.pdf")).alias("name"))
+    k = F.col("event_id")
+    number = F.when(k % 4 == 1, ".1").when(k % 4 == 2, ".2").otherwise("")
+    files = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat("event_type", F.lit(".v"), number, F.lit(".pdf")).alias("name"))
     return U.unique_names(files, ["user_id"], "name", ["event_id"]).drop("name")
 
 
@@ -199,14 +209,14 @@ def letter_hits(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.letter_over(x, ends).alias("over"), M.nearest_letter(x, ends).alias("nearest"), M.part_of_word(F.lit("abffijk"), starts, first, last).alias("part"))
 
 
-SELECTED_SQL = PAGES_SQL + """, e AS (SELECT doc_id, page_no, unnest(range(0, len(words))) AS word_idx, unnest(words) AS value FROM i WHERE page_no <= 2),
-s AS (SELECT doc_id, page_no, word_idx, word_idx // 10 AS line_idx, CASE WHEN word_idx % 10 = 9 AND word_idx % 4 <> 0 THEN value || '-' ELSE value END AS value FROM e WHERE word_idx < 60)
+SELECTED_SQL = PAGES_SQL + """, e AS (SELECT doc_id, page_no, unnest(range(0, len(words))) AS word_idx, unnest(words) AS value FROM i),
+s AS (SELECT doc_id, page_no, word_idx, word_idx // 10 AS line_idx, CASE WHEN word_idx % 10 = 9 AND word_idx % 4 <> 0 THEN value || '-' ELSE value END AS value FROM e)
 """
 
 
 def _selected(spark, sf_dir) -> DataFrame:
-    pages = layout.page_words(table(spark, sf_dir, "documents")).where("page_no <= 2")
-    words = pages.select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value")).where("word_idx < 60")
+    pages = layout.page_words(table(spark, sf_dir, "documents"))
+    words = pages.select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value"))
     value = F.when((F.col("word_idx") % 10 == 9) & (F.col("word_idx") % 4 != 0), F.concat("value", F.lit("-"))).otherwise(F.col("value"))
     return words.select("doc_id", "page_no", "word_idx", F.floor(F.col("word_idx") / 10).cast("int").alias("line_idx"), value.alias("value"))
 
@@ -218,7 +228,7 @@ def dehyphenate(spark, sf_dir):
     return U.selection_text(_selected(spark, sf_dir), ["doc_id"])
 
 
-@query(SELECTED_SQL + "SELECT doc_id, page_no, CAST(word_idx AS INTEGER) AS word_idx, substring(value, lo + 1, greatest(hi - lo + 1, 0)) AS part, lo > 0 OR hi < length(value) - 1 AS is_partial FROM (SELECT *, CASE WHEN page_no = 1 AND word_idx = 3 THEN 1 ELSE 0 END AS lo, CASE WHEN page_no = 2 AND word_idx = 8 THEN 1 ELSE length(value) - 1 END AS hi FROM s WHERE (page_no > 1 OR word_idx >= 3) AND (page_no < 2 OR word_idx <= 8))")
+@query(SELECTED_SQL + "SELECT doc_id, page_no, CAST(word_idx AS INTEGER) AS word_idx, substring(value, lo + 1, greatest(hi - lo + 1, 0)) AS part, lo > 0 OR hi < length(value) - 1 AS is_partial FROM (SELECT *, CASE WHEN page_no = 1 AND word_idx = 3 THEN 1 ELSE 0 END AS lo, CASE WHEN page_no = 2 AND word_idx = 8 THEN 1 ELSE length(value) - 1 END AS hi FROM s WHERE (page_no > 1 OR word_idx >= 3) AND (page_no < 2 OR page_no = 2 AND word_idx <= 8))")
 def selection_parts(spark, sf_dir):
     ends = {"start_page": 1, "start_word": 3, "start_letter": 1, "end_page": 2, "end_word": 8, "end_letter": 1}
     chosen = table(spark, sf_dir, "documents").select("doc_id", *[F.lit(v).alias(c) for c, v in ends.items()])
@@ -241,23 +251,58 @@ def bookmark_active(spark, sf_dir):
 
 def _source_json(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.when(i % 3 == 1, F.concat(F.lit("d:"), (i * 10).cast("string"))).when(i % 3 == 2, "d:x").alias("source_id"), F.lit("image_caption").alias("type"), s.alias("content"), F.array(F.lit(10.0), 20.0 * i, F.lit(2100.0), 20.0 * i + 15).alias("bbox")))
+    kind = lambda i: F.when(i == 0, "paragraph_title").when(i % 4 == 3, " Image_Caption ").when(i % 4 == 2, "weird")
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.when(i % 2 == 0, i + 5).alias("id"), F.when(i % 3 == 0, i).alias("page"), F.when(i % 3 == 1, F.concat(F.lit("d:"), (i * 10).cast("string"))).when(i % 3 == 2, "d:x").alias("source_id"), kind(i).alias("type"), F.lit("table").alias("category"), F.when(i % 5 != 4, s).alias("content"), F.concat(F.lit("t"), i.cast("string")).alias("text"), F.array(F.lit(10.0), 20.0 * i, F.lit(2100.0), 20.0 * i + 15).alias("bbox"), (i % 3).alias("level"), F.when(i % 2 == 1, i).alias("contd")))
     body = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.create_map(F.lit("1"), F.array(F.lit(1000.0), F.lit(500.0)), F.lit("x"), F.array(F.lit(1.0))).alias("page_size"), F.map_from_arrays(F.array(F.lit("1"), F.lit("2"), F.lit("y")), F.array(lines, lines, lines)).alias("pages"))
-    return docs.select(F.to_json(body).alias("json"))
+    return docs.select("doc_id", F.to_json(body).alias("json"), F.to_json(lines).alias("list"))
 
 
-SOURCE_SQL = "SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)"
+SOURCE_SQL = """SELECT doc_id, s[i + 1] AS s, i, CASE WHEN i = 0 THEN 'paragraph_title' WHEN i % 4 = 3 THEN ' Image_Caption ' WHEN i % 4 = 2 THEN 'weird' END AS raw, CASE WHEN i = 0 THEN 'title' WHEN i % 4 = 3 THEN 'caption' WHEN i % 4 = 2 THEN 'text' ELSE 'table' END AS type
+FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))"""
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(p AS INTEGER) AS page, CAST(i AS INTEGER) AS place, CAST(CASE WHEN i < 2 THEN i ELSE ((i - 2) // 3 * 3 + 1) * 10 + i - ((i - 2) // 3 * 3 + 1) END AS INTEGER) AS id, 'caption' AS type FROM ({SOURCE_SQL}), (SELECT unnest([1, 2]) AS p)")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(p AS INTEGER) AS page, CAST(i AS INTEGER) AS place, CAST(CASE WHEN i < 2 THEN i ELSE ((i - 2) // 3 * 3 + 1) * 10 + i - ((i - 2) // 3 * 3 + 1) END AS INTEGER) AS id, coalesce(raw, '') AS type FROM ({SOURCE_SQL}), (SELECT unnest([1, 2]) AS p)")
 def block_ids(spark, sf_dir):
-    return blocks_json.numbered_pages_json(_source_json(spark, sf_dir)).select("doc_id", "page", "place", "id", "type")
+    return blocks_json.pages_json(_source_json(spark, sf_dir)).select("doc_id", "page", "place", "id", "type")
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'mineru' AS model_name, CAST(p AS INTEGER) AS page, CAST(i AS INTEGER) AS id, round(CASE WHEN p = 1 THEN 10 / 1000.0 ELSE 10 END, 6)::DOUBLE AS x, round(CASE WHEN p = 1 THEN 20 * i / 500.0 ELSE 20 * i END, 6)::DOUBLE AS y, round(CASE WHEN p = 1 THEN 2.09 ELSE 2090 END, 6)::DOUBLE AS w, round(CASE WHEN p = 1 THEN 0.03 ELSE 15 END, 6)::DOUBLE AS h FROM ({SOURCE_SQL}), (SELECT unnest([1, 2]) AS p)")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'mineru' AS model_name, CAST(p AS INTEGER) AS page, CAST(i AS INTEGER) AS place, CAST(CASE WHEN i % 2 = 0 THEN i + 5 ELSE 0 END AS INTEGER) AS id, CAST(CASE WHEN i % 3 = 0 THEN i ELSE 0 END AS INTEGER) AS own_page, type, coalesce(raw, 'table') AS source_label, CASE WHEN i % 5 <> 4 THEN s ELSE '' END AS content, CASE WHEN i = 0 THEN 0 END AS title_level, CAST(i % 3 AS INTEGER) AS level, CAST(CASE WHEN i % 2 = 1 THEN i ELSE -1 END AS INTEGER) AS contd, -1 AS image, round(CASE WHEN p = 1 THEN 10 / 1000.0 ELSE 10 END, 6)::DOUBLE AS x, round(CASE WHEN p = 1 THEN 20 * i / 500.0 ELSE 20 * i END, 6)::DOUBLE AS y, round(CASE WHEN p = 1 THEN 2.09 ELSE 2090 END, 6)::DOUBLE AS w, round(CASE WHEN p = 1 THEN 0.03 ELSE 15 END, 6)::DOUBLE AS h FROM ({SOURCE_SQL}), (SELECT unnest([1, 2]) AS p)")
 def middle_json(spark, sf_dir):
     blocks = blocks_json.middle_json(_source_json(spark, sf_dir))
-    return blocks.select("doc_id", "model_name", "page", "id", *[F.round(f"bbox.{c}", 6).alias(c) for c in "xywh"])
+    return blocks.select("doc_id", "model_name", "page", "place", "id", "own_page", "type", "source_label", "content", "title_level", "level", "contd", "image", *[F.round(f"bbox.{c}", 6).alias(c) for c in "xywh"])
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS place, CAST(CASE WHEN i % 2 = 0 THEN i + 5 ELSE 0 END AS INTEGER) AS id, CAST(CASE WHEN i % 3 = 0 THEN i ELSE 0 END AS INTEGER) AS page, coalesce(raw, '') AS type, CASE WHEN i % 5 <> 4 THEN s ELSE '' END AS content, CAST(i % 3 AS INTEGER) AS level, CAST(CASE WHEN i % 2 = 1 THEN i ELSE -1 END AS INTEGER) AS contd, -1 AS table_merge, 2090.0::DOUBLE AS w FROM ({SOURCE_SQL})")
+def inference_json(spark, sf_dir):
+    return blocks_json.inference_json(_source_json(spark, sf_dir), "list").select("place", "id", "page", "type", "content", "level", "contd", "table_merge", "bbox.w")
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS id, CAST(CASE WHEN i % 3 = 0 THEN i ELSE 1 END AS INTEGER) AS page, type, coalesce(raw, 'table') AS source_label, 't' || i AS content, 20.0::DOUBLE * i AS y FROM ({SOURCE_SQL})")
+def content_list_json(spark, sf_dir):
+    return blocks_json.content_list_json(_source_json(spark, sf_dir), "list").select("id", "page", "type", "source_label", "content", "bbox.y")
+
+
+def _trees_json(spark, sf_dir) -> DataFrame:
+    """A tree for each conversation: every turn lies under the one before it, beside a note."""
+    t = table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    node = F.to_json(F.struct(F.col("role").alias("type"), F.left("text", F.lit(20)).alias("title"), F.col("text").alias("content"), turn.alias("level"), F.array(turn * 2, turn * 2 + 1).alias("block_ids"), F.array(F.struct((turn % 3 + 1).alias("page"), F.array(10 * turn, F.lit(20), F.length("text"), 500 + turn).alias("bbox"))).alias("location")))
+    listed = t.withColumn("node", node).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "node"))).alias("nodes"))
+    opened = F.array_join(F.transform("nodes", lambda x: F.concat(F.substring(x["node"], F.lit(1), F.length(x["node"]) - 1), F.lit(',"children":[{"title":"note"}'))), ",")
+    tree = F.concat(F.lit('{"page_size":{"1":[1000,500],"2":[2000,1000]},"tree":{"type":"root","title":"'), F.col("conv_id").cast("string"), F.lit('","children":['), opened, F.repeat(F.lit("]}"), F.size("nodes")), F.lit("]}}"))
+    return listed.select("conv_id", tree.alias("json"))
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+b AS (SELECT *, 10 * turn AS x1, 20 AS y1, length(text) AS x2, 500 + turn AS y2, CASE turn % 3 WHEN 0 THEN 1000.0 WHEN 1 THEN 2000.0 END AS pw, CASE turn % 3 WHEN 0 THEN 500.0 WHEN 1 THEN 1000.0 END AS ph FROM t),
+s AS (SELECT *, CASE WHEN pw IS NOT NULL AND (x2 > 1000 OR y2 > 1000) THEN pw ELSE 1 END AS dx, CASE WHEN pw IS NOT NULL AND (x2 > 1000 OR y2 > 1000) THEN ph ELSE 1 END AS dy FROM b)
+SELECT conv_id, '0,0' || repeat(',1', k) AS path, role AS type, left(text, 20) AS title, text AS content, turn::INTEGER AS level, (turn * 2) || ',' || (turn * 2 + 1) AS block_ids, (CASE WHEN k = n - 1 THEN 1 ELSE 2 END)::INTEGER AS n_children, (turn % 3 + 1)::INTEGER AS page, round(x1 / dx, 6)::DOUBLE AS x, round(y1 / dy, 6)::DOUBLE AS y, round(greatest(0, x2 / dx - x1 / dx), 6)::DOUBLE AS w, round(greatest(0, y2 / dy - y1 / dy), 6)::DOUBLE AS h FROM s
+UNION ALL SELECT conv_id, '0,0' || repeat(',1', k) || ',0', '', 'note', '', 0, '', 0, NULL, NULL, NULL, NULL, NULL FROM t
+UNION ALL SELECT DISTINCT conv_id, '0', 'root', CAST(conv_id AS VARCHAR), '', 0, '', 1, NULL, NULL, NULL, NULL, NULL FROM t""")
+def tree_nodes(spark, sf_dir):
+    nodes = blocks_json.tree_nodes(_trees_json(spark, sf_dir), ["conv_id"], under="$.tree", normalised=True)
+    at = F.get("locations", F.lit(0))
+    return nodes.select("conv_id", F.array_join("path", ",").alias("path"), "type", "title", "content", "level", F.array_join("block_ids", ",").alias("block_ids"), "n_children", at["page"].alias("page"), *[F.round(at[c], 6).alias(c) for c in "xywh"])
 
 
 @query("SELECT event_id, x, y, x + w AS x1, y + h AS y1, array_to_string([x, y, x + w, y + h], ',') IS NOT NULL AS listed FROM (SELECT event_id, (event_id % 10)::DOUBLE AS x, (event_id % 7)::DOUBLE AS y, 5.0::DOUBLE AS w, 2.0::DOUBLE AS h FROM events)")
@@ -306,9 +351,18 @@ def properties(spark, sf_dir):
     return each.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
 
 
-@query("SELECT event_id FROM (SELECT *, lag(event_type) OVER w AS pt, lag(ts) OVER w AS pts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE NOT coalesce(pt = event_type AND epoch(date_trunc('second', ts)) - epoch(date_trunc('second', pts)) <= 3600, false)")
+NOTICES_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, left(event_type, 1) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_id % 11 <> 0),
+w AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS t, NULL::VARCHAR AS m, NULL::BIGINT AS shown FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, i, CASE WHEN again THEN pt ELSE nt END, CASE WHEN again THEN pm ELSE nm END, CASE WHEN again THEN NULL ELSE event_id END FROM (
+  SELECT e.*, w.t AS pt, w.m AS pm, e.t AS nt, e.m AS nm, coalesce(w.m = e.m AND e.t - w.t <= 86400000000::BIGINT * 2, false) AS again FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))
+SELECT shown AS event_id FROM w WHERE shown IS NOT NULL"""
+
+
+# Every eleventh notice has no message and is never shown.
+@query(NOTICES_SQL)
 def notices_not_repeated(spark, sf_dir):
-    return U.changed(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_type", 3600).select("event_id")
+    events = table(spark, sf_dir, "events").withColumn("message", F.when(F.col("event_id") % 11 != 0, F.left("event_type", F.lit(1))))
+    return U.changed(events, ["user_id"], "ts", "message", 2 * 86400, ["event_id"]).select("event_id")
 
 
 @query("SELECT h.event_id, coalesce(p.p_size, 0) AS y FROM events h LEFT JOIN part p ON p.p_partkey = h.event_id")

@@ -16,6 +16,7 @@ LABELS = {
     "table": ["table", "tabular"],
     "caption": ["figure_footnote", "table_footnote", "caption", "image_caption", "table_caption"],
 }
+#: Schemes that may be opened, units of sizes.
 SCHEMES = ["ftp", "http", "https", "mailto", "tel", "imap", "file"]
 SIZES = ["bytes", "KB", "MB", "GB", "TB", "PB", "EB"]
 
@@ -72,9 +73,16 @@ def block_type(label: Column) -> Column:
 
 
 def allowed_uri(uri: Column) -> Column:
-    """The URI with http:// before it if it has no scheme; null if the scheme isn't allowed."""
-    scheme = F.lower(F.substring_index(uri, ":", 1))
-    return F.when(~uri.contains(":"), F.concat(F.lit("http://"), uri)).when(scheme.isin(SCHEMES), uri)
+    """The URI that may be opened; null if none.
+
+    Without a colon it gets http:// before it, unless it begins with http. Else what stands before the
+    first colon must be one of ``SCHEMES``, letter by letter; a file needs a path.
+    """
+    scheme = F.substring_index(uri, ":", 1)
+    path = F.regexp_replace(F.substring(uri, 6, 1 << 30), "^/{0,2}", "")
+    known = scheme.isin([x for x in SCHEMES if x != "file"]) | ((scheme == "file") & (F.trim(path) != ""))
+    bare = F.when(~uri.startswith("http") & (uri != ""), F.concat(F.lit("http://"), uri))
+    return F.when(~uri.contains(":"), bare).when(known, uri)
 
 
 def normalised_distance(a: Column, b: Column) -> Column:
@@ -127,15 +135,21 @@ def pdf_date(raw: Column) -> Column:
 
 
 def page_ranges(expression: Column, total: Column) -> Column:
-    """Sorted distinct pages of "1-3, 5"; ranges are clamped, bad parts ignored; null if none is left."""
+    """Sorted distinct pages of "1-3, 5"; null if none is left.
+
+    Both ends of a range are clamped to the pages there are, single pages beyond them are ignored, and so
+    is what is no number or range. A dash at the start belongs to the number.
+    """
     parts = F.transform(F.split(expression, ","), lambda p: F.trim(p))
 
     def pages(p: Column) -> Column:
-        ends = F.split(p, "-")
-        a, b = F.trim(F.get(ends, F.lit(0))).try_cast("int"), F.trim(F.get(ends, F.lit(1))).try_cast("int")
-        low, high = F.greatest(a, F.lit(1)), F.least(b, total)
-        single = F.when((F.size(ends) == 1) & a.between(1, total), F.array(a))
-        span = F.when((F.size(ends) == 2) & (low <= high), F.sequence(low, F.greatest(low, high)))
+        dash = F.instr(p, "-")
+        number = lambda x: F.when(F.trim(x).rlike(r"^[+-]?\d+$"), F.trim(x).try_cast("int"))
+        clamped = lambda x: F.least(F.greatest(x, F.lit(1)), total)
+        a, b = number(F.substring(p, F.lit(1), dash - 1)), number(F.substring(p, dash + 1, F.length(p)))
+        single = F.when((dash <= 1) & number(p).between(1, total), F.array(number(p)))
+        low, high = F.when(b.isNotNull(), clamped(a)), F.when(a.isNotNull(), clamped(b))
+        span = F.when((dash > 1) & (low <= high), F.sequence(low, F.greatest(low, high)))
         return F.coalesce(single, span, F.array().cast("array<int>"))
 
     out = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, pages))))

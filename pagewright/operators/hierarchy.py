@@ -2,50 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Deepest tree that is flattened; deeper ones raise an error of the recursion limit.
-MAX_DEPTH = 100
+#: Deepest tree that is flattened; deeper ones, as those with a cycle, raise an error of the recursion limit.
+MAX_DEPTH = 100_000
+
+
+def lift_limits(spark: SparkSession) -> None:
+    """Let recursive queries of the session give any number of rows (a million by default); their depth stays bounded."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
 
 
 def paths(nodes: DataFrame, key: str = "string") -> DataFrame:
     """(node_id, path, depth) of nodes (node_id, parent_id, place); path: places from the root, which sorts in pre-order.
 
-    Roots have a null parent; nodes that no root reaches are left out.
+    Roots have a null parent; nodes that no root reaches are left out. Any number of rows: see ``lift_limits``.
     """
+    lift_limits(nodes.sparkSession)
     plain = nodes.select(F.col("node_id").cast(key), F.col("parent_id").cast(key), F.col("place").cast("int"))
-    sql = """WITH RECURSIVE walk(node_id, path, depth) AS (
-      SELECT node_id, array(place), 0 FROM {n} WHERE parent_id IS NULL
-      UNION ALL SELECT n.node_id, array_append(w.path, n.place), w.depth + 1 FROM walk w JOIN {n} n ON n.parent_id = w.node_id)
+    sql = f"""WITH RECURSIVE walk(node_id, path, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS (
+      SELECT node_id, array(place), 0 FROM {{n}} WHERE parent_id IS NULL
+      UNION ALL SELECT n.node_id, array_append(w.path, n.place), w.depth + 1 FROM walk w JOIN {{n}} n ON n.parent_id = w.node_id)
     SELECT node_id, path, depth FROM walk"""
     return nodes.sparkSession.sql(sql, n=plain)
 
 
-def tree_rows(tree: Column, depth: int, children: str = "children", root: Column | None = None) -> Column:
-    """Nodes of a parsed tree of at most ``depth`` levels, in pre-order: array of (path, node's title, number of blocks, below).
-
-    ``tree`` is a struct with title, block_ids and children, nested ``depth`` levels deep; below: the JSON of a
-    deepest node's children. ``root``: the path of the top node.
-    """
-
-    def walk(node: Column, path: Column, left: int) -> Column:
-        below = node[children] if left <= 1 else F.lit(None).cast("string")
-        own = F.array(F.struct(path.alias("path"), node["title"].alias("title"), F.coalesce(F.size(node["block_ids"]), F.lit(0)).alias("n_blocks"), below.alias("below")))
-        if left <= 1:
-            return own
-        under = F.flatten(F.transform(F.coalesce(node[children], F.array()), lambda c, i: walk(c, F.concat(path, F.array(i)), left - 1)))
-        return F.concat(own, under)
-
-    return walk(tree, F.array(F.lit(0)) if root is None else root, depth)
-
-
-def tree_schema(depth: int) -> str:
-    """DDL of a tree of ``depth`` levels; the children of the deepest are read as text."""
-    own = "title:string,type:string,content:string,level:int,block_ids:array<int>"
-    return f"struct<{own},children:string>" if depth <= 1 else f"struct<{own},children:array<{tree_schema(depth - 1)}>>"
-
-
 def block_lookup(nodes: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
     """(by, node_id, place, block columns): blocks that nodes name by block_ids; the first block of an id, missing ids dropped.
 

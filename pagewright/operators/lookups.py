@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,17 +130,79 @@ def annotations(raw: DataFrame, page_height: Column) -> DataFrame:
     return raw.where(box & told).withColumns({**sides, "is_interactive": F.col("is_link") & F.col("has_action"), "colour_space": space})
 
 
+def _folded(rows: DataFrame, by: list[Column], order: list[str], ddl: str, step: Callable[[], Callable[[dict], object]], read: list[str], out: str) -> DataFrame:
+    """``rows`` plus ``out``: what a fold over each group, in order, says of each row.
+
+    ``step`` makes a group's function from row to value; it keeps what it must remember. Groups are sorted and streamed, so that
+    a task holds one batch and one group's memory, however many rows the group has.
+    """
+    keyed = rows.select(F.struct(*by).alias("_by"), F.struct(*[F.col(c) for c in read]).alias("_read"), F.struct(*rows.columns).alias("_row"))
+    kind = keyed.schema["_row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, of = None, None
+        for batch in batches:
+            said = []
+            for by_, row in zip(batch.column("_by").to_pylist(), batch.column("_read").to_pylist(), strict=True):
+                if of is None or by_ != group:
+                    group, of = by_, step()
+                said.append(of(row))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(said, pa.bool_() if ddl == "boolean" else pa.string())], names=["_row", "_said"])
+
+    placed = keyed.repartition("_by").sortWithinPartitions("_by", *[F.asc_nulls_first(f"_row.{c}") for c in order])
+    found = placed.mapInArrow(run, f"_row {kind}, _said {ddl}")
+    return found.select("_row.*", F.col("_said").alias(out))
+
+
 def unique_names(files: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
-    """``files`` plus unique: the name, with .1, .2, ... before its extension where earlier files have it."""
-    n = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order)) - 1
-    dot = F.length(name) - F.length(F.substring_index(name, ".", -1))
-    root = F.when(F.col(name).contains("."), F.substring(F.col(name), F.lit(1), dot - 1)).otherwise(F.col(name))
-    extension = F.when(F.col(name).contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
-    return files.withColumn("unique", F.when(n == 0, F.col(name)).otherwise(F.concat(root, F.lit("."), n.cast("string"), extension)))
-
-
-def changed(rows: DataFrame, by: list[str], at: str, key: str, seconds: int) -> DataFrame:
-    """Rows that don't repeat the key of the row before within ``seconds``."""
-    order = Window.partitionBy(*by).orderBy(at, "event_id")
-    again = (F.lag(key).over(order) == F.col(key)) & (F.col(at).cast("timestamp").cast("long") - F.lag(at).over(order).cast("timestamp").cast("long") <= seconds)
-    return rows.withColumn("_again", F.coalesce(again, F.lit(False))).where("NOT _again").drop("_again")
+    """``files`` plus unique: the name, with the first of .1, .2, ... before its extension that no earlier file has, where one has it.
+
+    Given names count as well as made ones: after a.pdf and a.1.pdf, a second a.pdf is a.2.pdf. Only names that
+    differ by such numbers can meet, so a folder is dealt out by what is left without them. A final dot goes.
+    """
+    full = F.coalesce(F.col(name), F.lit(""))
+    extension = F.regexp_extract(full, r"\.[^.]*$", 0)
+    root = F.substring(full, F.lit(1), F.length(full) - F.length(extension))
+    extension = F.when(extension == ".", "").otherwise(extension)
+    named = files.withColumns({"_root": root, "_extension": extension})
+
+    def taken() -> Callable[[dict], str]:
+        have: set[str] = set()
+        upto: dict[tuple[str, str], int] = {}
+
+        def of(row: dict) -> str:
+            root, extension = row["_root"], row["_extension"]
+            new, i = root + extension, upto.get((root, extension), 0)
+            while new in have:
+                i += 1
+                new = f"{root}.{i}{extension}"
+            upto[root, extension] = i
+            have.add(new)
+            return new
+
+        return of
+
+    family = [*[F.col(c) for c in by], F.regexp_replace("_root", r"(\.\d+)+$", "").alias("_family"), F.col("_extension").alias("_kind")]
+    return _folded(named, family, order, "string", taken, ["_root", "_extension"], "unique").drop("_root", "_extension")
+
+
+def changed(rows: DataFrame, by: list[str], at: str, key: str, seconds: float, order: list[str]) -> DataFrame:
+    """Rows that are shown: not those without a key, nor those that repeat the key shown last at most ``seconds`` after it was shown.
+
+    ``order`` settles ties of ``at``. What was suppressed isn't remembered.
+    """
+    times = rows.withColumns({"_at": F.unix_micros(F.col(at).cast("timestamp")), "_key": F.col(key).cast("string")})
+
+    def notices() -> Callable[[dict], bool]:
+        last: list = [None, None]
+
+        def of(row: dict) -> bool:
+            at, key = row["_at"], row["_key"]
+            if not key or (key == last[1] and at is not None and last[0] is not None and at - last[0] <= seconds * 1_000_000):
+                return False
+            last[:] = [at, key]
+            return True
+
+        return of
+
+    return _folded(times, [F.col(c) for c in by], [at, *order], "boolean", notices, ["_at", "_key"], "_shown").where("_shown").drop("_shown", "_at", "_key")

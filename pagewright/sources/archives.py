@@ -6,13 +6,12 @@ import fnmatch
 import io
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import hierarchy
+from pagewright.sources import blocks_json
 
 # Members that are looked for in an archive, the first kind found counts.
 MEMBERS = ("*_middle.json", "middle.json", "*_content_list.json", "*.json")
@@ -51,23 +50,8 @@ def archived_json(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_opened, "path string, member string, json string")
 
 
-def tree_json(raw: DataFrame, column: str = "json", depth: int = 8) -> DataFrame:
-    """``raw`` with a row for each node of the tree in ``column``: path (sorts in pre-order), title, n_blocks.
-
-    ``depth`` levels are parsed at a time; what is below stays text and is parsed in further rounds, until no
-    tree goes deeper. Text that is no tree gives no row.
-    """
+def tree_json(raw: DataFrame, column: str = "json") -> DataFrame:
+    """``raw`` with a row for each node of the tree in ``column``: path (sorts in pre-order), title, n_blocks. Text that is no tree gives no row."""
     rest = [c for c in raw.columns if c != column]
-    first = F.from_json(column, hierarchy.tree_schema(depth))
-    held = raw.select(*rest, F.lit(None).cast("array<int>").alias("_path"), first.alias("_tree")).where("_tree IS NOT NULL AND (_tree.title IS NOT NULL OR _tree.children IS NOT NULL)")
-    rounds = []
-    while True:
-        root = F.coalesce("_path", F.array(F.lit(0)))
-        rows = held.select(*rest, F.inline(hierarchy.tree_rows(F.col("_tree"), depth, root=root)))
-        rounds.append(rows.select(*rest, "path", "title", "n_blocks"))
-        deeper = rows.where(F.col("below").isNotNull() & (F.trim("below") != "[]"))
-        if not deeper.limit(1).count():
-            break
-        listed = deeper.select(*rest, "path", F.posexplode(F.from_json("below", f"array<{hierarchy.tree_schema(depth)}>")).alias("_i", "_tree"))
-        held = listed.select(*rest, F.array_append("path", F.col("_i")).alias("_path"), "_tree").where("_tree IS NOT NULL")
-    return reduce(DataFrame.unionByName, rounds)
+    nodes = blocks_json.tree_nodes(raw, rest, column)
+    return nodes.select(*rest, "path", "title", F.size("block_ids").alias("n_blocks"))

@@ -57,11 +57,15 @@ def test_print_cells_and_places(spark):
 def test_text_functions(spark):
     assert one(spark, T.page_ranges(F.lit("1-3, 5, x, 9"), F.lit(6)))[0] == [1, 2, 3, 5]
     assert one(spark, T.page_ranges(F.lit("x"), F.lit(6)))[0] is None
+    for typed, pages in {"20-30": [10], "0-0": [1], "9-20": [9, 10], "5-3": None, "-5": None, "3-": None, "1-2-3": None, "2--3": None, "12": None, "+2": [2], "": None}.items():
+        assert one(spark, T.page_ranges(F.lit(typed), F.lit(10)))[0] == pages, typed
     assert one(spark, T.readable_size(F.lit(16_567_501)))[0] == "15.8 MB"
     assert one(spark, T.pdf_date(F.lit("D:20240102030405+01'00'")))[0] == "2024-01-02 03:04:05 +01:00"
     assert one(spark, T.pdf_date(F.lit("soon")))[0] == "soon"
     assert one(spark, T.block_type(F.lit(" Picture ")), T.block_type(F.lit("odd")))[:] == ("image", "text")
     assert one(spark, T.allowed_uri(F.lit("example.org")), T.allowed_uri(F.lit("javascript:x")))[:] == ("http://example.org", None)
+    for uri, opened in {"HTTP://x": None, "httpx": None, "http://x": "http://x", "file://": None, "file:///a": "file:///a", "": None, "mailto:a": "mailto:a"}.items():
+        assert one(spark, T.allowed_uri(F.lit(uri)))[0] == opened, uri
     b = F.array(*[F.lit(v) for v in (2000.0, 0.0, 1000.0, 500.0)])
     assert tuple(one(spark, G.bbox_normalised(b, F.lit(2000.0), F.lit(1000.0)))[0]) == (2000.0, 0.0, 0.0, 500.0)
 

@@ -111,7 +111,7 @@ def test_active_bookmark(spark):
 def test_ids_follow_the_orders_that_sources_name(spark):
     blocks = [{}, {"source_id": "d:7"}, {}, {"source_id": "d:x"}, {"source_id": "d:2"}, {}]
     raw = spark.createDataFrame([(json.dumps({"doc_id": "d", "pages": {"1": blocks, "x": blocks}}),)], "json string")
-    got = [r.id for r in blocks_json.numbered_pages_json(raw).orderBy("place").collect()]
+    got = [r.id for r in blocks_json.pages_json(raw).orderBy("place").collect()]
     order, want = 0, []
     for b in blocks:
         want.append(order)
@@ -125,5 +125,39 @@ def test_names_paths_and_pieces(spark):
     assert tuple(r) == (True, False, False, "a bc", "soft")
     files = spark.createDataFrame([(1, "a.b.pdf"), (2, "a.b.pdf"), (3, "a"), (4, "a")], "n int, name string").withColumn("d", F.lit(1))
     assert [r.unique for r in U.unique_names(files, ["d"], "name", ["n"]).orderBy("n").collect()] == ["a.b.pdf", "a.b.1.pdf", "a", "a.1"]
+    files = spark.createDataFrame(list(enumerate(["a.pdf", "a.pdf", "a.1.pdf", "a.pdf", "a.1.pdf", "b.", ".x", ".x", "", None])), "n int, name string").withColumns({"d": F.lit(1), "_row": F.lit("clash")})
+    got = [r.unique for r in U.unique_names(files, ["d"], "name", ["n"]).orderBy("n").collect()]
+    assert got == ["a.pdf", "a.1.pdf", "a.1.1.pdf", "a.2.pdf", "a.1.2.pdf", "b", ".x", ".1.x", "", ".1"]
     with pytest.raises(Exception, match="no page 9"):
         U.page_of(spark.range(3).withColumnRenamed("id", "page_no"), F.lit(9), F.lit(3)).collect()
+
+
+def test_notices_are_compared_with_the_last_one_shown(spark):
+    events = [(0, 0.0, "a"), (1, 2.0, "a"), (2, 4.0, "a"), (3, 5.0, "b"), (4, 5.5, "a"), (5, 8.5, "a"), (6, 8.6, None), (7, 8.6, ""), (8, 8.7, "a"), (9, 11.6, "a")]
+    rows_ = spark.createDataFrame([(u, *e) for u in (1, 2) for e in events], "u int, n int, t double, m string").withColumn("ts", F.col("t").cast("timestamp"))
+    got = U.changed(rows_, ["u"], "ts", "m", 3, ["n"])
+    assert got.columns == rows_.columns and sorted((r.u, r.n) for r in got.collect()) == [(u, n) for u in (1, 2) for n in (0, 2, 3, 4, 8)]
+
+
+def test_readers_tell_kinds_ids_and_levels_apart(spark):
+    """Each case is one that the three kinds of file treat differently."""
+    block = {"id": 7, "type": "footer", "source_label": "Paragraph_Title", "content": "c", "text": "t", "level": 3, "page": 4, "bbox": [1, 2, 0, 5]}
+    whole = spark.createDataFrame([(json.dumps({"pages": {" 2 ": [block, {}]}}), json.dumps([block, {}]))], "json string, list string")
+    page = [(r.page, r.id, r.type, r.source_label, r.content, r.bbox.w, r.title_level) for r in blocks_json.pages_json(whole).orderBy("place").collect()]
+    assert page == [(2, 0, "footer", "Paragraph_Title", "c", -1.0, None), (2, 1, "", "", "", 0.0, None)]
+    middle = [(r.page, r.own_page, r.id, r.type, r.content, r.bbox.w, r.level, r.title_level, r.contd) for r in blocks_json.middle_json(whole).orderBy("place").collect()]
+    assert middle == [(2, 4, 7, "title", "c", 0.0, 3, 3, -1), (2, 0, 0, "text", "", 0.0, -1, None, -1)]
+    flat = [(r.id, r.page, r.type, r.content, r.bbox.w, r.level) for r in blocks_json.inference_json(whole, "list").orderBy("place").collect()]
+    assert flat == [(7, 4, "footer", "c", -1.0, 3), (0, 0, "", "", 0.0, -1)]
+    listed = [(r.id, r.page, r.type, r.source_label, r.content, r.bbox.w) for r in blocks_json.content_list_json(whole, "list").orderBy("id").collect()]
+    assert listed == [(0, 4, "text", "footer", "t", 0.0), (1, 1, "text", "", "", 0.0)]
+
+
+def test_ids_of_a_long_page_in_one_pass(spark):
+    blocks = [{"source_id": f"d:{i * 3}"} if i % 1000 == 999 else {} for i in range(20_000)]
+    raw = spark.createDataFrame([(json.dumps({"pages": {"1": blocks}}),)], "json string")
+    order, want = 0, []
+    for i, b in enumerate(blocks):
+        want.append(order)
+        order = (i * 3 if b else order) + 1
+    assert [r.id for r in blocks_json.pages_json(raw).orderBy("place").collect()] == want

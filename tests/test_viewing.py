@@ -87,7 +87,7 @@ def test_block_lookup_takes_the_first_block_and_drops_missing_ones(spark):
 def test_tree_json_to_rows_and_markdown(spark):
     tree = {"title": "T", "block_ids": [1, 2], "children": [{"title": "A", "children": [{"title": "B", "block_ids": [3]}]}, {"title": "C"}]}
     raw = spark.createDataFrame([(1, json.dumps(tree)), (2, "nonsense"), (3, None)], "d int, json string")
-    nodes = archives.tree_json(raw, depth=4)
+    nodes = archives.tree_json(raw)
     assert rows(nodes.select("d", "path", "title", "n_blocks")) == [(1, [0], "T", 2), (1, [0, 0], "A", 0), (1, [0, 0, 0], "B", 1), (1, [0, 1], "C", 0)]
     text = markdown.documents(nodes.select("d", "path", F.lit("title").alias("kind"), (F.size("path") - 1).alias("level"), "title", F.lit("").alias("content")), ["d"])
     assert text.first().markdown == "# T\n\n## A\n\n### B\n\n## C\n\n"
@@ -113,10 +113,19 @@ def test_inference_stands_in_for_missing_pages(spark):
     assert [tuple(r) for r in got] == [(1, [1], [2], None, True, True, False), (2, [3], [3], "t", False, True, True), (3, None, None, "u", False, False, True)]
 
 
-def test_flat_json_is_an_array_or_nothing(spark):
+def test_flat_files_are_an_array_or_nothing(spark):
     raw = spark.createDataFrame([('[{"text": "a", "category": "title", "box": [1, 2, 3, 5]}, {"content": "b", "text": "c", "page": 4}]',), ('{"a": 1}',), (None,)], "json string")
-    got = blocks_json.flat_json(raw).orderBy("id").select("id", "page", "content").collect()
-    assert [tuple(r) for r in got] == [(0, 1, "a"), (1, 4, "b")]
+    got = blocks_json.content_list_json(raw).orderBy("id").select("id", "page", "type", "content").collect()
+    assert [tuple(r) for r in got] == [(0, 1, "title", "a"), (1, 4, "text", "c")]
+    assert blocks_json.inference_json(raw).where("place = 1").first().content == "b"
+
+
+def test_tree_nodes_have_boxes_of_their_pages(spark):
+    tree = {"title": "T", "location": [{"page": 1, "bbox": [0, 0, 2000, 10]}, {"page": 3, "bbox": [0, 0, 2000, 10]}, {"bbox": [1]}], "children": [{"level": 2, "block_ids": [1, 2], "title": "a"}]}
+    raw = spark.createDataFrame([(1, json.dumps({"page_size": {"1": [1000, 500], "x": [1, 1], "3": [5]}, "tree": tree})), (2, "[1]"), (3, "no"), (4, '{"tree": null}'), (5, '{"tree": "text"}')], "d int, json string")
+    got = blocks_json.tree_nodes(raw, ["d"], under="$.tree", normalised=True).orderBy("path").collect()
+    assert [(r.d, r.path, r.title, r.level, r.block_ids, r.n_children) for r in got] == [(1, [0], "T", 0, [], 1), (1, [0, 0], "a", 2, [1, 2], 0)]
+    assert [tuple(x) for x in got[0].locations] == [(1, 0.0, 0.0, 2.0, 0.02), (3, 0.0, 0.0, 2000.0, 10.0), (0, 0.0, 0.0, 0.0, 0.0)]
 
 
 def test_markdown_goes_to_a_folder_for_each_document(spark, tmp_path):
@@ -132,5 +141,5 @@ def test_trees_of_any_depth_are_read_whole(spark):
     for level in range(30, 0, -1):
         tree = {"title": f"n{level}", "block_ids": [], "children": [{"title": "side"}, tree]}
     raw = spark.createDataFrame([(7, json.dumps(tree)), (8, "no tree")], "id int, json string")
-    got = {tuple(r.path): (r.id, r.title, r.n_blocks) for r in archives.tree_json(raw, depth=4).collect()}
+    got = {tuple(r.path): (r.id, r.title, r.n_blocks) for r in archives.tree_json(raw).collect()}
     assert len(got) == 61 and got[(0, *[1] * 30)] == (7, "leaf", 2) and got[(0, *[1] * 29, 0)] == (7, "side", 0) and got[(0,)] == (7, "n1", 0)

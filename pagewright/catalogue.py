@@ -24,6 +24,8 @@ ORACLES: dict = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -43,3 +43,28 @@ def blocks_by_first_id(nodes: DataFrame, by: list[str]) -> DataFrame:
     """(by, first_id, block_ids) keyed by each node's first block; of nodes that share it the last in pre-order counts."""
     keyed = nodes.where(F.size("block_ids") > 0).withColumn("first_id", F.col("block_ids")[0])
     return keyed.groupBy(*by, "first_id").agg(F.max_by("block_ids", "preorder").alias("block_ids"))
+
+
+def nested_sets(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """``nodes`` (by, path, block_ids) numbered in pre-order: enter, leave (the last node of its subtree), and first, past: where the blocks of its subtree stand among the tree's.
+
+    A node's descendants follow it in pre-order and go before it in post-order, so the two ranks and its depth tell how
+    many they are: no row is made for an ancestor. The blocks of a subtree are one run of the tree's blocks in pre-order.
+    """
+    pre = Window.partitionBy(*by).orderBy("path")
+    post = Window.partitionBy(*by).orderBy(F.concat("path", F.array(F.lit(2147483647))))
+    own = F.coalesce(F.size("block_ids"), F.lit(0)).cast("long")
+    ranked = nodes.withColumns({"enter": (F.row_number().over(pre) - 1).cast("long"), "_post": (F.row_number().over(post) - 1).cast("long"), "past": F.sum(own).over(pre.rowsBetween(Window.unboundedPreceding, 0))})
+    placed = ranked.withColumns({"leave": F.col("_post") + F.size("path") - 1, "first": F.col("past") - own})
+    last = placed.select(*by, F.col("enter").alias("leave"), F.col("past").alias("_last"))
+    return placed.drop("_post", "past").join(last, [*by, "leave"]).withColumnRenamed("_last", "past")
+
+
+def subtree_blocks(numbered: DataFrame, by: list[str], node: str) -> DataFrame:
+    """(by, node, place, id): the blocks of each node of ``nested_sets`` and of all under it, in pre-order, repeated ones as often as they are named.
+
+    An interval join as an equi-join on the places of each run: as many rows go through it as come out.
+    """
+    flat = numbered.select(*by, "first", F.posexplode("block_ids").alias("_i", "id")).select(*by, (F.col("first") + F.col("_i")).alias("_at"), "id")
+    runs = numbered.where("past > first").select(*by, node, "first", F.explode(F.sequence("first", F.col("past") - 1)).alias("_at"))
+    return runs.join(flat, [*by, "_at"]).select(*by, node, (F.col("_at") - F.col("first")).alias("place"), "id")

@@ -23,16 +23,43 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Characters of a snippet before the hit, and in all.
+BEFORE, SHOWN = 10, 40
+
+
+def within_word(query: str) -> str | None:
+    """The pattern of a query that can only lie inside one word, which is searched word by word; else null."""
+    cleaned, _ = T.clean_query(query)
+    return None if not cleaned or T.SEPARATOR in cleaned or T.BLANK in cleaned else "(?i)" + re.sub(r"([^\w\s])", r"\\\1", cleaned)
+
+
+def word_hits(words: Column, pattern: str) -> Column:
+    """Hits in the words of an index text. Each word is tested once; a snippet is put together from the words about it."""
+
+    def around(i: Column, w: Column) -> Column:
+        first = F.greatest(i - BEFORE, F.lit(0))
+        lead = F.length(F.array_join(F.slice(words, first + 1, i - first), T.SEPARATOR)) + F.when(i > first, 1).otherwise(0)
+        near = F.array_join(F.slice(words, first + 1, i - first + SHOWN + 1), T.SEPARATOR)
+        return T.shown(T.snippet(near, lead + F.regexp_instr(w, F.lit(pattern)) - 1))
+
+    def hit(w: Column, i: Column) -> Column:
+        return F.when(w.rlike(pattern), F.struct(i.cast("int").alias("word_idx"), F.lit(1).alias("word_count"), F.lit(1).alias("span_word_count"), around(i, w).alias("snippet")))
+
+    return F.array_compact(F.transform(words, hit))
+
+
 def page_hits(text: Column, query: str) -> Column:
     """Hits in one page's index text (word_idx, word_count, span_word_count, snippet), ignoring case, one a word.
 
     A blank in the query matches a blank inside a word or the border of two words.
-    word_count takes such a query as one word; span_word_count counts what it spans. A page is
-    read once: places and word numbers run along with its hits.
+    word_count takes such a query as one word; span_word_count counts what it spans. A query that lies inside a word goes
+    through ``word_hits``; for others places and word numbers run along with the page's hits.
     """
     cleaned, count = T.clean_query(query)
     if not cleaned:
         return F.array().cast(HIT)
+    if (inside := within_word(query)) is not None:
+        return let(F.split(text, T.SEPARATOR), lambda words: word_hits(words, inside))
     literal = re.sub(r"([^\w\s⁠ ])", r"\\\1", cleaned)
     either = [literal] + ([literal.replace(T.BLANK, T.SEPARATOR)] if T.BLANK in cleaned else [])
     pattern = "(?i)(?:" + "|".join(either) + ")"
@@ -66,6 +93,10 @@ def search(index: DataFrame, query: str) -> DataFrame:
 def search_words(pages: DataFrame, query: str) -> DataFrame:
     """(doc_id, page_no, word_idx, value) of each word that a hit covers, while the page's words are at hand: no join."""
 
+    if (inside := within_word(query)) is not None:
+        hit = lambda w, i: F.when(F.translate(w, T.SEPARATOR + " ", T.BLANK * 2).rlike(inside), F.struct(i.cast("int").alias("word_idx"), w.alias("value")))
+        return pages.select("doc_id", "page_no", F.inline(F.array_compact(F.transform("words", hit))))
+
     def covered(words: Column) -> Column:
         places = F.array_sort(F.array_distinct(F.flatten(F.transform(page_hits(T.index_text(words), query), lambda h: F.sequence(h["word_idx"], h["word_idx"] + h["span_word_count"] - 1)))))
         return F.transform(F.filter(places, lambda i: i < F.size(words)), lambda i: F.struct(i.alias("word_idx"), F.get(words, i).alias("value")))

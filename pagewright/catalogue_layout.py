@@ -9,8 +9,9 @@ from pagewright.catalogue import LINK_SQL, query, table
 from pagewright.functions import geometry as G
 from pagewright.functions import layoutmath as M
 from pagewright.operators import hierarchy as H
-from pagewright.operators import selecting, spans, tiles
+from pagewright.operators import clusters, selecting, spans, tiles
 from pagewright.plans import layout
+from pagewright.streaming import pages
 
 
 # Tokens of pages are cut every twelve characters, so that links run over several words.
@@ -171,3 +172,39 @@ def tiles_with_cache(spark, sf_dir):
     held = table(spark, sf_dir, "part").select((k % 50).alias("page"), (F.col("p_size") % 6 - 3).cast("int").alias("level"), tiles.morton(k % 4, k % 3).alias("key"))
     found = tiles.with_cache(tiles.in_view(_views(spark, sf_dir)), held, ["page"])
     return found.select("o_orderkey", "level", "col", "row", "is_held", "held_above")
+
+
+# Views are rare, so that pages gather between them.
+@query("""WITH e AS (SELECT user_id AS doc, event_id AS seq, CASE WHEN event_id % 23 <> 0 THEN event_id * 7 % 40 END AS page, CASE WHEN event_id % 23 = 0 THEN event_id % 20 END AS first, CASE WHEN event_id % 23 = 0 THEN event_id % 20 + 15 END AS past FROM events),
+c AS (SELECT doc, page, max(seq) AS seq FROM e WHERE page IS NOT NULL GROUP BY ALL)
+SELECT doc, page FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc = c.doc AND e.seq > c.seq AND e.first IS NOT NULL AND NOT (c.page >= e.first AND c.page < e.past))""")
+def cached_pages(spark, sf_dir):
+    k = F.col("event_id")
+    view = k % 23 == 0
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), k.alias("seq"), F.when(~view, k * 7 % 40).alias("page"), F.when(view, k % 20).alias("first"), F.when(view, k % 20 + 15).alias("past"))
+    return pages.held(events)
+
+
+POINTS_SQL = "SELECT o_orderkey AS id, o_custkey % 50 AS page, (o_orderkey * 7919 % 1009)::DOUBLE AS x, (o_orderkey * 104729 % 997 + CASE WHEN o_orderkey % 9 = 0 THEN 5000 ELSE 0 END)::DOUBLE AS y FROM orders"
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), (F.col("o_custkey") % 50).alias("page"), (k * 7919 % 1009).cast("double").alias("x"), (k * 104729 % 997 + F.when(k % 9 == 0, 5000).otherwise(0)).cast("double").alias("y"))
+
+
+@query(f"""WITH p AS ({POINTS_SQL}), n AS (SELECT a.id, a.page, min({{'d': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'id': b.id}}) AS m FROM p a JOIN p b ON b.page = a.page AND b.id <> a.id GROUP BY a.id, a.page)
+SELECT page, id, CASE WHEN m.d < 60 THEN m.id END AS nearest, round(CASE WHEN m.d < 60 THEN m.d END, 6) AS distance FROM p LEFT JOIN n USING (id, page)""")
+def nearest_points(spark, sf_dir):
+    found = clusters.nearest(_points(spark, sf_dir), ["page"], "id", "x", "y", most=60.0)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH RECURSIVE p AS ({POINTS_SQL}), n AS (SELECT a.id, a.page, min({{'d': abs(a.x - b.x) + abs(a.y - b.y), 'id': b.id}}) AS m FROM p a JOIN p b ON b.page = a.page AND b.id <> a.id GROUP BY a.id, a.page),
+e AS (SELECT id AS a, m.id AS b FROM n WHERE m.d < 80 UNION SELECT m.id, id FROM n WHERE m.d < 80),
+r AS (SELECT id, id AS c FROM p UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT page, id, min(c) AS component FROM r JOIN p USING (id) GROUP BY page, id""")
+def page_components(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    linked = clusters.nearest(points, ["page"], "id", "x", "y", "manhattan", 80.0)
+    return clusters.components(points, linked, ["page"], "id", "nearest")

@@ -193,7 +193,7 @@ def tree_rollup(spark, sf_dir):
     own = customer.groupBy("c_nationkey").agg(F.round(F.sum(F.col("c_acctbal") * 100)).cast("long").alias("cents"), F.count("*").alias("n"))
     leaves = own.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     nodes = leaves.select(F.array("r_name", "n_name").alias("path"), "cents", "n")
-    totals = R.subtree_sums(nodes, "cents").withColumnRenamed("total", "cents").join(R.subtree_sums(nodes, "n").withColumnRenamed("total", "n"), "path")
+    totals = R.subtree_sums(nodes, "cents", "n")
     return totals.select(F.get("path", F.lit(0)).alias("r_name"), F.get("path", F.lit(1)).alias("n_name"), "cents", "n")
 
 
@@ -329,11 +329,11 @@ def selection_words(spark, sf_dir):
     return V.selected_of_pages(layout.page_words(table(spark, sf_dir, "documents")), ends, ["doc_id"])
 
 
-@query("WITH w AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS word_idx, o_orderstatus AS line FROM orders) SELECT o_custkey, word_idx, first_word, last_word FROM w JOIN (SELECT o_custkey, line, min(word_idx) AS first_word, max(word_idx) AS last_word FROM w GROUP BY ALL) USING (o_custkey, line) WHERE word_idx = 2")
+@query("WITH w AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS word_idx, o_orderstatus AS line FROM orders) SELECT o_custkey, word_idx, first_word, last_word FROM w JOIN (SELECT o_custkey, line, min(word_idx) AS first_word, max(word_idx) AS last_word FROM w GROUP BY ALL) USING (o_custkey, line)")
 def click_expand(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
     words = table(spark, sf_dir, "orders").select("o_custkey", place.alias("word_idx"), F.col("o_orderstatus").alias("line"))
-    return V.expand(words.where("word_idx = 2").select("o_custkey", "word_idx"), words, ["o_custkey"], "line")
+    return V.expand(words.select("o_custkey", "word_idx"), words, ["o_custkey"], "line")
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY page ORDER BY d, CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END, p_partkey) AS turn FROM (SELECT *, dx * dx + dy * dy AS d, atan2(dx, -dy) AS a FROM (SELECT p_partkey, p_partkey % 7 AS page, (p_partkey // 7) % 9 + 0.5::DOUBLE - 4.5::DOUBLE AS dx, p_size % 9 + 0.5::DOUBLE - 4.5::DOUBLE AS dy FROM part))")

@@ -144,10 +144,16 @@ def cache_evict(spark, sf_dir):
     return U.without_rows(table(spark, sf_dir, "events"), gone).select("event_id")
 
 
-@query("SELECT l_orderkey, l_partkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
+# Lines of three words; every fifth order has no second line.
+@query("""WITH w AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS word_idx FROM lineitem),
+l AS (SELECT o_orderkey, k AS line, 3 * k AS first_word, 3 * k + 3 AS past FROM (SELECT o_orderkey, unnest(range(0, 4)) AS k FROM orders) WHERE NOT (o_orderkey % 5 = 0 AND k = 1))
+SELECT l_orderkey, word_idx, l_partkey, CAST(line AS INTEGER) AS line FROM w LEFT JOIN l ON o_orderkey = l_orderkey AND word_idx >= first_word AND word_idx < past""")
 def word_line(spark, sf_dir):
-    words, lines = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return words.where("l_linenumber = 1").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_partkey", "o_custkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    words = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (place - 1).cast("long").alias("word_idx"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("line")).where(~((F.col("l_orderkey") % 5 == 0) & (F.col("line") == 1)))
+    ranged = lines.select("l_orderkey", "line", (F.col("line") * 3).cast("long").alias("first_word"), (F.col("line") * 3 + 3).cast("long").alias("past"))
+    return U.line_of_words(words, ranged, ["l_orderkey"]).select("l_orderkey", "word_idx", "l_partkey", "line")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id, first(value ORDER BY event_id) AS value FROM events GROUP BY user_id, event_type")
@@ -155,12 +161,15 @@ def first_with_id(spark, sf_dir):
     return U.one_of_each(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+# Each event asks a customer's orders for a page by number; some ask for page 0 or beyond the last.
+@query("""WITH p AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no FROM orders),
+a AS (SELECT event_id, user_id AS o_custkey, event_id % 30 AS number FROM events)
+SELECT event_id, number, o_totalprice, CASE WHEN page_no IS NULL THEN 'no page ' || number END AS problem FROM a LEFT JOIN p ON p.o_custkey = a.o_custkey AND page_no = number""")
 def page_by_number(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    last = orders.agg(F.max("o_orderkey").alias("last"))
-    pages = orders.withColumn("page_no", F.col("o_orderkey")).join(F.broadcast(last))
-    return U.page_of(pages, F.col("last"), F.col("last")).select("o_orderkey", "o_totalprice")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    pages = table(spark, sf_dir, "orders").select("o_custkey", place.alias("page_no"), "o_totalprice")
+    asked = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("o_custkey"), (F.col("event_id") % 30).alias("number"))
+    return U.pages_asked(asked, pages, ["o_custkey"]).select("event_id", "number", "o_totalprice", "problem")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS turn FROM orders")
@@ -178,13 +187,12 @@ def sorted_points(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(points, lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("points"), F.array_join(above, ",").alias("above"))
 
 
-@query("SELECT row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place, o_orderkey FROM orders WHERE o_custkey = 7")
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place, o_orderkey FROM orders")
 def branches_in_order(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_custkey = 7")
-    parts = [orders.where(c).select(F.lit(n).alias("branch"), "o_orderkey") for n, c in enumerate(("o_orderpriority = '1-URGENT'", "o_orderpriority = '2-HIGH'", "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"))]
+    orders = table(spark, sf_dir, "orders")
+    parts = [orders.where(c).select("o_custkey", F.lit(n).alias("branch"), "o_orderkey") for n, c in enumerate(("o_orderpriority = '1-URGENT'", "o_orderpriority = '2-HIGH'", "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # One document's words: a bounded group.
-    return both.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("branch", "o_orderkey")).cast("long").alias("place"), "o_orderkey")
+    return both.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("branch", "o_orderkey")).cast("long").alias("place"), "o_orderkey")
 
 
 @query("SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0")
@@ -235,17 +243,17 @@ def selection_parts(spark, sf_dir):
     return U.partial_words(_selected(spark, sf_dir), chosen, ["doc_id"]).drop("line_idx", "value")
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS ord, l_partkey AS title, (l_partkey % 800)::DOUBLE AS y FROM lineitem WHERE l_linenumber % 2 = 0),
-v AS (SELECT o_orderkey, CASE WHEN o0 < 0 AND p0 > 1 THEN p0 - 1 ELSE p0 END AS page, CASE WHEN o0 < 0 AND p0 > 1 THEN o0 + 800 ELSE o0 END AS y0, r FROM (SELECT o_orderkey, o_orderkey % 7 + 1 AS p0, (o_orderkey * 13 % 900 - 100)::DOUBLE AS o0, (o_orderkey % 4) * 90 AS r FROM orders)),
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber * 2 AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS ord, l_partkey AS title, (l_partkey % 800)::DOUBLE AS y FROM lineitem),
+v AS (SELECT o_orderkey, CASE WHEN o0 < 0 AND p0 > 1 THEN p0 - 1 ELSE p0 END AS page, CASE WHEN o0 < 0 AND p0 > 1 THEN o0 + 800 ELSE o0 END AS y0, r FROM (SELECT o_orderkey, o_orderkey % 14 + 1 AS p0, (o_orderkey * 13 % 900 - 100)::DOUBLE AS o0, (o_orderkey % 4) * 90 AS r FROM orders)),
 m AS (SELECT v.o_orderkey, max(b.page) AS page FROM v JOIN b ON b.l_orderkey = v.o_orderkey AND b.page <= v.page GROUP BY v.o_orderkey),
 c AS (SELECT v.o_orderkey, b.title, row_number() OVER (PARTITION BY v.o_orderkey ORDER BY CASE WHEN m.page < v.page THEN -b.ord WHEN v.r IN (90, 270) THEN b.ord ELSE abs(v.y0 - CASE WHEN v.r = 180 THEN b.y ELSE 800 - b.y END) END, b.ord) AS k FROM v JOIN m USING (o_orderkey) JOIN b ON b.l_orderkey = v.o_orderkey AND b.page = m.page)
 SELECT o_orderkey, c.title AS active FROM v LEFT JOIN c USING (o_orderkey) WHERE coalesce(k, 1) = 1""")
 def bookmark_active(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
-    marks = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("page"), place.alias("ord"), F.col("l_partkey").alias("title"), (F.col("l_partkey") % 800).cast("double").alias("y"))
+    marks = lines.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") * 2).cast("long").alias("page"), place.alias("ord"), F.col("l_partkey").alias("title"), (F.col("l_partkey") % 800).cast("double").alias("y"))
     k = F.col("o_orderkey")
-    views = table(spark, sf_dir, "orders").select("o_orderkey", (k % 7 + 1).alias("page"), (k * 13 % 900 - 100).cast("double").alias("offset"), ((k % 4) * 90).alias("rotation"), F.lit(800.0).alias("height"), F.lit(800.0).alias("height_before"))
+    views = table(spark, sf_dir, "orders").select("o_orderkey", (k % 14 + 1).alias("page"), (k * 13 % 900 - 100).cast("double").alias("offset"), ((k % 4) * 90).alias("rotation"), F.lit(800.0).alias("height"), F.lit(800.0).alias("height_before"))
     return U.active_bookmark(views, marks, ["o_orderkey"]).select("o_orderkey", "active")
 
 
@@ -400,21 +408,19 @@ def turned_boxes(spark, sf_dir):
     return found.select("word", "orientation", "b.blx", "b.bly", "b.trx", "b.try")
 
 
-@query(GLYPH_SQL + " SELECT o_orderkey, row_number() OVER (PARTITION BY word ORDER BY CASE turn WHEN 0 THEN x WHEN 1 THEN -y WHEN 2 THEN -x ELSE y END, o_orderkey) AS in_line, row_number() OVER (PARTITION BY word ORDER BY CASE turn WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN -y ELSE -x END, o_orderkey) AS in_block FROM g")
+@query(GLYPH_SQL + " SELECT o_orderkey, row_number() OVER (PARTITION BY word ORDER BY CASE turn WHEN 0 THEN x WHEN 1 THEN -y WHEN 2 THEN -x ELSE y END, CASE WHEN turn IN (0, 2) THEN y ELSE x END, o_orderkey) AS in_line, row_number() OVER (PARTITION BY word ORDER BY CASE turn WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN -y ELSE -x END, CASE WHEN turn IN (0, 2) THEN x ELSE y END, o_orderkey) AS in_block FROM g")
 def reading_order(spark, sf_dir):
     b = F.col("box")
     glyphs = _glyphs(spark, sf_dir).withColumn("o", G.orientation(b))
-    place = lambda keys: F.row_number().over(Window.partitionBy("word").orderBy(keys(F.col("o"), F.lit(0.0), b["blx"], b["bly"])["first"], "o_orderkey")).cast("long")
+    place = lambda keys: F.row_number().over(Window.partitionBy("word").orderBy(keys(F.col("o"), F.lit(0.0), b["blx"], b["bly"]), "o_orderkey")).cast("long")
     return glyphs.select("o_orderkey", place(O.word_keys).alias("in_line"), place(O.line_keys).alias("in_block"))
 
 
-@query("""SELECT event_id, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 WHEN w > 90 THEN w - 180 WHEN w < -90 THEN w + 180 ELSE w END, 3) + 0.0 AS within, round(CASE WHEN b < 0 THEN b + 180 ELSE b END, 3) + 0.0 AS between, round(CASE WHEN gap > 0.01 THEN gap END, 3) + 0.0 AS gap FROM (SELECT *, CAST(CAST(degrees(atan2(dy, dx)) AS FLOAT) AS DOUBLE) AS w, CAST(CAST(degrees(atan2(dy, cx)) AS FLOAT) AS DOUBLE) AS b, abs(dy) - 10 AS gap
-FROM (SELECT event_id, (event_id % 37 - 18)::DOUBLE AS dx, (event_id % 41 - 20)::DOUBLE AS dy, (event_id % 37 - 18 + 20)::DOUBLE AS cx FROM events)) WHERE NOT (dy = 0 AND (dx < 0 OR cx < 0))""")
+@query("""SELECT event_id, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 WHEN w > 90 THEN w - 180 WHEN w < -90 THEN w + 180 ELSE w END, 3) + 0.0 AS within, round(CASE WHEN b < 0 THEN b + 180 ELSE b END, 3) + 0.0 AS between, round(CASE WHEN gap >= 0 THEN gap END, 3) + 0.0 AS gap FROM (SELECT *, CAST(CAST(degrees(atan2(dy, dx)) AS FLOAT) AS DOUBLE) AS w, CAST(CAST(degrees(atan2(dy, cx)) AS FLOAT) AS DOUBLE) AS b, abs(dy) - 10 AS gap
+FROM (SELECT event_id, (event_id % 37 - 18)::DOUBLE AS dx, (event_id % 41 - 19.5)::DOUBLE AS dy, (event_id % 37 - 18 + 20)::DOUBLE AS cx FROM events))""")
 def word_angles(spark, sf_dir):
     k = F.col("event_id")
-    dx, dy, zero = (k % 37 - 18).cast("double"), (k % 41 - 20).cast("double"), F.lit(0.0)
+    dx, dy, zero = (k % 37 - 18).cast("double"), (k % 41 - 19.5).cast("double"), F.lit(0.0)
     a = G.box(zero - 20, zero - 10, zero, zero - 10, zero - 20, zero, zero, zero)
     b = G.box(dx, dy - 10, dx + 20, dy - 10, dx, dy, dx + 20, dy)
-    gap = G.perpendicular_gap(a, b)  # at 0 rounding decides
-    rows = table(spark, sf_dir, "events").where(~((dy == 0) & ((dx < 0) | (dx + 20 < 0))))
-    return rows.select("event_id", *[(F.round(c.cast("double"), 3) + 0.0).alias(n) for n, c in (("within", G.within_line_angle(a, b)), ("between", G.between_line_angle(a, b)), ("gap", F.when(gap > 0.01, gap)))])
+    return table(spark, sf_dir, "events").select("event_id", *[(F.round(c.cast("double"), 3) + 0.0).alias(n) for n, c in (("within", G.within_line_angle(a, b)), ("between", G.between_line_angle(a, b)), ("gap", G.perpendicular_gap(a, b)))])

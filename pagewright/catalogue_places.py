@@ -66,12 +66,12 @@ def thumbnails_in_view(spark, sf_dir):
     return locating.first_run(lines, ["l_orderkey"], "l_linenumber", "seen")
 
 
-@query("""WITH s AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey * 37 % 50 AS ax, o_orderkey * 11 % 40 AS ay, o_orderkey % 30 AS bx, o_orderkey * 3 % 20 AS by_ FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH s AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey * 37 % 50 AS ax, o_orderkey * 11 % 40 AS ay, o_orderkey % 30 AS bx, o_orderkey * 3 % 20 AS by_ FROM orders),
 d AS (SELECT a.doc, a.id, b.id AS other, (abs(b.ax + b.bx - a.ax - a.bx) + abs(b.ay + b.by_ - a.ay - a.by_)) / 2.0 AS d FROM s a LEFT JOIN s b ON b.doc = a.doc AND b.id <> a.id)
 SELECT doc, id, arg_min(other, d * 1000000000 + other) AS nearest, CAST(min(d) AS DOUBLE) AS distance FROM d GROUP BY doc, id""")
 def nearest_segment(spark, sf_dir):
     k = F.col("o_orderkey")
-    segments = table(spark, sf_dir, "orders").where(k % 3 == 0).select(F.col("o_custkey").alias("doc"), k.alias("id"), (k * 37 % 50).alias("ax"), (k * 11 % 40).alias("ay"), (k % 30).alias("bx"), (k * 3 % 20).alias("by"))
+    segments = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), k.alias("id"), (k * 37 % 50).alias("ax"), (k * 11 % 40).alias("ay"), (k % 30).alias("bx"), (k * 3 % 20).alias("by"))
 
     def of_centres(p, q):
         return G.manhattan((p["ax"] + p["bx"]) / 2, (p["ay"] + p["by"]) / 2, (q["ax"] + q["bx"]) / 2, (q["ay"] + q["by"]) / 2)

@@ -43,6 +43,25 @@ def page_of(pages: DataFrame, number: Column, count: Column) -> DataFrame:
     return pages.where(F.col("page_no") == checked)
 
 
+def pages_asked(asked: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """``asked`` (by, number) with the page of that number, counted from 1, of ``pages`` (by, page_no and more); problem says what is wrong with a number that none has.
+
+    For many requests at once, where ``page_of`` would stop at the first wrong one.
+    """
+    rest = [c for c in pages.columns if c not in (*by, "page_no")]
+    found = asked.join(pages.select(*by, F.col("page_no").alias("number"), *rest, F.lit(True).alias("_found")), [*by, "number"], "left")
+    return found.withColumn("problem", F.when(F.col("_found").isNull(), F.concat(F.lit("no page "), F.coalesce(F.col("number").cast("string"), F.lit("null"))))).drop("_found")
+
+
+def line_of_words(words: DataFrame, lines: DataFrame, by: list[str]) -> DataFrame:
+    """``words`` (by, word_idx) with the columns of the line that holds them, of ``lines`` (by, first_word, past and more); null where none does.
+
+    A range join as an equi-join on the words that each line names, so that as many rows go through it as there are words in lines.
+    """
+    named = lines.where("past > first_word").withColumn("word_idx", F.explode(F.sequence("first_word", F.col("past") - 1))).drop("first_word", "past")
+    return words.join(named, [*by, "word_idx"], "left")
+
+
 def one_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in ``order``."""
     rest = [c for c in rows.columns if c not in by]

@@ -8,13 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, items: DataFrame, distance: Callable[[Column, Column], Column], k: int = 1) -> DataFrame:
+#: Queries that are broadcast in one block, and parts of the items that each further block meets.
+BLOCK, PARTS = 20_000, 64
+
+
+def nearest(queries: DataFrame, items: DataFrame, distance: Callable[[Column, Column], Column], k: int = 1, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, distance, rank): items within the ``k`` smallest different distances of each query.
 
-    ``queries`` (id, v) is a stated, bounded set, broadcast in one block; partial top-k per task and query keeps
-    the shuffle to k rows, ties aside.
+    ``queries`` (id, v) is a stated set; up to ``block`` of them are broadcast. Beyond that they go in blocks: a block meets
+    each of ``PARTS`` parts of the items by an equi-join. Partial top-k per task and query keeps the shuffle to k rows, ties aside.
     """
-    pairs = items.alias("i").join(F.broadcast(queries.alias("q")), F.col("i.id") != F.col("q.id")).select(F.col("q.id").alias("query_id"), F.col("i.id").alias("item_id"), F.round(distance(F.col("q.v"), F.col("i.v")), 4).alias("distance"))
+    n = queries.limit(block + 1).count()
+    different = F.col("i.id") != F.col("q.id")
+    if n <= block:
+        met = items.alias("i").join(F.broadcast(queries.alias("q")), different)
+    else:
+        blocks = -(-queries.count() // block)
+        asked = queries.withColumns({"_block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "_part": F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))})
+        dealt = items.withColumns({"_part": F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"), "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+        met = dealt.alias("i").join(asked.alias("q"), (F.col("i._block") == F.col("q._block")) & (F.col("i._part") == F.col("q._part")) & different)
+    pairs = met.select(F.col("q.id").alias("query_id"), F.col("i.id").alias("item_id"), F.round(distance(F.col("q.v"), F.col("i.v")), 4).alias("distance"))
     rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("distance"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -50,10 +63,10 @@ def mode_or_null(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return best.select(*by, F.when(F.col("x.ties") == 1, F.col("x.v")).alias("mode"))
 
 
-def subtree_sums(nodes: DataFrame, value: str) -> DataFrame:
-    """(path, total) of nodes (path: array of keys from the root, value): each node's own and its descendants' sum."""
-    up = nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path"), value)
-    return up.groupBy("path").agg(F.sum(value).alias("total"))
+def subtree_sums(nodes: DataFrame, *values: str) -> DataFrame:
+    """(path, values) of nodes (path: array of keys from the root, values): each node's own and its descendants' sums, in one aggregation."""
+    up = nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path"), *values)
+    return up.groupBy("path").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def markdown(kind: Column, level: Column, title: Column, content: Column) -> Column:

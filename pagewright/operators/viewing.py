@@ -42,14 +42,15 @@ def most_visible(seen: DataFrame, by: list[str], page: str) -> DataFrame:
 def hit_test(points: DataFrame, boxes: DataFrame, by: list[str], cell: float) -> DataFrame:
     """``points`` (by, x, y) plus box: the smallest of the ids of the boxes (by, id, x0, y0, x1, y1) that hold it, or null.
 
-    Both sides meet by grid cell, an equi-join; borders belong to a box. ``cell`` should be about a box's size.
+    Both sides meet by grid cell, an equi-join; borders belong to a box. ``cell`` should be about a box's size. Each
+    place is looked up once, however many points lie on it.
     """
     at = lambda c: F.floor(F.col(c) / cell)
     spread = boxes.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    own = points.withColumn("_cx", at("x")).withColumn("_cy", at("y")).withColumn("_row", F.monotonically_increasing_id())
+    own = points.select(*by, "x", "y").distinct().withColumn("_cx", at("x")).withColumn("_cy", at("y"))
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    held = own.join(spread.select(*by, "id", "x0", "y0", "x1", "y1", "_cx", "_cy"), [*by, "_cx", "_cy"], "left")
-    return held.groupBy("_row").agg(*[F.first(c).alias(c) for c in points.columns], F.min(F.when(inside, F.col("id"))).alias("box")).drop("_row")
+    held = own.join(spread.select(*by, "id", "x0", "y0", "x1", "y1", "_cx", "_cy"), [*by, "_cx", "_cy"]).where(inside)
+    return points.join(held.groupBy(*by, "x", "y").agg(F.min("id").alias("box")), [*by, "x", "y"], "left").select(*points.columns, "box")
 
 
 def nearest_while_selecting(points: DataFrame, lines: DataFrame, words: DataFrame, by: list[str], key: str) -> DataFrame:

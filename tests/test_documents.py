@@ -96,6 +96,7 @@ def test_words_lines_and_blocks_of_a_page():
 def test_nearest_counts_different_distances(spark):
     items = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [-1.0]), (3, [2.0]), (4, [5.0])], "id long, v array<double>")
     out = R.nearest(items.where("id = 0"), items, R.squared_distance, 2)
+    assert sorted(map(tuple, R.nearest(items, items, R.squared_distance, 2, block=1).collect())) == sorted(map(tuple, R.nearest(items, items, R.squared_distance, 2).collect()))
     assert sorted((r.item_id, r.rank) for r in out.collect()) == [(1, 1), (2, 1), (3, 2)]
 
 

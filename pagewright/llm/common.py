@@ -86,6 +86,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: Every table that this process wrote and hasn't deleted.
+_left: list[str] = []
 
 
 @contextmanager
@@ -115,7 +117,20 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _delete(spark, path)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables that ``materialize`` wrote in this process and that are still there; their number.
+
+    Results of operators may still read them: call it when those have been written or collected.
+    """
+    n = len(_left)
+    while _left:
+        _delete(spark, _left[-1])
+    return n
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _left:
+        _left.remove(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
@@ -130,6 +145,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
     if (written := _written.get()) is not None:
         written.append(path)
+    _left.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path

@@ -39,12 +39,14 @@ def sample():
 ROWS, ITEMS = sample()
 PAGES = [(1, "http://u@A.example.com:80/en/x?y", "<html><head><title>T</title></head><body><p>a&amp;b</p><script>x('<p>')</script>c</body></html>"), (2, None, None), (None, "no url", ""), (1, "http://u@A.example.com:80/en/x?y", "<p>"), (3, "https://example.com", "<!-- open")]
 
+TURNS = [(1, 0, "user", "Hi."), (1, None, None, None), (None, 3, "assistant", ""), (1, 0, "user", "Hi.")]
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     labels = [(i, i % 2, 0) for i in range(len(ROWS))] + [(None, 1, 0), (1, None, 0)]
-    for name, rows, ddl in (("documents", ROWS, DOCS), ("benchmark", ITEMS, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int"), ("pages", PAGES, "page_id long, url string, html string")):
+    for name, rows, ddl in (("documents", ROWS, DOCS), ("benchmark", ITEMS, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int"), ("pages", PAGES, "page_id long, url string, html string"), ("conversations", TURNS, "conv_id long, turn long, role string, text string")):
         spark.createDataFrame(rows, ddl).write.parquet(f"{d}/{name}.parquet")
         spark.createDataFrame([], ddl).write.parquet(f"{d}/empty/{name}.parquet")
     return d

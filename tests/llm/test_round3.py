@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import conversation_repair, conversation_trie, quality_rules, toxicity, url_filter, warc
+from pagewright.llm import common, conversation_repair, conversation_trie, quality_rules, toxicity, url_filter, warc
 
 SF = "/root/testdata/sf0.01"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -257,3 +257,12 @@ def test_short_texts_have_a_band_too(spark):
         assert got[i].kept == (not got[i].base_failed and centre - 3 * spread <= got[i].ratio <= centre + 6 * spread)
     assert not any(got[i].kept for i in range(60, 65)) and sum(got[i].kept for i in range(60)) > 50
     assert quality_rules.Limits().band(100) == (0.35, 1.4)
+
+
+def test_clean_up_deletes_what_operators_left(spark):
+    common.clean_up(spark)
+    rows = spark.createDataFrame([(1, 0, "user", "Hi."), (2, 0, "user", "Hi.")], TURNS)
+    found = conversation_trie.trie(spark, conversation_trie.rebuilt(rows))
+    assert found.count() >= 1 and common.clean_up(spark) == 2 and common.clean_up(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        found.collect()

@@ -108,17 +108,26 @@ def selection_text(words: DataFrame, by: list[str]) -> DataFrame:
     return gathered(piece, by, ["page_no", "word_idx"], "_piece", "_pieces").select(*by, F.regexp_replace(F.array_join("_pieces", ""), r"\s\z", "").alias("text"))
 
 
-def partial_words(words: DataFrame, selections: DataFrame, by: list[str]) -> DataFrame:
+def partial_words(words: DataFrame, selections: DataFrame, by: list[str], full: Callable[[], Column] | None = None, partial: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Selected words with the part of their value that is selected: the first from start_letter, the last to end_letter, others whole.
 
-    ``selections`` (by, start_page, start_word, start_letter, end_page, end_word, end_letter), in reading order.
+    ``selections`` (by, start_page, start_word, start_letter, end_page, end_word, end_letter), in reading order. With
+    ``full`` and ``partial`` a column ``mapped`` is added: what the first makes of a whole word, and the second of one that is
+    selected from a letter to another, both included.
     """
     at, a, b = F.struct("page_no", "word_idx"), F.struct(F.col("start_page"), F.col("start_word")), F.struct(F.col("end_page"), F.col("end_word"))
     held = words.join(selections, by).where((at >= a) & (at <= b))
     low = F.when(at == a, F.col("start_letter")).otherwise(0)
     high = F.when(at == b, F.col("end_letter")).otherwise(F.length("value") - 1)
     part = F.substring(F.col("value"), low + 1, F.greatest(high - low + 1, F.lit(0)))
-    return held.select(*words.columns, part.alias("part"), ((low > 0) | (high < F.length("value") - 1)).alias("is_partial"))
+    cut = (low > 0) | (high < F.length("value") - 1)
+    mapped = [F.when(cut, partial(low, high)).otherwise(full()).alias("mapped")] if full and partial else []
+    return held.select(*words.columns, part.alias("part"), cut.alias("is_partial"), *mapped)
+
+
+def sorted_places(rows: DataFrame, by: list[str], key: Callable[[], Column], arrival: list[str]) -> DataFrame:
+    """``rows`` plus place: where each stands (from 0) in its group's collection, which is kept sorted by ``key``; of equal keys the one that arrived first."""
+    return rows.withColumn("place", (F.row_number().over(Window.partitionBy(*by).orderBy(key(), *arrival)) - 1).cast("long"))
 
 
 def combined_marks(letters: DataFrame, by: list[str]) -> DataFrame:

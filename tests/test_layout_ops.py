@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
-from pagewright.operators import clusters, hierarchy, oriented, search, selecting, spans, tiles
+from pagewright.operators import clusters, hierarchy, lookups, oriented, search, selecting, spans, tiles
+from pagewright.sources import factories
 from pagewright.streaming import pages
 
 CORNERS = ", ".join(f"{c} double" for c in G.CORNERS)
@@ -175,3 +176,34 @@ def test_searches_word_by_word_equal_those_over_the_page(spark):
             at += len(word) + 1
     assert want and got == sorted(want)
     assert sorted((r.doc_id, r.word_idx, r.value) for r in search.search_words(df, "to").collect()) == sorted((i, k, words[i][k]) for i, k, *_ in want)
+
+
+def test_types_of_pages_that_a_user_adds(spark):
+    class Lines:
+        """A type of a user's own: a row for each line, with columns told by analyze."""
+
+        @staticmethod
+        def analyze(number, width, height, text):
+            from pyspark.sql.types import IntegerType, StringType, StructType
+            from pyspark.sql.udtf import AnalyzeResult
+
+            return AnalyzeResult(StructType().add("line", IntegerType()).add("value", StringType()))
+
+        def eval(self, number, width, height, text):
+            yield from enumerate((text or "").split("|"))
+
+    df = spark.createDataFrame([(7, 1, 10.0, 20.0, "a|b"), (7, 2, None, 5.0, None)], "doc int, number int, width double, height double, text string")
+    with pytest.raises(ValueError, match="no such type"):
+        factories.pages_as(df, "lines", ["doc"])
+    with pytest.raises(ValueError, match="not a name"):
+        factories.register(spark, "x; y", Lines)
+    factories.register(spark, "lines", Lines)
+    assert sorted(tuple(r) for r in factories.pages_as(df, "lines", ["doc"]).collect()) == [(7, 0, ""), (7, 0, "a"), (7, 1, "b")]
+    assert [tuple(r) for r in factories.pages_as(df, "information", ["doc"]).collect()] == [(7, 1, 10.0, 20.0, False, 200.0)]
+
+
+def test_mappers_of_whole_and_partial_words(spark):
+    words = spark.createDataFrame([(1, 1, i, w) for i, w in enumerate(["alpha", "beta", "gamma"])], "d int, page_no int, word_idx int, value string")
+    chosen = spark.createDataFrame([(1, 1, 0, 2, 1, 2, 1)], "d int, start_page int, start_word int, start_letter int, end_page int, end_word int, end_letter int")
+    got = lookups.partial_words(words, chosen, ["d"], lambda: F.upper("value"), lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))).orderBy("word_idx").collect()
+    assert [(r.part, r.is_partial, r.mapped) for r in got] == [("pha", True, "2-4"), ("beta", False, "BETA"), ("ga", True, "0-1")]

@@ -10,7 +10,6 @@ from pagewright.functions import text as T
 from pagewright.operators import relations as R
 from pagewright.operators import search as S
 from pagewright.operators import segmentation
-from pagewright.operators import textlayer as L
 
 
 def one(spark, *columns):
@@ -88,9 +87,6 @@ def test_words_lines_and_blocks_of_a_page():
     out = segmentation.layer(page)
     assert out.value.tolist() == ["ab", " ", "cd", ".", "ef"]
     assert out.line_idx.tolist() == [0, 0, 0, 0, 1]
-    shifted = page.assign(letter_idx=page.letter_idx + 1000, x0=page.x0 + 0.4, x1=page.x1 + 0.4)
-    kept = L.keep_last(pd.concat([page, shifted], ignore_index=True))
-    assert sorted(kept.letter_idx) == sorted(shifted.letter_idx)
 
 
 def test_nearest_counts_different_distances(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
-from pagewright.operators import clusters, hierarchy, lookups, oriented, search, selecting, spans, tiles
+from pagewright.operators import clusters, hierarchy, lookups, oriented, search, selecting, spans, textlayer, tiles
 from pagewright.sources import factories
 from pagewright.streaming import pages
 
@@ -207,3 +207,29 @@ def test_mappers_of_whole_and_partial_words(spark):
     chosen = spark.createDataFrame([(1, 1, 0, 2, 1, 2, 1)], "d int, start_page int, start_word int, start_letter int, end_page int, end_word int, end_letter int")
     got = lookups.partial_words(words, chosen, ["d"], lambda: F.upper("value"), lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))).orderBy("word_idx").collect()
     assert [(r.part, r.is_partial, r.mapped) for r in got] == [("pha", True, "2-4"), ("beta", False, "BETA"), ("ga", True, "0-1")]
+
+
+@pytest.mark.parametrize("keep", ["last", "first"])
+def test_doubled_letters_as_one_pass_over_the_page_tells(spark, keep):
+    """Chains, ties at the very reach, letters of several characters and other values in between."""
+    pick = random.Random(4)
+    rows = []
+    for page in range(4):
+        for i in range(150):
+            value, width = pick.choice(["a", "b", "ffi", ""]), pick.choice([3.0, 6.0, 9.0])
+            x, y = pick.choice([10.0, 11.0, 12.0, 12.5, 40.0, 41.0]) + 30 * pick.randint(0, 3), pick.choice([5.0, 6.0, 7.0, 50.0])
+            rows.append((page, 1, i, value, x, y - 8, x + width, y))
+    letters = spark.createDataFrame(rows, "doc_id int, page_no int, letter_idx int, value string, x0 double, y0 double, x1 double, y1 double")
+    want = set()
+    for page in range(4):
+        held: list = []
+        for _, _, i, value, x, _, x1, y in [r for r in rows if r[0] == page]:
+            reach = (x1 - x) / max(1, len(value)) / 3
+            old = next((k for k, (v, _, a, b) in enumerate(held) if v == value and x - reach <= a <= x + reach and y - reach <= b <= y + reach), None)
+            if old is None:
+                held.append((value, i, x, y))
+            elif keep == "last":
+                held[old] = (value, i, x, y)
+        want |= {(page, i) for _, i, _, _ in held}
+    got = textlayer.dedup(letters, keep)
+    assert got.columns == letters.columns and sorted((r.doc_id, r.letter_idx) for r in got.collect()) == sorted(want)

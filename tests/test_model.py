@@ -5,7 +5,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,16 +81,18 @@ def test_blocking_of_segments(spark):
 def test_duplicates_in_chains():
     rng = random.Random(4)
     rows = [(1, 1, i, rng.choice("ab"), float(x), 0.0, float(x) + 6, 10.0) for i, x in enumerate(rng.choice((0, 1, 2, 3, 9, 10)) for _ in range(40))]
-    page = pd.DataFrame(rows, columns="doc_id page_no letter_idx value x0 y0 x1 y1".split())
     for keep in ("first", "last"):
         alive = []
         for r in rows:
-            old = next((k for k, q in enumerate(alive) if q[3] == r[3] and abs(q[4] - r[4]) < 2), None)
+            old = next((k for k, q in enumerate(alive) if q[3] == r[3] and abs(q[4] - r[4]) <= 2), None)
             if old is None:
                 alive.append(r)
             elif keep == "last":
                 alive[old] = r
-        assert L.survivors(page, keep).letter_idx.tolist() == sorted(r[2] for r in alive)
+        for value in "ab":
+            of = [r for r in rows if r[3] == value]
+            stays = L.survivors([(r[4], r[7], 2.0) for r in of], keep)
+            assert [r[2] for r, s in zip(of, stays, strict=True) if s] == sorted(r[2] for r in alive if r[3] == value)
 
 
 def test_selection_text_joins_what_line_ends_broke(spark):

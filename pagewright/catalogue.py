@@ -281,13 +281,15 @@ def zoom_steps(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.next_zoom(zoom).alias("larger"), V.previous_zoom(zoom).alias("smaller"))
 
 
-@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 + 3 AS height FROM orders), s AS (SELECT *, sum(height) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS bottom FROM p),
-v AS (SELECT *, bottom - height AS top, c_custkey % 11 AS vt, c_custkey % 11 + 12 AS vb FROM s JOIN customer ON c_custkey = o_custkey), x AS (SELECT *, least(bottom, vb) - greatest(top, vt) AS shown FROM v WHERE top <= vb AND bottom >= vt)
-SELECT o_custkey, min(o_orderkey) AS first_page, max(o_orderkey) AS last_page, first(o_orderkey ORDER BY shown DESC, o_orderkey) AS most_visible FROM x GROUP BY o_custkey""")
+# Pages differ in width, so the tallest part isn't always the largest.
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 + 3 AS height, o_orderkey * 7 % 9 AS lft, o_orderkey * 7 % 9 + o_orderkey % 4 + 1 AS rgt FROM orders), s AS (SELECT *, sum(height) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS bottom FROM p),
+v AS (SELECT *, bottom - height AS top, c_custkey % 11 AS vt, c_custkey % 11 + 12 AS vb FROM s JOIN customer ON c_custkey = o_custkey), x AS (SELECT *, greatest(0, least(bottom, vb) - greatest(top, vt)) * greatest(0, least(rgt, 7) - greatest(lft, 1)) AS shown FROM v)
+SELECT o_custkey, min(o_orderkey) AS first_page, max(o_orderkey) AS last_page, first(o_orderkey ORDER BY shown DESC, o_orderkey) AS most_visible FROM x WHERE shown > 0 GROUP BY o_custkey""")
 def page_visibility(spark, sf_dir):
-    pages = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 5 + 3).alias("height"))
+    k = F.col("o_orderkey")
+    pages = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (k % 5 + 3).alias("height"), (k * 7 % 9).alias("left"), (k * 7 % 9 + k % 4 + 1).alias("right"))
     top = F.col("c_custkey") % 11
-    views = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), top.alias("view_top"), (top + 12).alias("view_bottom"))
+    views = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), top.alias("view_top"), (top + 12).alias("view_bottom"), F.lit(1).alias("view_left"), F.lit(7).alias("view_right"))
     return V.most_visible(V.visible(V.stacked(pages, ["o_custkey"], "o_orderkey", "height"), views, ["o_custkey"], "o_orderkey"), ["o_custkey"], "o_orderkey")
 
 

@@ -13,6 +13,7 @@ from pagewright.functions import text as T
 from pagewright.operators import hierarchy as H
 from pagewright.operators import lookups as U
 from pagewright.operators import relations as R
+from pagewright.operators import selecting
 from pagewright.sources import blocks_json, factories
 
 
@@ -111,3 +112,24 @@ def page_information(spark, sf_dir):
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY abs(event_id % 13 - 6), event_id) - 1 AS place FROM events")
 def sorted_collection(spark, sf_dir):
     return U.sorted_places(table(spark, sf_dir, "events"), ["user_id"], lambda: F.abs(F.col("event_id") % 13 - 6), ["event_id"]).select("event_id", "place")
+
+
+@query("""WITH w AS (SELECT conv_id, unnest(string_split(text, ' ')) AS value, turn FROM conversations),
+n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id),
+o AS (SELECT conv_id, turn, unnest(x) AS value, unnest(range(0, len(x))) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS x FROM conversations)),
+r AS (SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS word_idx FROM o)
+SELECT event_id, r.conv_id, r.word_idx, r.value, n AS n_words FROM events JOIN n ON n.conv_id = user_id % 100 JOIN r ON r.conv_id = n.conv_id AND r.word_idx = event_id * 31 % n""")
+def word_at_index(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "value"))
+    words = turns.withColumn("word_idx", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i")) - 1).cast("long"))
+    counts = words.groupBy("conv_id").agg(F.count("*").alias("n_words"))
+    asked = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).alias("conv_id")).join(counts, "conv_id").withColumn("word_idx", F.col("event_id") * 31 % F.col("n_words"))
+    return selecting.words_at(asked, words, ["conv_id"])
+
+
+@query("SELECT p_partkey, greatest(x0, 20) AS x, greatest(y0, 10) AS y, greatest(0.0, least(x1, 60) - greatest(x0, 20)) AS w, greatest(0.0, least(y1, 70) - greatest(y0, 10)) AS h, greatest(0.0, least(x1, 60) - greatest(x0, 20)) * greatest(0.0, least(y1, 70) - greatest(y0, 10)) AS area FROM (SELECT p_partkey, (p_partkey % 90)::DOUBLE AS x0, (p_size * 2)::DOUBLE AS y0, (p_partkey % 90 + 15)::DOUBLE AS x1, (p_size * 2 + 25)::DOUBLE AS y1 FROM part)")
+def shared_rectangles(spark, sf_dir):
+    x, y = (F.col("p_partkey") % 90).cast("double"), (F.col("p_size") * 2).cast("double")
+    lit = lambda v: F.lit(float(v))
+    shared = G.intersection(x, y, x + 15, y + 25, lit(20), lit(10), lit(60), lit(70))
+    return table(spark, sf_dir, "part").select("p_partkey", shared.alias("r")).select("p_partkey", "r.*")

@@ -117,6 +117,13 @@ def intersection_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Colum
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
+def intersection(x0: Column, y0: Column, x1: Column, y1: Column, u0: Column, v0: Column, u1: Column, v1: Column) -> Column:
+    """Struct x, y, w, h, area of what two upright boxes share; no width or height where they don't meet."""
+    left, top = F.greatest(x0, u0), F.greatest(y0, v0)
+    w, h = intersection_length(x0, x1, u0, u1), intersection_length(y0, y1, v0, v1)
+    return F.struct(left.alias("x"), top.alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"))
+
+
 def bbox_from_array(b: Column) -> Column:
     """[x1, y1, x2, y2] as x, y, w, h; zeros with fewer than four numbers."""
     def at(i: int) -> Column:

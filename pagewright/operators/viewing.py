@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry as G
+
 # Zoom steps.
 ZOOM_STEPS = (0.08, 0.125, 0.25, 0.33, 0.5, 0.67, 0.75, 1, 1.25, 1.5, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
@@ -28,10 +30,13 @@ def stacked(pages: DataFrame, by: list[str], page: str, height: str) -> DataFram
 
 
 def visible(placed: DataFrame, views: DataFrame, by: list[str], page: str) -> DataFrame:
-    """(by, page, shown) of pages that touch their document's one view (view_top, view_bottom); shown: height in view."""
-    both = placed.join(views, by)
-    seen = both.where((F.col("top") <= F.col("view_bottom")) & (F.col("bottom") >= F.col("view_top")))
-    return seen.select(*by, page, (F.least("bottom", "view_bottom") - F.greatest("top", "view_top")).alias("shown"))
+    """(by, page, shown) of pages of which some area lies in their document's one view; shown: that area.
+
+    Pages have left, right, top and bottom, views view_left and so on. A page that only touches the view isn't seen.
+    """
+    sides = ("left", "top", "right", "bottom")
+    area = G.intersection(*[F.col(c).cast("double") for c in sides], *[F.col(f"view_{c}").cast("double") for c in sides])["area"]
+    return placed.join(views, by).select(*by, page, area.alias("shown")).where("shown > 0")
 
 
 def most_visible(seen: DataFrame, by: list[str], page: str) -> DataFrame:

@@ -22,12 +22,14 @@ def test_zoom_steps_stop_at_both_ends(spark):
     assert [tuple(r) for r in z.select(V.next_zoom(F.col("z")), V.previous_zoom(F.col("z"))).collect()] == [(0.08, 0.08), (0.125, 0.08), (1.0, 0.75), (1.25, 0.75), (64.0, 48.0)]
 
 
-def test_pages_that_touch_the_view_count_and_the_first_of_equals_shows_most(spark):
-    pages = spark.createDataFrame([(1, p, 10) for p in (1, 2, 3, 4)], "d int, page int, height int")
-    views = spark.createDataFrame([(1, 15, 25)], "d int, view_top int, view_bottom int")
+def test_the_page_with_most_area_in_view_counts_and_a_touch_is_none(spark):
+    pages = spark.createDataFrame([(1, 1, 10, 0, 9), (1, 2, 10, 0, 4), (1, 3, 8, 0, 9), (1, 4, 10, 2, 11), (1, 5, 10, 0, 9)], "d int, page int, height int, left int, right int")
+    views = spark.createDataFrame([(1, 10, 38, 1, 9)], "d int, view_top int, view_bottom int, view_left int, view_right int")
     seen = V.visible(V.stacked(pages, ["d"], "page", "height"), views, ["d"], "page")
-    assert rows(seen) == [(1, 2, 5), (1, 3, 5)]
-    assert rows(V.most_visible(seen, ["d"], "page")) == [(1, 2, 3, 2)]
+    assert rows(seen) == [(1, 2, 30.0), (1, 3, 64.0), (1, 4, 70.0)]
+    assert rows(V.most_visible(seen, ["d"], "page")) == [(1, 2, 4, 4)]
+    ties = V.visible(V.stacked(pages.where("page IN (1, 5)"), ["d"], "page", "height"), views.withColumn("view_top", F.lit(5)).withColumn("view_bottom", F.lit(15)), ["d"], "page")
+    assert rows(V.most_visible(ties, ["d"], "page")) == [(1, 1, 5, 1)]
 
 
 def test_hit_test_takes_the_first_box_and_counts_borders(spark):
@@ -94,15 +96,29 @@ def test_tree_json_to_rows_and_markdown(spark):
 
 
 def test_archive_members_by_priority(spark):
-    def packed(*names):
+    """What holds no result is passed over, down to a content list, after which nothing is tried."""
+    block, tree, bare = '{"pages": {"1": [{}]}}', '{"tree": {"title": "t"}}', '{"pages": {"1": []}, "tree": null}'
+
+    def packed(*members):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            for n in names:
-                z.writestr(n, f'"{n}"')
+            for n, text in members:
+                z.writestr(n, text)
         return out.getvalue()
 
-    files = spark.createDataFrame([("1", packed("x.json", "a_content_list.json", "d/a_middle.json")), ("2", packed("z.txt", "x.json")), ("3", packed("t.txt")), ("4", b"broken"), ("5", None)], "path string, content binary")
-    assert {tuple(r) for r in archives.archived_json(files).collect()} == {("1", "d/a_middle.json", '"d/a_middle.json"'), ("2", "x.json", '"x.json"'), ("3", None, None), ("4", None, None), ("5", None, None)}
+    files = {
+        "first": (packed(("x.json", block), ("a_content_list.json", "[{}]"), ("d/a_middle.json", tree)), "d/a_middle.json"),
+        "broken": (packed(("a_middle.json", "{"), ("b_middle.json", block), ("middle.json", block)), "middle.json"),
+        "list": (packed(("x.json", block), ("a_middle.json", bare), ("a_content_list.json", "[{}]")), "a_content_list.json"),
+        "ends": (packed(("x.json", block), ("a_content_list.json", "[]")), None),
+        "any": (packed(("z.txt", "x"), ("w.json", "[1]"), ("x.json", bare), ("y.json", block)), "y.json"),
+        "none": (packed(("t.txt", "x")), None),
+        "bad": (b"broken", None),
+        "null": (None, None),
+    }
+    got = archives.archived_json(spark.createDataFrame([(k, v[0]) for k, v in files.items()], "path string, content binary"))
+    assert {r.path: r.member for r in got.collect()} == {k: v[1] for k, v in files.items()}
+    assert {r.json for r in got.where("path = 'any'").collect()} == {block}
 
 
 def test_inference_stands_in_for_missing_pages(spark):

@@ -29,6 +29,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -308,12 +309,17 @@ def to_warc(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "page_id long, warc binary")
 
 
+#: Number of a row that only says that a block crosses the border of a part.
+CROSSED = -1
+
+
 def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Records of uncompressed or gzip-compressed WARC files: (path, split, at, headers map, block).
 
     split: where the part of the file begins that a task read; at: the record's number in it. Files are split
-    between records; a block that itself holds records is put together again by its length. Only where such a
-    block crosses the border of two parts this fails, and says so; ``whole`` then reads a file in one task and in memory.
+    between records; a block that itself holds records is put together again by its length. Where such a
+    block crosses the border of two parts, that file is read again by itself, in one task and in memory, as all are with ``whole``. So
+    the files are read through once before, to find those; nothing of them is kept.
     """
     ddl = "path string, split long, at long, headers map<string,string>, block binary"
 
@@ -337,15 +343,12 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, at, held = None, 0, b""
 
-        def cut() -> None:
-            if held:
-                raise ValueError(f"a record of {place[0]} goes on after the part from {place[1]}: read it with whole=True")
-
         for batch in batches:
             for piece, *here in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if here != place:
-                    cut()
-                    place, at = here, 0
+                    if held:  # the block goes on in another part
+                        yield rows(*place, CROSSED, {}, b"")
+                    place, at, held = here, 0, b""
                 piece = held + MARK + piece if held else piece
                 top, _, block = piece.partition(CRLF * 2)
                 headers = parse_headers(top.decode("utf-8", "replace").split("\r\n")[1:])
@@ -359,12 +362,20 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
                 held = b""
                 yield rows(*here, at, headers, block[:size] if size is not None else block.rstrip(CRLF))
                 at += 1
-        cut()
+        if held:
+            yield rows(*place, CROSSED, {}, b"")
+
+    def by_file(of: str | list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").load(of).select("path", "content").mapInArrow(files, ddl)
 
     if whole:
-        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(files, ddl)
+        return by_file(path)
     parts = spark.read.option("lineSep", MARK.decode()).text(path)
-    return parts.select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start").mapInArrow(pieces, ddl)
+    found = parts.select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start").mapInArrow(pieces, ddl)
+    crossed = [r.path for r in found.where(F.col("at") == CROSSED).select("path").distinct().collect()]
+    if not crossed:
+        return found
+    return found.where(~F.col("path").isin(crossed)).unionByName(by_file([unquote(p) for p in crossed]))
 
 
 def responses_of(records: DataFrame) -> DataFrame:

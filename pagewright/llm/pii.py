@@ -24,7 +24,8 @@ Null and empty texts have no spans. Repeated rows get equal results. Columns bey
 and text are ignored, whatever their names. Texts of any length are scanned whole: the
 expressions are anchored or possessive, so that long runs cost linear time, and offsets and
 overlaps of n matches are worked out in blocks of about the root of n. Offsets are code
-points from 0, end exclusive.
+points from 0, end exclusive. Two limits bound what the method can learn, not what the base finds: a context is the
+last ``CONTEXT`` (48) code points before a mention, and a mention of a secret has 20 to 128 characters.
 """
 
 from __future__ import annotations

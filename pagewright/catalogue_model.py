@@ -10,6 +10,7 @@ from pagewright.functions import geometry as G
 from pagewright.functions import model as M
 from pagewright.operators import lookups as U
 from pagewright.operators import oriented as O
+from pagewright.operators import search as S
 from pagewright.operators import textlayer as L
 from pagewright.plans import layout
 from pagewright.sources import blocks_json
@@ -320,11 +321,19 @@ def bbox_listed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", box.alias("b")).select("event_id", F.col("b")[0].alias("x"), F.col("b")[1].alias("y"), F.col("b")[2].alias("x1"), F.col("b")[3].alias("y1"), (F.size("b") == 4).alias("listed"))
 
 
-@query("SELECT event_id, y0, y1, CASE n WHEN 1 THEN 'gray' WHEN 3 THEN 'rgb' WHEN 4 THEN 'cmyk' END AS colour_space, l AND a AS is_interactive FROM (SELECT event_id, 800.0 - greatest(u0, u1) AS y0, 800.0 - least(u0, u1) AS y1, event_id % 5 AS n, event_id % 2 = 0 AS l, event_id % 3 = 0 AS a, CASE WHEN event_id % 7 = 0 THEN 'note' ELSE '' END AS c, u0, u1 FROM (SELECT event_id, (event_id % 11)::DOUBLE AS u0, (event_id % 13)::DOUBLE AS u1 FROM events)) WHERE u0 <> u1 AND (l OR a OR c <> '')")
+ANNOTATION_SQL = """WITH r AS (SELECT event_id, (event_id % 11)::DOUBLE AS u0, (event_id % 13)::DOUBLE AS u1, event_id % 5 AS n, event_id % 2 = 0 AS l, event_id % 3 = 0 AS act, CASE WHEN event_id % 7 = 0 THEN 'note' ELSE '' END AS t, CASE event_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE 1 END::DOUBLE AS a, CASE event_id % 4 WHEN 2 THEN 1 ELSE 0 END::DOUBLE AS b, CASE event_id % 4 WHEN 2 THEN -1 ELSE 0 END::DOUBLE AS c, CASE event_id % 4 WHEN 2 THEN 0 ELSE 1 END::DOUBLE AS d, (event_id % 100)::DOUBLE AS e, ts FROM events),
+p AS (SELECT *, unnest([0.0, 0.0, 5.0, 5.0])::DOUBLE AS x, unnest([u0, u1, u0, u1]) AS y FROM r WHERE u0 <> u1 AND (l OR act OR t <> ''))
+SELECT event_id, min(a * x + c * y + e) AS x0, 800.0 - max(b * x + d * y + 7) AS y0, max(a * x + c * y + e) AS x1, 800.0 - min(b * x + d * y + 7) AS y1, any_value(CASE n WHEN 1 THEN 'gray' WHEN 3 THEN 'rgb' WHEN 4 THEN 'cmyk' END) AS colour_space, any_value(l AND act) AS is_interactive, any_value(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' +02:00') AS date FROM p GROUP BY event_id"""
+
+
+@query(ANNOTATION_SQL)
 def annotation_scan(spark, sf_dir):
     k = F.col("event_id")
-    raw = table(spark, sf_dir, "events").select("event_id", F.lit(0.0).alias("x0"), F.lit(5.0).alias("x1"), (k % 11).cast("double").alias("y0"), (k % 13).cast("double").alias("y1"), (k % 2 == 0).alias("is_link"), (k % 3 == 0).alias("has_action"), F.when(k % 7 == 0, "note").otherwise("").alias("content"), F.array_repeat(F.lit(0.5), (k % 5).cast("int")).alias("colour"))
-    return U.annotations(raw, F.lit(800.0)).select("event_id", "y0", "y1", "colour_space", "is_interactive")
+    of = lambda a, b, c, d: F.struct(*[F.lit(float(v)).alias(n) for v, n in zip((a, b, c, d), "abcd", strict=True)], (k % 100).cast("double").alias("e"), F.lit(7.0).alias("f"))
+    matrix = F.when(k % 4 == 1, of(2, 0, 0, 1)).when(k % 4 == 2, of(0, 1, -1, 0)).when(k % 4 == 3, of(-1, 0, 0, 1)).otherwise(of(1, 0, 0, 1))
+    dated = F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("+02'00'"))
+    raw = table(spark, sf_dir, "events").select("event_id", F.lit(0.0).alias("x0"), F.lit(5.0).alias("x1"), (k % 11).cast("double").alias("y0"), (k % 13).cast("double").alias("y1"), (k % 2 == 0).alias("is_link"), (k % 3 == 0).alias("has_action"), F.when(k % 7 == 0, "note").otherwise("").alias("content"), F.array_repeat(F.lit(0.5), (k % 5).cast("int")).alias("colour"), matrix.alias("matrix"), dated.alias("date"))
+    return U.annotations(raw, F.lit(800.0)).select("event_id", "x0", "y0", "x1", "y1", "colour_space", "is_interactive", "date")
 
 
 LETTER_SQL = "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders"
@@ -354,7 +363,7 @@ def letter_dedup_first(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS keys FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def properties(spark, sf_dir):
-    others = F.map_filter(F.create_map(F.col("event_type"), F.col("value")), lambda _, v: v.isNotNull())
+    others = M.other_values(F.create_map(F.col("event_type"), F.col("value")))
     each = table(spark, sf_dir, "events").select("user_id", F.explode(others).alias("key", "value"))
     return each.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
 
@@ -373,18 +382,21 @@ def notices_not_repeated(spark, sf_dir):
     return U.changed(events, ["user_id"], "ts", "message", 2 * 86400, ["event_id"]).select("event_id")
 
 
-@query("SELECT h.event_id, coalesce(p.p_size, 0) AS y FROM events h LEFT JOIN part p ON p.p_partkey = h.event_id")
+# Every seventh document has no text layer: its hits scroll to the top of their page.
+@query(PAGES_SQL + "SELECT doc_id, page_no, CAST(k AS INTEGER) AS word_idx, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 72 + 14 * (k // 10) END::DOUBLE AS y FROM (SELECT doc_id, page_no, unnest(words) AS w, unnest(range(0, len(words))) AS k FROM i) WHERE contains(lower(w), 'tion')")
 def hit_scroll_target(spark, sf_dir):
-    boxes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("event_id"), F.col("p_size").alias("y"))
-    return U.with_default(table(spark, sf_dir, "events").select("event_id"), boxes, ["event_id"], "y", F.lit(0))
+    pages = layout.page_words(table(spark, sf_dir, "documents"))
+    boxes = pages.where("doc_id % 7 <> 0").select("doc_id", "page_no", F.posexplode("words").alias("word_idx", "value")).withColumn("y", (72 + 14 * F.floor(F.col("word_idx") / 10)).cast("double"))
+    hits = S.search(S.text_index(pages), "tion").select("doc_id", "page_no", "word_idx")
+    return U.with_default(hits, boxes, ["doc_id", "page_no", "word_idx"], "y", F.lit(0.0))
 
 
-@query("""SELECT event_id, CAST(abs(x2 - x1) AS FLOAT) AS horizontal, CAST(abs(y2 - y1) AS FLOAT) AS vertical, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 6) AS straight, greatest(0.0, least(x2, 9) - greatest(x1, 2)) AS shared FROM (SELECT event_id, (event_id % 9)::DOUBLE AS x1, (event_id % 4)::DOUBLE AS y1, (event_id % 13)::DOUBLE AS x2, (event_id % 6)::DOUBLE AS y2 FROM events)""")
+@query("""SELECT event_id, CAST(abs(x2 - x1) AS FLOAT) AS horizontal, CAST(abs(y2 - y1) AS FLOAT) AS vertical, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 4)::DOUBLE AS straight, CAST(abs(x2 - x1) + abs(y2 - y1) AS FLOAT) AS around, greatest(0.0, least(x2, 9) - greatest(x1, 2)) AS shared FROM (SELECT event_id, (event_id % 9)::DOUBLE AS x1, (event_id % 4)::DOUBLE AS y1, (event_id % 13)::DOUBLE AS x2, (event_id % 6)::DOUBLE AS y2 FROM events)""")
 def axis_distances(spark, sf_dir):
     at = lambda n: (F.col("event_id") % n).cast("double")
     x1, y1, x2, y2 = at(9), at(4), at(13), at(6)
-    straight = F.sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)
-    return table(spark, sf_dir, "events").select("event_id", F.abs(x2 - x1).cast("float").alias("horizontal"), F.abs(y2 - y1).cast("float").alias("vertical"), F.round(straight, 6).alias("straight"), G.intersection_length(x1, x2, F.lit(2.0), F.lit(9.0)).alias("shared"))
+    straight = F.round(G.euclidean(x1, y1, x2, y2).cast("double"), 4)
+    return table(spark, sf_dir, "events").select("event_id", G.horizontal(x1, x2).alias("horizontal"), G.vertical(y1, y2).alias("vertical"), straight.alias("straight"), G.manhattan(x1, y1, x2, y2).alias("around"), G.intersection_length(x1, x2, F.lit(2.0), F.lit(9.0)).alias("shared"))
 
 
 GLYPH_SQL = """WITH g AS (SELECT o_custkey % 200 AS word, o_custkey % 4 AS turn, o_orderkey, (o_orderkey % 60 * 5)::DOUBLE AS x, (o_orderkey % 7)::DOUBLE AS y, 8.0::DOUBLE AS a, (5 + o_orderkey % 3)::DOUBLE AS t FROM orders)"""

@@ -195,3 +195,8 @@ def consistent_widths(widths: Column, width: Column) -> Column:
     """Whether letters' widths sum up to about their word's; false without letters or width."""
     total = F.aggregate(widths, F.lit(0.0), lambda a, w: a + w)
     return F.coalesce((width > 0) & (F.size(widths) > 0) & (total / F.when(width > 0, width)).between(*CONSISTENT), F.lit(False))
+
+
+def other_values(known: Column) -> Column:
+    """A document's further properties: the entries of a map that have a value."""
+    return F.map_filter(known, lambda _, v: v.isNotNull())

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import model as M
 from pagewright.functions import text as T
 from pagewright.operators import relations
 
@@ -149,13 +150,22 @@ def replaced(letters: DataFrame, by: list[str]) -> DataFrame:
 
 
 def annotations(raw: DataFrame, page_height: Column) -> DataFrame:
-    """Annotations (x0, y0, x1, y1: y upward, is_link, has_action, content, colour) with a box, y downward, that have a
-    link, an action or content."""
-    box = (F.abs(F.col("x1") - F.col("x0")) > 0) & (F.abs(F.col("y1") - F.col("y0")) > 0)
+    """Annotations (x0, y0, x1, y1: y upward, is_link, has_action, content, colour; matrix and date, if known) with a box, y downward, that have a
+    link, an action or content.
+
+    The box is that around the corners as ``matrix`` (a to f) takes them; an annotation whose own box is empty is none. A date is
+    shown as ``text.pdf_date`` has it.
+    """
+    own = (F.abs(F.col("x1") - F.col("x0")) > 0) & (F.abs(F.col("y1") - F.col("y0")) > 0)
     told = F.col("is_link") | F.col("has_action") | (F.coalesce("content", F.lit("")) != "")
-    sides = {"x0": F.least("x0", "x1"), "x1": F.greatest("x0", "x1"), "y0": page_height - F.greatest("y0", "y1"), "y1": page_height - F.least("y0", "y1")}
-    space = F.when(F.size("colour") == 1, "gray").when(F.size("colour") == 3, "rgb").when(F.size("colour") == 4, "cmyk")
-    return raw.where(box & told).withColumns({**sides, "is_interactive": F.col("is_link") & F.col("has_action"), "colour_space": space})
+    corners = [(F.col(x), F.col(y)) for x in ("x0", "x1") for y in ("y0", "y1")]
+    if "matrix" in raw.columns:
+        m = F.col("matrix")
+        corners = [(m["a"] * x + m["c"] * y + m["e"], m["b"] * x + m["d"] * y + m["f"]) for x, y in corners]
+    xs, ys = zip(*corners, strict=True)
+    sides = {"x0": F.least(*xs), "x1": F.greatest(*xs), "y0": page_height - F.greatest(*ys), "y1": page_height - F.least(*ys)}
+    dated = {"date": T.pdf_date(F.col("date"))} if "date" in raw.columns else {}
+    return raw.where(own & told).withColumns({**sides, **dated, "is_interactive": F.col("is_link") & F.col("has_action"), "colour_space": M.colour_space(F.col("colour"))})
 
 
 def _folded(rows: DataFrame, by: list[Column], order: list[str], ddl: str, step: Callable[[], Callable[[dict], object]], read: list[str], out: str) -> DataFrame:

@@ -78,11 +78,11 @@ def printer_settings(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.print_orientation(asked, size % 2 == 0).alias("orientation"), M.print_colour(size % 3 == 0, size % 2 == 0).alias("colour"), M.pages_per_sheet(size % 5, F.array(F.lit(1), F.lit(2), F.lit(4))).alias("per_sheet"), M.print_scaling(mode).alias("scaling"))
 
 
-@query("SELECT page_id, n AS valid, array_to_string(list_filter([translate(x, chr(9), ' ') FOR x IN [url, '  ', 'a' || chr(9)]], lambda x: trim(x) <> ''), '') AS joined, TRY_CAST(split_part(s, ':', 2) AS INTEGER) AS ord FROM (SELECT page_id, coalesce(url, '') AS url, NOT regexp_matches(string_split(coalesce(url, ''), '/')[-1], '[\"<>|:*?\\\\]') AS n, CASE WHEN page_id % 3 = 0 THEN 'doc:' || page_id WHEN page_id % 3 = 1 THEN 'doc:x' ELSE 'doc' END AS s FROM pages)")
+@query("SELECT page_id, n AS valid, array_to_string(list_filter([replace(x, chr(0), ' ') FOR x IN [url, '  ', 'a' || chr(0) || 'b', chr(0)]], lambda x: trim(x) <> ''), '') AS joined, TRY_CAST(split_part(s, ':', 2) AS INTEGER) AS ord FROM (SELECT page_id, coalesce(url, '') AS url, NOT regexp_matches(string_split(coalesce(url, ''), '/')[-1], '[\"<>|:*?\\\\]') AS n, CASE WHEN page_id % 3 = 0 THEN 'doc:' || page_id WHEN page_id % 3 = 1 THEN 'doc:x' ELSE 'doc' END AS s FROM pages)")
 def names_and_paths(spark, sf_dir):
     k, url = F.col("page_id"), F.coalesce("url", F.lit(""))
     source = F.when(k % 3 == 0, F.concat(F.lit("doc:"), k.cast("string"))).when(k % 3 == 1, "doc:x").otherwise("doc")
-    joined = M.clean_append(F.array(url, F.lit("  "), F.lit("a\0")))
+    joined = M.clean_append(F.array(url, F.lit("  "), F.lit("a\0b"), F.lit("\0")))
     return table(spark, sf_dir, "pages").select("page_id", M.is_valid_path(url).alias("valid"), joined.alias("joined"), M.source_order(source).alias("ord"))
 
 

@@ -29,51 +29,49 @@ def line_links(words: DataFrame, by: list[str]) -> DataFrame:
     return placed.where(inside).groupBy(*by, "url").agg(F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"))
 
 
-def fitted_boxes(parts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, box) around boxes (by, ord, box) of each group, along the line of least squares through their base lines' ends.
+def boxes(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, box) around boxes (by, ord, box) of each group in whatever direction they read: upright, turned by quarters, or along the line of least squares through their base lines' ends.
 
-    Two aggregations: the line, then the least and greatest of the corners turned onto it. Of the four labellings of the corners the one counts whose
-    lower edge is nearest in angle to the way from the first box's lower left corner to the last one's lower right. A single box stays as it is.
+    The line stands beside each part by windows of its group, then one aggregation takes the least and greatest of the corners turned onto it: parts dealt by
+    any of ``by`` stay where they are. Of the four labellings of the corners the one counts whose lower edge is nearest in angle to the way from the first
+    box's lower left corner to the last one's lower right. A single oblique box stays as it is.
     """
-    b = F.col("box")
-    ends = parts.select(*by, "ord", "box", F.explode(F.array(F.struct(b["blx"].alias("x"), b["bly"].alias("y")), F.struct(b["brx"].alias("x"), b["bry"].alias("y")))).alias("p"))
-    line = ends.groupBy(*by).agg(F.regr_sxx("p.y", "p.x").alias("_sxx"), F.regr_sxy("p.y", "p.x").alias("_sxy"), (F.count("*") / 2).alias("_n"), F.min_by("box", "ord").alias("_head"), F.max_by("box", "ord").alias("_tail"))
+    b, group = F.col("box"), Window.partitionBy(*by)
+    ends = [b["blx"], b["brx"]], [b["bly"], b["bry"]]
+    middle = parts.withColumns({"_o": G.orientation(b), **{n: F.avg((v[0] + v[1]) / 2).over(group) for n, v in zip(("_mx", "_my"), ends, strict=True)}})
+    off = [[v - F.col(m) for v in e] for m, e in zip(("_mx", "_my"), ends, strict=True)]
+    line = middle.withColumns({"_sxx": F.sum(off[0][0] * off[0][0] + off[0][1] * off[0][1]).over(group), "_sxy": F.sum(off[0][0] * off[1][0] + off[0][1] * off[1][1]).over(group)})
     slope = F.when(F.col("_sxx") > FLAT, F.atan(F.col("_sxy") / F.when(F.col("_sxx") > FLAT, F.col("_sxx"))))
-    line = line.withColumns({"_cos": F.coalesce(F.cos(slope), F.lit(0.0)), "_sin": F.coalesce(F.sin(slope), F.lit(1.0))})
+    line = line.withColumn("_slope", slope).withColumns({"_cos": F.coalesce(F.cos("_slope"), F.lit(0.0)), "_sin": F.coalesce(F.sin("_slope"), F.lit(1.0))})
     c, s = F.col("_cos"), F.col("_sin")
-    met = parts.join(line.select(*by, "_cos", "_sin"), by)
     turned = [(c * b[f"{k}x"] + s * b[f"{k}y"], c * b[f"{k}y"] - s * b[f"{k}x"]) for k in ("tl", "tr", "bl", "br")]
-    sides = met.groupBy(*by).agg(F.min(F.least(*[x for x, _ in turned])).alias("_x0"), F.max(F.greatest(*[x for x, _ in turned])).alias("_x1"), F.min(F.least(*[y for _, y in turned])).alias("_y0"), F.max(F.greatest(*[y for _, y in turned])).alias("_y1"))
+    sides = [F.min(F.least(*[x for x, _ in turned])).alias("_x0"), F.max(F.greatest(*[x for x, _ in turned])).alias("_x1"), F.min(F.least(*[y for _, y in turned])).alias("_y0"), F.max(F.greatest(*[y for _, y in turned])).alias("_y1")]
+    held = line.groupBy(*by).agg(oriented.turned_box(F.col("_o"), b).alias("_straight"), F.count("*").alias("_n"), F.min_by("box", "ord").alias("_head"), F.max_by("box", "ord").alias("_tail"), F.first("_cos").alias("_cos"), F.first("_sin").alias("_sin"), *sides)
     back = lambda x, y: (c * F.col(x) - s * F.col(y), s * F.col(x) + c * F.col(y))
     tl, tr, bl, br = back("_x0", "_y0"), back("_x1", "_y0"), back("_x0", "_y1"), back("_x1", "_y1")
     along = F.degrees(F.atan2(F.col("_tail.bry") - F.col("_head.bly"), F.col("_tail.brx") - F.col("_head.blx")))
     labelled = [G.box(*[x for p in ring for x in p]) for ring in ((tl, tr, bl, br), (bl, tl, br, tr), (br, bl, tr, tl), (tr, br, tl, bl))]
     ways = F.array(*[F.struct(F.abs(G.bound_180(G.rotation(w) - along)).alias("off"), F.lit(i).alias("i"), w.alias("box")) for i, w in enumerate(labelled)])
-    return line.join(sides, by).select(*by, F.when(F.col("_n") == 1, F.col("_head")).otherwise(F.array_min(ways)["box"]).alias("box"))
-
-
-def boxes(parts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, box) around boxes (by, ord, box) of each group in whatever direction they read: upright, turned by quarters, or fitted to their base lines."""
-    named = parts.withColumn("_o", G.orientation(F.col("box")))
-    kinds = named.groupBy(*by).agg(oriented.turned_box(F.col("_o"), F.col("box")).alias("box"))
-    straight = kinds.where("box IS NOT NULL")
-    odd = parts.join(kinds.where("box IS NULL").select(*by), by, "left_semi")
-    return straight.unionByName(fitted_boxes(odd, by))
+    fitted = F.when(F.col("_n") == 1, F.col("_head")).otherwise(F.array_min(ways)["box"])
+    return held.select(*by, F.coalesce("_straight", fitted).alias("box"))
 
 
 def span_boxes(spans: DataFrame, letters: DataFrame, by: list[str]) -> DataFrame:
     """(by, span_id, line_idx, box): one box a line around the letters that each span covers.
 
     ``spans`` (by, span_id, first_word, first_letter, last_word, last_letter): from a letter of one word to a letter of another, both included;
-    null letters mean whole words. ``letters`` (by, word_idx, letter_idx in its word, line_idx, box). Spans and letters meet by bins of ``BIN`` words, an
-    equi-join, then by the interval.
+    null letters mean whole words. ``letters`` (by, word_idx, letter_idx in its word, line_idx, box). A page's spans meet its letters in one row, by bins of
+    ``BIN`` words, so that letters dealt by page stay where they are; then the interval decides.
     """
+    ends = ("span_id", "first_word", "first_letter", "last_word", "last_letter")
     binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("first_word") / BIN), F.floor(F.col("last_word") / BIN))))
-    placed = letters.withColumn("_bin", F.floor(F.col("word_idx") / BIN))
+    bins = binned.groupBy(*by, "_bin").agg(F.collect_list(F.struct(*ends)).alias("_spans"))
+    paged = bins.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_spans"))).alias("_bins"))
+    met = letters.join(paged, by).select(*letters.columns, F.inline(F.try_element_at("_bins", F.floor(F.col("word_idx") / BIN))))
     word, at = F.col("word_idx"), F.col("letter_idx")
     after = (word > F.col("first_word")) | ((word == F.col("first_word")) & (at >= F.coalesce("first_letter", F.lit(0))))
     before = (word < F.col("last_word")) | ((word == F.col("last_word")) & (F.col("last_letter").isNull() | (at <= F.col("last_letter"))))
-    covered = placed.join(binned, [*by, "_bin"]).where(after & before)
+    covered = met.where(after & before)
     return boxes(covered.select(*by, "span_id", "line_idx", F.struct("word_idx", "letter_idx").alias("ord"), "box"), [*by, "span_id", "line_idx"])
 
 

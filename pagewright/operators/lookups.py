@@ -57,10 +57,11 @@ def pages_asked(asked: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
 def line_of_words(words: DataFrame, lines: DataFrame, by: list[str]) -> DataFrame:
     """``words`` (by, word_idx) with the columns of the line that holds them, of ``lines`` (by, first_word, past and more); null where none does.
 
-    A range join as an equi-join on the words that each line names, so that as many rows go through it as there are words in lines.
+    A range join as an equi-join on the words that each line names, so that as many rows go through it as there are words in lines. They are sorted, never
+    broadcast: Spark's estimate of their size is that of the lines.
     """
     named = lines.where("past > first_word").withColumn("word_idx", F.explode(F.sequence("first_word", F.col("past") - 1))).drop("first_word", "past")
-    return words.join(named, [*by, "word_idx"], "left")
+    return words.join(named.hint("merge"), [*by, "word_idx"], "left")
 
 
 def one_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

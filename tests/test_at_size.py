@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import catalogue, catalogue_layout, catalogue_model  # noqa: F401 - the others add their queries
+from pagewright.operators import lookups
 from pagewright.plans import layout
 
 
@@ -35,3 +36,11 @@ def test_pages_are_dealt_by_their_size(spark, monkeypatch):
     letters = layout.letters(docs)
     assert letters.rdd.getNumPartitions() == 25
     assert {r.n for r in letters.groupBy("doc_id", "page_no").agg(F.count("*").alias("n")).collect()} == {2000, 1000}
+
+
+def test_words_named_by_lines_are_not_broadcast(spark):
+    words = spark.range(5).select(F.lit(1).alias("page"), F.col("id").alias("word_idx"))
+    lines = spark.range(1).select(F.lit(1).alias("page"), F.lit(0).alias("line"), F.lit(0).cast("long").alias("first_word"), F.lit(3).cast("long").alias("past"))
+    found = lookups.line_of_words(words, lines, ["page"])
+    assert "BroadcastHashJoin" not in plan(found)
+    assert sorted((r.word_idx, r.line) for r in found.collect() if r.line is not None) == [(0, 0), (1, 0), (2, 0)]

@@ -21,7 +21,7 @@ def docs(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["hit_rectangles", "letter_dedup_first", "letter_dedup_last", "word_extract", "oblique_word_boxes"])
+@pytest.mark.parametrize("name", ["hit_rectangles", "letter_dedup_first", "letter_dedup_last", "word_extract", "oblique_word_boxes", "text_layer"])
 def test_letters_of_a_page_are_never_shuffled(spark, docs, name):
     """The exchanges are that of whole pages, which ``layout.dealt`` asks for, and those of pages' sums."""
     found = catalogue.QUERIES[name](spark, docs)

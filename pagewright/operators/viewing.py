@@ -66,19 +66,27 @@ def nearest_while_selecting(points: DataFrame, lines: DataFrame, words: DataFram
     point is beyond it, wins; heights weigh fourfold, the smaller line on ties. Beyond the end its last word is taken,
     else the word with the nearest lower corner (the first of equals). ``key`` names a point; a null key stays null.
 
-    All joins are on ``by``, whose lines are those of one page, and only the least row of a point passes a shuffle.
+    Lines of one place count as one, the smallest, and so do points. A page's lines meet each place in one row, where the least is found: no pair of point and
+    line is a row of its own, and none is sorted or written.
     """
-    held = lines.select(*by, "line", *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y1")])
-    foot = F.least("x", "_x1")
-    far = (F.col("x") - foot) ** 2 + 4 * (F.col("y") - F.col("_y1")) ** 2
-    reached = points.select(key, *by, "x", "y").join(held, by).where((F.col("x") >= F.col("_x0")) & (F.col("_x1") > F.col("_x0")))
-    best = F.min(F.struct(far.alias("far"), "line", (F.col("x") >= F.col("_x1")).alias("beyond"), "x", "y")).alias("best")
-    chosen = reached.groupBy(key, *by).agg(best).select(key, *by, "best.line", "best.beyond", "best.x", "best.y")
+    apart = lines.where("x1 > x0").groupBy(*by, "x0", "x1", "y1").agg(F.min("line").alias("line"))
+    held = apart.groupBy(*by).agg(F.collect_list(F.struct("line", "x0", "x1", "y1")).alias("_lines"))
+    places = points.where(F.col(key).isNotNull()).select(*by, "x", "y").distinct()
+    x, y = F.col("x"), F.col("y")
+
+    def reach(line: Column) -> Column:
+        across, down = x - F.least(x, line["x1"]), y - line["y1"]
+        return F.when(x >= line["x0"], F.struct((across * across + 4 * down * down).alias("far"), line["line"].alias("line"), (x >= line["x1"]).alias("beyond")))
+
+    best = F.array_min(F.transform("_lines", reach))
+    chosen = places.join(held, by).select(*by, "x", "y", best.alias("best")).where("best IS NOT NULL").select(*by, "x", "y", "best.line", "best.beyond")
     parts = words.select(*by, "line", "word_idx", *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y1")])
-    corner = F.least((F.col("x") - F.col("_x0")) ** 2, (F.col("x") - F.col("_x1")) ** 2) + (F.col("y") - F.col("_y1")) ** 2
+    corner = F.least((x - F.col("_x0")) ** 2, (x - F.col("_x1")) ** 2) + (y - F.col("_y1")) ** 2
     rank = F.when(F.col("beyond"), -F.col("word_idx").cast("double")).otherwise(corner)
-    ends = chosen.join(parts, [*by, "line"]).groupBy(key, *by, "line").agg(F.min(F.struct(rank.alias("rank"), "word_idx")).alias("w"))
-    return points.join(ends.select(key, *by, "line", "w.word_idx"), [key, *by], "left")
+    ends = chosen.join(parts, [*by, "line"]).groupBy(*by, "x", "y", "line").agg(F.min(F.struct(rank.alias("rank"), "word_idx")).alias("w"))
+    named = F.col(key).isNotNull()
+    met = points.join(ends.select(*by, "x", "y", "line", "w.word_idx"), [*by, "x", "y"], "left")
+    return met.select(*points.columns, F.when(named, F.col("line")).alias("line"), F.when(named, F.col("word_idx")).alias("word_idx"))
 
 
 def selected(words: DataFrame, selections: DataFrame, by: list[str]) -> DataFrame:

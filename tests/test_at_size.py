@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagewright import catalogue, catalogue_layout, catalogue_model  # noqa: F401 - the others add their queries
 from pagewright.operators import lookups
+from pagewright.operators import viewing as V
 from pagewright.plans import layout
 
 
@@ -44,3 +45,14 @@ def test_words_named_by_lines_are_not_broadcast(spark):
     found = lookups.line_of_words(words, lines, ["page"])
     assert "BroadcastHashJoin" not in plan(found)
     assert sorted((r.word_idx, r.line) for r in found.collect() if r.line is not None) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_a_point_and_a_line_are_no_row(spark):
+    """Points of one place are looked up once, lines of one place count as the smallest."""
+    lines = spark.createDataFrame([(0, k, 0.0, 50.0, 10.0 * (k // 2)) for k in range(8)], "page int, line long, x0 double, x1 double, y1 double")
+    words = lines.select("page", "line", F.col("line").alias("word_idx"), "x0", "x1", "y1")
+    points = spark.createDataFrame([(i, 0, 5.0, 10.0 * (i % 3)) for i in range(30)] + [(None, 0, 5.0, 0.0)], "id long, page int, x double, y double")
+    found = V.nearest_while_selecting(points, lines, words, ["page"], "id")
+    assert {(r.id, r.line, r.word_idx) for r in found.collect()} == {(i, 2 * (i % 3), 2 * (i % 3)) for i in range(30)} | {(None, None, None)}
+    inner = plan(found)
+    assert "array_min" in inner and "SortAggregate(key=[id" not in inner

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import catalogue, catalogue_layout, catalogue_model  # noqa: F401 - the others add their queries
-from pagewright.operators import lookups
+from pagewright.operators import lookups, relations
 from pagewright.operators import viewing as V
 from pagewright.plans import layout
 
@@ -56,3 +56,13 @@ def test_a_point_and_a_line_are_no_row(spark):
     assert {(r.id, r.line, r.word_idx) for r in found.collect()} == {(i, 2 * (i % 3), 2 * (i % 3)) for i in range(30)} | {(None, None, None)}
     inner = plan(found)
     assert "array_min" in inner and "SortAggregate(key=[id" not in inner
+
+
+def test_nearest_vectors_equal_every_pair(spark):
+    """Copies, ties, equal ids and rows without a vector; rows of few vectors, so that several meet."""
+    rows = [(i, [float(i * 7919 % 23), float(i * 31 % 5), 0.5 * (i % 3)]) for i in range(90)] + [(3, [1.0, 1.0, 1.0]), (500, None), (None, [0.0, 0.0, 0.0])]
+    items = spark.createDataFrame(rows, "id long, v array<float>")
+    good = items.where("id IS NOT NULL AND v IS NOT NULL")
+    key = lambda df: sorted((r.query_id, r.item_id, round(r.distance, 4), r["rank"]) for r in df.collect())
+    for k in (1, 2, 3):
+        assert key(relations.nearest_vectors(items.where("id % 10 = 0"), items, k, chunk=8)) == key(relations.nearest(good.where("id % 10 = 0"), good, relations.squared_distance, k))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pagewright.plans.stages import cut
 
 #: Levels that a search goes up in one round; a cell of the next round has 4 ** that many times the area.
 RISE = 2
+#: Points, about, of a cell of the first grid.
+CROWD = 2
 DISTANCES = {
     "euclidean": lambda dx, dy: F.sqrt(dx * dx + dy * dy),
     "manhattan": lambda dx, dy: F.abs(dx) + F.abs(dy),
@@ -18,8 +22,9 @@ DISTANCES = {
 def nearest(points: DataFrame, by: list[str], key: str, x: str, y: str, distance: str = "euclidean", most: float | None = None) -> DataFrame:
     """(by, key, nearest, distance): the nearest other point of the same page (by), of equals the smallest key; null if none is nearer than ``most``.
 
-    A page's points fall into cells of a grid with about as many cells as points. A point meets those of the nine cells about it, an equi-join
-    on (by, cell). What it finds within a cell's side is the nearest: everything outside the nine is farther. Points that
+    A page's points fall into cells of a grid, at first so fine that a point shares its cell with few others. In the first round each point is sent to the
+    nine cells about it, gathered there, and a point meets those of its own cell in one row; later, when few are left, those go to nine cells. No pair is a row.
+    What a point finds within a cell's side is the nearest: everything outside the nine is farther. Points that
     find none so near go on to a grid of larger cells, until one cell is the page; each round is written, and only its rest goes on.
     Points at one place are each other's nearest: they are told apart by keys, and one of them stands for all on the grid.
     """
@@ -36,16 +41,23 @@ def nearest(points: DataFrame, by: list[str], key: str, x: str, y: str, distance
     all_ = cut(points.join(extent.select(*by, "_x0", "_y0", side.alias("_side"), F.ceil(F.log2(F.ceil(F.sqrt("_n")) + 1)).cast("int").alias("_top")), by).select(*by, key, x, y, "_alone", "_x0", "_y0", "_side", "_top"))
     top = all_.agg(F.max("_top")).first()[0]
     rest, found = all_.where("_alone"), stacked
-    level = 0
+    sized = lambda level: F.col("_side") * float(2.0**level)
+    cell = lambda c, o, level: F.floor((F.col(c) - F.col(o)) / sized(level))
+    sharing = all_.groupBy(*by, cell(x, "_x0", 0).alias("_cx"), cell(y, "_y0", 0).alias("_cy")).agg(F.count("*").alias("_n"))
+    crowd = sharing.agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("_n")).first()[0] or 1.0
+    first = level = -max(0, round(math.log(crowd / CROWD, 4)))
     while top is not None:
-        size = F.col("_side") * float(2**level)
-        cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / size)  # noqa: B023, E731
-        held = all_.where(F.col("_top") >= level - RISE).select(*by, F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(y).alias("_py"), cell(x, "_x0").alias("_cx"), cell(y, "_y0").alias("_cy"))
-        around = F.array(*[F.struct((cell(x, "_x0") + i).alias("_cx"), (cell(y, "_y0") + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asked = rest.select(*by, key, x, y, size.alias("_size"), "_top", F.inline(around))
-        met = asked.join(held, [*by, "_cx", "_cy"], "left")
-        apart = F.when(F.col("_key") != F.col(key), F.struct(of(F.col(x) - F.col("_px"), F.col(y) - F.col("_py")).alias("distance"), F.col("_key").alias("nearest")))
-        best = met.groupBy(*by, key).agg(F.min(apart).alias("_best"), F.first("_size").alias("_size"), F.first("_top").alias("_top"))
+        size, at = sized(level), [cell(x, "_x0", level), cell(y, "_y0", level)]
+        around = F.inline(F.array(*[F.struct((at[0] + i).alias("_cx"), (at[1] + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        own = [at[0].alias("_cx"), at[1].alias("_cy")]
+        spread = [[around], own] if level == first else [own, [around]]
+        other = F.struct(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+        held = all_.where(F.col("_top") >= level - RISE).select(*by, other.alias("_p"), *spread[0]).groupBy(*by, "_cx", "_cy").agg(F.collect_list("_p").alias("_others"))
+        asked = rest.select(*by, key, x, y, size.alias("_size"), "_top", *spread[1])
+        apart = lambda p: F.when(p["k"] != F.col(key), F.struct(of(F.col(x) - p["x"], F.col(y) - p["y"]).alias("distance"), p["k"].alias("nearest")))
+        best = asked.join(held, [*by, "_cx", "_cy"], "left").select(*by, key, F.array_min(F.transform("_others", apart)).alias("_best"), "_size", "_top")
+        if level != first:
+            best = best.groupBy(*by, key).agg(F.min("_best").alias("_best"), F.first("_size").alias("_size"), F.first("_top").alias("_top"))
         # A page without spread, or one cell to a side, has been seen whole.
         sure = (F.col("_best.distance") <= F.col("_size")) | (F.col("_top") <= level)
         if most is not None:

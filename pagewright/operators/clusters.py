@@ -75,18 +75,29 @@ def nearest(points: DataFrame, by: list[str], key: str, x: str, y: str, distance
 def components(nodes: DataFrame, links: DataFrame, by: list[str], key: str, other: str) -> DataFrame:
     """(by, key, component) of ``nodes`` (by, key): the smallest key that ``links`` (by, key, other) lead to within the page, in either direction.
 
-    In each round a node takes the least label among its own and its neighbours', then the label of its label, so that long chains
-    shrink by halves. Labels are summed before they are shuffled, and a page is never in one task.
+    Links shrink in rounds: each node that has any goes into the least of its neighbours and itself, by an order that changes with the round so that long chains
+    shrink, too, by a share of their length; links are drawn between what is left, until none is. The steps are then put together from the last, the
+    smallest, to the first. A page is never in one task.
     """
-    both = links.where(F.col(other).isNotNull()).select(*by, F.col(key).alias("_a"), F.col(other).alias("_b"))
-    edges = cut(both.unionByName(both.select(*by, F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct())
-    labels = cut(nodes.select(*by, F.col(key).alias("_id"), F.col(key).alias("_label")).distinct())
-    while True:
-        heard = edges.join(labels.select(*by, F.col("_id").alias("_b"), F.col("_label").alias("_said")), [*by, "_b"]).groupBy(*by, F.col("_a").alias("_id")).agg(F.min("_said").alias("_said"))
-        lower = labels.join(heard, [*by, "_id"], "left").select(*by, "_id", F.col("_label").alias("_was"), F.least("_label", "_said").alias("_label"))
-        lower = cut(lower)
-        jumped = lower.join(lower.select(*by, F.col("_id").alias("_label"), F.col("_label").alias("_next")), [*by, "_label"]).select(*by, "_id", "_was", F.least("_label", "_next").alias("_label"))
-        labels = cut(jumped)
-        if not labels.where("_label <> _was").limit(1).count():
-            return labels.select(*by, F.col("_id").alias(key), F.col("_label").alias("component"))
-        labels = labels.drop("_was")
+    ends = F.struct(F.least(key, other).alias("_a"), F.greatest(key, other).alias("_b"))
+    edges = cut(links.where(F.col(other).isNotNull() & (F.col(other) != F.col(key))).select(*by, ends.alias("_e")).select(*by, "_e.*").distinct())
+    steps: list[DataFrame] = []
+    while edges.limit(1).count():
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("_h"), F.col(c).alias("_to"))  # noqa: B023, E731
+        both = edges.select(*by, F.inline(F.array(F.struct(F.col("_a"), F.col("_b")), F.struct(F.col("_b").alias("_a"), F.col("_a").alias("_b")))))
+        least = both.groupBy(*by, "_a").agg(F.min(drawn("_b")).alias("_m"))
+        step = cut(least.select(*by, "_a", F.least(drawn("_a"), "_m")["_to"].alias("_to")))
+        steps.append(step)
+        moved = edges.join(step, [*by, "_a"]).select(*by, "_b", F.col("_to").alias("_c")).join(step.withColumnRenamed("_a", "_b"), [*by, "_b"])
+        edges = cut(moved.where("_c <> _to").select(*by, F.least("_c", "_to").alias("_a"), F.greatest("_c", "_to").alias("_b")).distinct())
+    ids = nodes.select(*by, F.col(key).alias("_id")).distinct()
+    if not steps:
+        return ids.select(*by, F.col("_id").alias(key), F.col("_id").alias("component"))
+    top = steps.pop()
+    while steps:
+        over = top.select(*by, F.col("_a").alias("_to"), F.col("_to").alias("_over"))
+        top = cut(steps.pop().join(over, [*by, "_to"], "left").select(*by, "_a", F.coalesce("_over", "_to").alias("_to")))
+    ends_at = top.groupBy(*by, "_to").agg(F.min("_a").alias("_least"))
+    # What a group ends at has no links of its own in the end, but it had some in the first step.
+    named = top.join(ends_at, [*by, "_to"]).select(*by, F.col("_a").alias("_id"), "_least")
+    return ids.join(named, [*by, "_id"], "left").select(*by, F.col("_id").alias(key), F.coalesce("_least", "_id").alias("component"))

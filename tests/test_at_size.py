@@ -96,3 +96,20 @@ def test_pairs_of_points_are_no_rows(spark, monkeypatch):
     assert all(abs(got[a.id] - min(((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5 for b in rows if b.id != a.id)) < 1e-9 for a in rows)
     judged = [p for p in written if "_sure" in p and "_best" in p]
     assert "array_min" in judged[0] and "min(named_struct" not in judged[0]
+
+
+def test_links_shrink_from_round_to_round(spark, monkeypatch):
+    """A chain in order, and a node of its own: rows written in all stay within a few times the chain's."""
+    rows = []
+
+    def kept(df):
+        out = df.localCheckpoint()
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(clusters, "cut", kept)
+    nodes = spark.createDataFrame([(0, i) for i in range(400)] + [(0, 999)], "page int, id int")
+    links = spark.createDataFrame([(0, i, i + 1) for i in range(399)], "page int, id int, to int")
+    got = {r.id: r.component for r in clusters.components(nodes, links, ["page"], "id", "to").collect()}
+    assert got == {**{i: 0 for i in range(400)}, 999: 999}
+    assert sum(rows) < 10 * 400

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import catalogue, catalogue_layout, catalogue_model  # noqa: F401 - the others add their queries
-from pagewright.operators import clusters, lookups, relations
+from pagewright.operators import clusters, hierarchy, lookups, relations
 from pagewright.operators import viewing as V
 from pagewright.plans import layout
 from pagewright.sources import blocks_json
@@ -113,3 +113,16 @@ def test_links_shrink_from_round_to_round(spark, monkeypatch):
     got = {r.id: r.component for r in clusters.components(nodes, links, ["page"], "id", "to").collect()}
     assert got == {**{i: 0 for i in range(400)}, 999: 999}
     assert sum(rows) < 10 * 400
+
+
+def test_nodes_of_paths_are_worked_out_once(spark):
+    """Each level of a recursive query reads its nodes again, so they are written before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(6)], "node_id int, parent_id int, place int").withColumn("place", F.udf(note, "int")("place"))
+    assert {r.node_id: r.depth for r in hierarchy.paths(nodes, "int").collect()} == {i: i for i in range(6)}
+    assert seen.value == 6

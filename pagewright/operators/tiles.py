@@ -72,12 +72,13 @@ def in_view(views: DataFrame, margin: int = MARGIN) -> DataFrame:
 def with_cache(wanted: DataFrame, held: DataFrame, by: list[str], depth: int = 3) -> DataFrame:
     """``wanted`` (by, level, key) plus is_held, and held_above: the nearest level above, up to ``depth`` away, at which ``held`` (by, level, key) has the tile over it, or null.
 
-    Each wanted tile meets the cache by one equi-join on keys: its own and those over it.
+    Each wanted tile meets the cache by one equi-join on keys: its own and those over it. What is found, a row at most for each different
+    tile, is hashed; ``wanted`` streams by and is never sorted, so a task's memory doesn't grow with the views.
     """
     steps = F.explode(F.sequence(F.lit(0), F.lit(depth)))
     keyed = wanted.select(*by, "level", "key").distinct().withColumn("_up", steps)
     asked = keyed.withColumns({"_level": F.col("level") - F.col("_up"), "_key": above(F.col("key"), F.col("_up"))})
     cache = held.select(*by, F.col("level").alias("_level"), F.col("key").alias("_key")).distinct()
     found = asked.join(cache, [*by, "_level", "_key"]).groupBy(*by, "level", "key").agg(F.min("_up").alias("_own"), F.min(F.when(F.col("_up") > 0, F.col("_up"))).alias("_over"))
-    out = wanted.join(found, [*by, "level", "key"], "left")
+    out = wanted.join(found.hint("shuffle_hash"), [*by, "level", "key"], "left")
     return out.withColumns({"is_held": F.coalesce(F.col("_own") == 0, F.lit(False)), "held_above": F.col("level") - F.col("_over")}).drop("_own", "_over")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import catalogue, catalogue_layout, catalogue_model  # noqa: F401 - the others add their queries
-from pagewright.operators import clusters, hierarchy, lookups, relations
+from pagewright.operators import clusters, hierarchy, lookups, relations, tiles
 from pagewright.operators import viewing as V
 from pagewright.plans import layout
 from pagewright.sources import blocks_json
@@ -126,3 +126,21 @@ def test_nodes_of_paths_are_worked_out_once(spark):
     nodes = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(6)], "node_id int, parent_id int, place int").withColumn("place", F.udf(note, "int")("place"))
     assert {r.node_id: r.depth for r in hierarchy.paths(nodes, "int").collect()} == {i: i for i in range(6)}
     assert seen.value == 6
+
+
+def test_wanted_tiles_are_not_sorted(spark):
+    """Tables read in one piece would be broadcast, whose size Spark only guesses; beyond that the many wanted tiles stream by the few that are found."""
+    wanted = spark.range(40).select((F.col("id") % 4).alias("page"), F.lit(1).alias("level"), (F.col("id") % 5).alias("key"), "id")
+    held = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, -1, 0)], "page long, level int, key long")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        found = tiles.with_cache(wanted, held, ["page"])
+        last = plan(found).split("Join", 1)
+        got = {(r.page, r.key): (r.is_held, r.held_above) for r in found.collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert last[0].endswith("ShuffledHash")
+    assert found.count() == 40
+    assert got == {(p, k): (p == 0 and k == 0, {1: 0 if k < 4 else None, 2: -1}.get(p)) for p in range(4) for k in range(5)}

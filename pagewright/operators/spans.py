@@ -48,12 +48,15 @@ def boxes(parts: DataFrame, by: list[str]) -> DataFrame:
     sides = [F.min(F.least(*[x for x, _ in turned])).alias("_x0"), F.max(F.greatest(*[x for x, _ in turned])).alias("_x1"), F.min(F.least(*[y for _, y in turned])).alias("_y0"), F.max(F.greatest(*[y for _, y in turned])).alias("_y1")]
     held = line.groupBy(*by).agg(oriented.turned_box(F.col("_o"), b).alias("_straight"), F.count("*").alias("_n"), F.min_by("box", "ord").alias("_head"), F.max_by("box", "ord").alias("_tail"), F.first("_cos").alias("_cos"), F.first("_sin").alias("_sin"), *sides)
     back = lambda x, y: (c * F.col(x) - s * F.col(y), s * F.col(x) + c * F.col(y))
-    tl, tr, bl, br = back("_x0", "_y0"), back("_x1", "_y0"), back("_x0", "_y1"), back("_x1", "_y1")
+    corners = {n: v for k, at in (("tl", back("_x0", "_y0")), ("tr", back("_x1", "_y0")), ("bl", back("_x0", "_y1")), ("br", back("_x1", "_y1"))) for n, v in zip((f"_{k}x", f"_{k}y"), at, strict=True)}
     along = F.degrees(F.atan2(F.col("_tail.bry") - F.col("_head.bly"), F.col("_tail.brx") - F.col("_head.blx")))
-    labelled = [G.box(*[x for p in ring for x in p]) for ring in ((tl, tr, bl, br), (bl, tl, br, tr), (br, bl, tr, tl), (tr, br, tl, bl))]
-    ways = F.array(*[F.struct(F.abs(G.bound_180(G.rotation(w) - along)).alias("off"), F.lit(i).alias("i"), w.alias("box")) for i, w in enumerate(labelled)])
-    fitted = F.when(F.col("_n") == 1, F.col("_head")).otherwise(F.array_min(ways)["box"])
-    return held.select(*by, F.coalesce("_straight", fitted).alias("box"))
+    # Columns of their own keep the code of each small enough for the JVM to compile.
+    placed = held.withColumns({**corners, "_along": along})
+    rings = [[F.col(f"_{k}{axis}") for k in ring.split() for axis in "xy"] for ring in ("tl tr bl br", "bl tl br tr", "br bl tr tl", "tr br tl bl")]
+    offs = placed.withColumns({f"_off{i}": F.abs(G.bound_180(G.rotation(G.box(*ring)) - F.col("_along"))) for i, ring in enumerate(rings)})
+    way = offs.withColumn("_way", F.array_min(F.array(*[F.struct(F.col(f"_off{i}").alias("off"), F.lit(i).alias("i")) for i in range(4)]))["i"])
+    fitted = F.when(F.col("_n") == 1, F.col("_head")).otherwise(G.box(*[F.element_at(F.array(*of), F.col("_way") + 1) for of in zip(*rings, strict=True)]))
+    return way.select(*by, F.coalesce("_straight", fitted).alias("box"))
 
 
 def span_boxes(spans: DataFrame, letters: DataFrame, by: list[str]) -> DataFrame:

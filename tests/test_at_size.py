@@ -35,6 +35,13 @@ def test_letters_of_a_page_are_never_shuffled(spark, docs, name):
     assert found.count() > 0
 
 
+@pytest.mark.parametrize("name", ["word_extract"])
+def test_pages_come_to_python_as_one_row_each(spark, docs, name):
+    """Letters that are rows would be sorted by page before, all of a task's at once, and a page would come alone."""
+    steps = plan(catalogue.QUERIES[name](spark, docs))
+    assert "MapInArrow" in steps and "Sort" not in steps and "InPandas" not in steps
+
+
 def test_pages_are_dealt_by_their_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * 5000) for i in range(10)], "doc_id long, text string")
     monkeypatch.setattr(layout, "TASK", 2000)

@@ -35,7 +35,7 @@ def test_letters_of_a_page_are_never_shuffled(spark, docs, name):
     assert found.count() > 0
 
 
-@pytest.mark.parametrize("name", ["word_extract"])
+@pytest.mark.parametrize("name", ["word_extract", "text_layer"])
 def test_pages_come_to_python_as_one_row_each(spark, docs, name):
     """Letters that are rows would be sorted by page before, all of a task's at once, and a page would come alone."""
     steps = plan(catalogue.QUERIES[name](spark, docs))

@@ -79,6 +79,18 @@ def test_nearest_vectors_equal_every_pair(spark):
         assert key(relations.nearest_vectors(items.where("id % 10 = 0"), items, k, chunk=8)) == key(relations.nearest(good.where("id % 10 = 0"), good, relations.squared_distance, k))
 
 
+def test_every_vector_is_a_query(spark, tmp_path):
+    """Ids that 100 divides were the only ones asked for."""
+    rows = [(i, [float(i * 7919 % 23), float(i * 31 % 5)]) for i in range(1, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = set()
+    for i, a in rows:
+        far = {j: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) for j, b in rows if j != i}
+        want |= {(i, j, rank) for rank, d in enumerate(sorted(set(far.values()))[:2], 1) for j in far if far[j] == d}
+    got = [(r.query_id, r.item_id, r["rank"]) for r in catalogue.QUERIES["knn2_ties"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_ids_of_a_long_page_take_time_in_proportion(spark):
     """Every block names an order: the marks are found once, not once a mark."""
 

@@ -42,6 +42,16 @@ def test_pages_come_to_python_as_one_row_each(spark, docs, name):
     assert "MapInArrow" in steps and "Sort" not in steps and "InPandas" not in steps
 
 
+@pytest.mark.parametrize("name", ["letter_dedup_first"])
+def test_doubles_are_found_in_pages_of_one_row(spark, tmp_path, name):
+    """Letters were sorted as rows, four times a page, and texts of one id taken for one page."""
+    spark.createDataFrame([(1, "a few words"), (1, "a few"), (2, "x" * 2005), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    steps = plan(found)
+    assert "MapInArrow" in steps and "Window" not in steps and "InPandas" not in steps
+    assert {(r.doc_id, r.page_no, r.n) for r in found.collect()} == {(1, 1, 16), (2, 1, 2000), (2, 2, 5)}
+
+
 def test_pages_are_dealt_by_their_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * 5000) for i in range(10)], "doc_id long, text string")
     monkeypatch.setattr(layout, "TASK", 2000)

@@ -42,7 +42,7 @@ def test_pages_come_to_python_as_one_row_each(spark, docs, name):
     assert "MapInArrow" in steps and "Sort" not in steps and "InPandas" not in steps
 
 
-@pytest.mark.parametrize("name", ["letter_dedup_first"])
+@pytest.mark.parametrize("name", ["letter_dedup_first", "letter_dedup_last"])
 def test_doubles_are_found_in_pages_of_one_row(spark, tmp_path, name):
     """Letters were sorted as rows, four times a page, and texts of one id taken for one page."""
     spark.createDataFrame([(1, "a few words"), (1, "a few"), (2, "x" * 2005), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
-from pagewright.operators import oriented
+from pagewright.operators import oriented, segmentation
+from pagewright.operators.segmentation import BL, BR, Groups
 
 #: Words of a bin, by which spans and words meet.
 BIN = 16
@@ -86,3 +93,126 @@ def letter_words(letters: DataFrame, by: list[str], row: int) -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     named = letters.withColumns({"_fresh": fresh, "line_idx": F.floor(F.col("letter_idx") / row).cast("int")}).withColumns({"word_idx": F.count(F.when(F.col("_fresh"), 1)).over(so_far) - 1, "_start": F.last(F.when(F.col("_fresh"), F.col("letter_idx")), ignorenulls=True).over(so_far)})
     return named.where(~blank).select(*by, "word_idx", (F.col("letter_idx") - F.col("_start")).alias("letter_idx"), "line_idx", F.struct(*G.CORNERS).alias("box"))
+
+
+class Placed(NamedTuple):
+    """Letters of words that lie one after the other, pages too: each letter's row among all, its word (numbered through all pages), place in its word, and line. first: the first letter of
+    each word, and their number; before: the number of words before each page, and of all."""
+
+    at: np.ndarray
+    word: np.ndarray
+    place: np.ndarray
+    line: np.ndarray
+    first: np.ndarray
+    before: np.ndarray
+
+
+def placed(of: np.ndarray, blank: np.ndarray, pages: int, row: int) -> Placed:
+    """What ``letter_words`` tells of letters of ``pages`` pages; ``of``: the page of each, ascending."""
+    n = len(of)
+    begins = np.searchsorted(of, np.arange(pages + 1))
+    place = np.arange(n) - begins[of]
+    fresh = ~blank & ((place % row == 0) | np.r_[True, blank[:-1]][:n])
+    so_far = np.r_[0, np.cumsum(fresh)]
+    at = np.flatnonzero(~blank)
+    word = so_far[at + 1] - 1
+    first = np.searchsorted(word, np.arange(so_far[-1] + 1))
+    return Placed(at, word, np.arange(len(at)) - first[word], place[at] // row, first, so_far[begins])
+
+
+def fitted_boxes(b: np.ndarray, held: Groups) -> np.ndarray:
+    """``boxes`` of groups of oblique boxes that lie one after the other."""
+    size = held.sizes()
+    own = np.repeat(np.arange(len(size)), size)
+    total = lambda v: np.add.reduceat(v, held.first)
+    base = b[:, BL:]
+    off = base - (total(base.mean(axis=1)) / size[:, None])[own, None]
+    sxx, sxy = total((off[..., 0] * off[..., 0]).sum(axis=1)), total((off[..., 0] * off[..., 1]).sum(axis=1))
+    lies = sxx > FLAT
+    slope = np.arctan(sxy / np.where(lies, sxx, 1.0))
+    c, s = np.where(lies, np.cos(slope), 0.0), np.where(lies, np.sin(slope), 1.0)
+    x, y = c[own, None] * b[..., 0] + s[own, None] * b[..., 1], c[own, None] * b[..., 1] - s[own, None] * b[..., 0]
+    (x0, y0), (x1, y1) = ([f.reduceat(f.reduce(v, axis=1), held.first) for v in (x, y)] for f in (np.minimum, np.maximum))
+    corners = np.stack([np.stack([c * u - s * v, s * u + c * v], axis=-1) for u, v in ((x0, y0), (x1, y0), (x0, y1), (x1, y1))], axis=1)
+    rings = np.stack([corners, corners[:, [2, 0, 3, 1]], corners[:, [3, 2, 1, 0]], corners[:, [1, 3, 0, 2]]], axis=1)
+    head, tail = b[held.first], b[held.first + size - 1]
+    along = segmentation.direction(tail[:, BR] - head[:, BL])
+    way = np.abs(segmentation.bound_180(segmentation.direction(rings[:, :, BR] - rings[:, :, BL]) - along[:, None])).argmin(axis=1)
+    return np.where((size == 1)[:, None, None], head, rings[np.arange(len(size)), way])
+
+
+def boxes_of(b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``boxes`` of groups 0, 1, ... that lie one after the other."""
+    code = segmentation.orientations(b)
+    oblique = segmentation.common(code, Groups(group)) == segmentation.OTHER
+    out = np.empty((len(oblique), 4, 2))
+    for other, box in ((False, lambda b, code, held: segmentation.group_boxes(b, code, held)[0]), (True, lambda b, _, held: fitted_boxes(b, held))):
+        rows = np.flatnonzero(oblique[group] == other)
+        if len(rows):
+            number = np.cumsum(oblique == other) - 1
+            out[oblique == other] = box(b[rows], code[rows], Groups(number[group[rows]]))
+    return out
+
+
+def _of_pages(f: Callable, row: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, of, value, b, _ in segmentation._parts(batch):
+                blank = pc.fill_null(pc.equal(value, " "), True).to_numpy(zero_copy_only=False)
+                page, numbers, box = f(part, of, placed(of, blank, part.num_rows, row), b)
+                at = pa.array(page)
+                head = [part.column("doc_id").cast(pa.int64()).take(at), part.column("page_no").cast(pa.int32()).take(at)]
+                yield pa.RecordBatch.from_arrays([*head, *numbers, *[pa.array(np.ascontiguousarray(c)) for c in box.reshape(-1, 8).T]], names=["doc_id", "page_no", *names, *G.CORNERS])
+
+    return run
+
+
+_BOX = ", ".join(f"{c} double" for c in G.CORNERS)
+
+
+def word_boxes_of_pages(pages: DataFrame, row: int, moved: Callable | None = None) -> DataFrame:
+    """(doc_id, page_no, word_idx, corners): ``boxes`` of the words of pages, a row each: (doc_id, page_no) and arrays value and corners (or x0, y0, x1, y1).
+
+    Words are those of ``letter_words``. ``moved`` (the pages, each letter's page, its place in its word, its box) gives letters other boxes.
+    """
+
+    def found(part: pa.RecordBatch, of: np.ndarray, letters: Placed, b: np.ndarray) -> tuple:
+        own, b = of[letters.at], b[letters.at]
+        box = boxes_of(b if moved is None else moved(part, own, letters.place, b), letters.word)
+        page = own[letters.first[:-1]]
+        return page, [pa.array(np.arange(len(page)) - letters.before[page])], box
+
+    return pages.mapInArrow(_of_pages(found, row, ["word_idx"]), f"doc_id long, page_no int, word_idx long, {_BOX}")
+
+
+def span_boxes_of_pages(pages: DataFrame, row: int) -> DataFrame:
+    """(doc_id, page_no, span_id, line_idx, corners): ``span_boxes`` of the letters of pages, a row each, as ``word_boxes_of_pages`` takes them, with an array of spans.
+
+    Letters that a span covers follow each other, so that it is looked up by its first and last letter.
+    """
+
+    def found(part: pa.RecordBatch, of: np.ndarray, letters: Placed, b: np.ndarray) -> tuple:
+        spans = part.column("spans")
+        page = pc.list_parent_indices(spans).to_numpy().astype(np.int64)
+        field = dict(zip((f.name for f in spans.type.value_type), spans.flatten().flatten(), strict=True))
+        known = lambda c, default: pc.fill_null(field[c].cast(pa.int64()), default).to_numpy(zero_copy_only=False)
+        before, words = letters.before[page], np.diff(letters.before)[page]
+        at = lambda w: letters.first[before + np.clip(w, 0, words)]
+        first, last = known("first_word", 0), known("last_word", 0)
+        lo = np.where(first < 0, at(first), np.minimum(at(first) + known("first_letter", 0), at(first + 1)))
+        hi = np.minimum(at(last) + known("last_letter", len(of)) + 1, at(last + 1))
+        n = np.maximum(hi - lo, 0)
+        span = np.repeat(np.arange(len(n)), n)
+        row_of = np.arange(len(span)) + np.repeat(lo - np.cumsum(n) + n, n)
+        line = letters.line[row_of]
+        fresh = np.r_[True, (np.diff(span) != 0) | (np.diff(line) != 0)][: len(span)]
+        heads = np.flatnonzero(fresh)
+        box = boxes_of(b[letters.at[row_of]], np.cumsum(fresh) - 1)
+        return page[span[heads]], [field["span_id"].cast(pa.int32()).take(pa.array(span[heads])), pa.array(line[heads], pa.int32())], box
+
+    return pages.mapInArrow(_of_pages(found, row, ["span_id", "line_idx"]), f"doc_id long, page_no int, span_id int, line_idx int, {_BOX}")
+
+
+def count_words(value: Column, row: int) -> Column:
+    """The number of words of an array of letters, as ``letter_words`` parts them."""
+    return F.size(F.filter(value, lambda v, i: (v != " ") & ((i % row == 0) | (F.get(value, i - 1) == " "))))

@@ -1,13 +1,16 @@
 """What has to hold for large tables: pages stay whole in one task, pairs aren't rows, sizes aren't guessed."""
 
 import json
+import math
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright import catalogue, catalogue_layout, catalogue_model  # noqa: F401 - the others add their queries
-from pagewright.operators import clusters, hierarchy, lookups, relations, tiles
+from pagewright.functions.geometry import CORNERS
+from pagewright.operators import clusters, hierarchy, lookups, relations, segmentation, spans, tiles
 from pagewright.operators import viewing as V
 from pagewright.plans import layout
 from pagewright.sources import blocks_json
@@ -52,6 +55,37 @@ def test_doubles_are_found_in_pages_of_one_row(spark, tmp_path, name):
     assert {(r.doc_id, r.page_no, r.n) for r in found.collect()} == {(1, 1, 16), (2, 1, 2000), (2, 2, 5)}
 
 
+@pytest.mark.parametrize("name", ["hit_rectangles"])
+def test_boxes_are_found_in_pages_of_one_row(spark, docs, name):
+    """Letters were rows, sorted and numbered by windows."""
+    steps = plan(catalogue.QUERIES[name](spark, docs))
+    assert "MapInArrow" in steps and "Window" not in steps and "Sort" not in steps
+
+
+def test_boxes_of_pages_are_those_of_letters(spark, monkeypatch):
+    """Upright, turned and oblique pages, an empty one, rows that end in a word; spans with and without letters, of words that aren't there."""
+    monkeypatch.setattr(segmentation, "LETTERS", 150)
+    pick, by, kinds = random.Random(3), ["doc_id", "page_no"], ", ".join(f"{c} double" for c in CORNERS)
+    rows = []
+    for doc, angle in enumerate((0, 90, 180, 270, 20, 200, 300)):
+        c, s = round(math.cos(math.radians(angle)), 12), round(math.sin(math.radians(angle)), 12)
+        for k in range(90):
+            x, y = 6.0 * (k % 20), 14.0 * (k // 20) + (k % 3 if angle % 90 else 0)
+            box = [v for u, w in ((x, y - 10), (x + 6, y - 10), (x, y), (x + 6, y)) for v in (c * u - s * w, s * u + c * w)]
+            rows.append((doc, 1, k, pick.choice("ab  c"), *box))
+    letters = spark.createDataFrame([*rows, (9, 1, 0, " ", *[0.0] * 8)], f"doc_id long, page_no int, letter_idx int, value string, {kinds}")
+    named, pages = spans.letter_words(letters, by, 20), segmentation.gathered(letters)
+    rounded = lambda df, *keys: sorted((*[r[k] for k in keys], *[round(r[c], 6) + 0.0 for c in CORNERS]) for r in df.collect())
+    words = spans.boxes(named.withColumnRenamed("letter_idx", "ord"), [*by, "word_idx"]).select(*by, "word_idx", "box.*")
+    assert rounded(spans.word_boxes_of_pages(pages, 20), *by, "word_idx") == rounded(words, *by, "word_idx")
+    chosen = spark.createDataFrame([(0, 0, 1, 4, 0), (1, 3, None, 9, None), (2, 2, 7, 2, 9), (3, 5, 1, 900, 0), (4, 300, None, 400, None), (5, 6, 0, 4, 0)], "span_id int, first_word int, first_letter int, last_word int, last_letter int")
+    paged = pages.crossJoin(chosen.agg(F.collect_list(F.struct(*chosen.columns)).alias("spans")))
+    keys = [*by, "span_id", "line_idx"]
+    want = spans.span_boxes(letters.select(*by).distinct().crossJoin(chosen.where("first_word <= last_word")), named, by).select(*keys, "box.*")
+    assert rounded(spans.span_boxes_of_pages(paged, 20), *keys) == rounded(want, *keys)
+    assert [r.n for r in pages.select("doc_id", spans.count_words(F.col("value"), 20).alias("n")).orderBy("doc_id").collect()][:7] == [r.n for r in named.groupBy("doc_id").agg((F.max("word_idx") + 1).alias("n")).orderBy("doc_id").collect()]
+
+
 def test_pages_are_dealt_by_their_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * 5000) for i in range(10)], "doc_id long, text string")
     monkeypatch.setattr(layout, "TASK", 2000)

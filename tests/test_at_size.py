@@ -55,7 +55,7 @@ def test_doubles_are_found_in_pages_of_one_row(spark, tmp_path, name):
     assert {(r.doc_id, r.page_no, r.n) for r in found.collect()} == {(1, 1, 16), (2, 1, 2000), (2, 2, 5)}
 
 
-@pytest.mark.parametrize("name", ["hit_rectangles"])
+@pytest.mark.parametrize("name", ["hit_rectangles", "oblique_word_boxes"])
 def test_boxes_are_found_in_pages_of_one_row(spark, docs, name):
     """Letters were rows, sorted and numbered by windows."""
     steps = plan(catalogue.QUERIES[name](spark, docs))
